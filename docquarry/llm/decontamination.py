@@ -26,7 +26,7 @@ MAX_PATTERN_CHARS = 256_000_000
 #: Lower-cases A-Z and turns every ASCII character that isn't a letter or digit into a space.
 _FOLD = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)).lower()
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 SPANS = "array<struct<start:int,end:int>>"
 SCAN = f"id long, n_words long, n_hit long, item_ids array<string>, spans {SPANS}"
@@ -93,7 +93,7 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, i
     """Word ranges as character offsets of the unchanged text."""
     if not ranges:
         return []
-    places = [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     return [{"start": places[lo][0], "end": places[hi - 1][1]} for lo, hi in ranges]
 
 

@@ -25,8 +25,9 @@ from docquarry.llm.common import bound_batches, texts_of
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
-#: Words the model may use: those whose presence differs most between the two samples.
-MAX_FEATURES = 2_000
+#: Words the model may use, and how clearly they must stand out among the positives.
+MAX_FEATURES = 200
+LEAST_G = 20.0
 #: Everything in ASCII but letters, digits and the apostrophe parts words; A-Z is lower-cased.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256)).lower()
 
@@ -50,25 +51,31 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, margin))))
 
 
-def _select(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, limit: int) -> list[bytes]:
-    """The words with the largest signed chi-square-like difference, ties by word."""
+def _select(positive: list[set[bytes]], unlabelled: list[set[bytes]], limit: int) -> list[bytes]:
+    """The words that the positives hold more often, by the likelihood-ratio statistic G.
+
+    At least ``LEAST_G`` and three positives; ties by word.
+    """
     of_p, of_u = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
-    least, n_p, n_u = max(3, len(positive) // 500), max(1, len(positive)), max(1, len(unlabelled))
+    n_p, n_u = len(positive), len(unlabelled)
     ranked = []
-    for word in of_p.keys() | of_u.keys():
-        if of_p[word] + of_u[word] < least:
+    for word, p in of_p.items():
+        u = of_u[word]
+        if p < 3 or p * n_u <= u * n_p:
             continue
-        p, u = of_p[word] / n_p, of_u[word] / n_u
-        spread = u * (1 - u) / n_u + p * (1 - p) / n_p + 1 / (n_p * n_u)
-        ranked.append((-abs(p - u) / math.sqrt(spread), word))
+        share = (p + u) / (n_p + n_u)
+        cells = ((p, n_p * share), (n_p - p, n_p * (1 - share)), (u, n_u * share), (n_u - u, n_u * (1 - share)))
+        g = 2 * sum(k * math.log(k / e) for k, e in cells if k)
+        if g >= LEAST_G:
+            ranked.append((-g, word))
     return [w for _, w in sorted(ranked)[:limit]]
 
 
 def fit(
     positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
-    epochs: int = 40, batches: int = 20, rate: float = 0.05, decay: float = 3e-4, features: int = MAX_FEATURES, seed: int = 0,
+    steps: int = 600, rate: float = 0.1, decay: float = 1e-5, features: int = MAX_FEATURES,
 ) -> ToxicityModel:
-    """Minimises the non-negative risk with the logistic loss, by Adam on mini-batches.
+    """Minimises the non-negative risk with the logistic loss, by Adam over the whole sample.
 
     Without positives or unlabelled texts the model is constant: the prior (0 without any).
     """
@@ -76,7 +83,7 @@ def fit(
         start = prior if positive or prior > 0 else 0.0
         bias = math.log(max(start, 1e-9) / max(1 - start, 1e-9))
         return ToxicityModel({}, bias)
-    words = _select(positive, unlabelled, prior, features)
+    words = _select(positive, unlabelled, features)
     column = {w: i for i, w in enumerate(words)}
 
     def matrix(sets: list[set[bytes]]) -> np.ndarray:
@@ -88,29 +95,23 @@ def fit(
         return out
 
     xp, xu = matrix(positive), matrix(unlabelled)
-    rng = np.random.default_rng(seed)
-    w = np.zeros(len(words) + 1, dtype=np.float64)
+    w = np.zeros(len(words) + 1)
     w[-1] = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
+    m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    for epoch in range(epochs):
-        at = rate / (1 + 4 * epoch / epochs)
-        rows_p, rows_u = rng.permutation(len(xp)), rng.permutation(len(xu))
-        for p, u in zip(np.array_split(rows_p, batches), np.array_split(rows_u, batches)):
-            if not len(p) or not len(u):
-                continue
-            zp, zu = xp[p] @ w, xu[u] @ w
-            # losses: l(+) = log(1+e^-z), l(-) = log(1+e^z)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            grad_neg = sigmoid(zu) @ xu[u] / len(u) - prior * (sigmoid(zp) @ xp[p]) / len(p)
-            if negative >= 0:
-                grad = prior * ((sigmoid(zp) - 1) @ xp[p]) / len(p) + grad_neg
-            else:
-                grad = -grad_neg
-            grad[:-1] += decay * w[:-1]
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w -= at * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, steps + 1):
+        zp, zu = xp @ w, xu @ w
+        # the logistic losses are log(1 + e^-z) for the positive class, log(1 + e^z) for the negative
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        grad_negative = sigmoid(zu) @ xu / len(xu) - prior * (sigmoid(zp) @ xp) / len(xp)
+        if negative >= 0:
+            grad = prior * ((sigmoid(zp) - 1) @ xp) / len(xp) + grad_negative
+        else:
+            grad = -grad_negative
+        grad[:-1] += decay * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        now = rate / (1 + 4 * step / steps)
+        w -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return ToxicityModel({x: float(w[i]) for x, i in column.items() if w[i]}, float(w[-1]))
 
 
