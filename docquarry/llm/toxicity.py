@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; a sample of all texts is the unlabelled set. With
 class prior p, the risk of the negative class is estimated as R_u(-) - p R_p(-), which a
 flexible model can drive below zero; the non-negative estimator climbs back whenever that
-happens (Kiryo et al., 2017). The model is logistic over the presence of words.
+happens (Kiryo et al., 2017). The model is logistic over the presence of words and stems.
 
 Fitting uses at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, those with the
 lowest hash of their id. Scoring covers every document, whole.
@@ -21,20 +21,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, texts_of
+from docquarry.llm.common import bound_batches, stored, texts_of
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
-#: Words the model may use, and how clearly they must stand out among the positives.
+#: Bytes of a stem.
+STEM = 6
+#: Features the model may use, and how clearly they must stand out among the positives.
 MAX_FEATURES = 200
 LEAST_G = 20.0
 #: Everything in ASCII but letters, digits and the apostrophe parts words; A-Z is lower-cased.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256)).lower()
 
 
-def words_in(text: str) -> set[bytes]:
-    """The distinct words of a text."""
-    return set(text.encode("utf-8", "replace").translate(_FOLD).split())
+def features_of(text: str) -> set[bytes]:
+    """The distinct words of a text, and the stems that several of its words share.
+
+    A stem is the first ``STEM`` bytes of a longer word; it counts from two distinct words
+    on, and again from four.
+    """
+    found = set(text.encode("utf-8", "replace").translate(_FOLD).split())
+    for stem, n in Counter([w[:STEM] for w in found if len(w) > STEM]).items():
+        if n > 1:
+            found.add(stem + b"**")
+            if n > 3:
+                found.add(stem + b"****")
+    return found
 
 
 @dataclass(frozen=True)
@@ -47,56 +59,35 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         """The probability, by this model, that a text is toxic."""
         known = self.weights
-        margin = self.bias + math.fsum(known[w] for w in known.keys() & words_in(text))
+        margin = self.bias + math.fsum(known[w] for w in known.keys() & features_of(text))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, margin))))
 
 
-def _select(positive: list[set[bytes]], unlabelled: list[set[bytes]], limit: int) -> list[bytes]:
-    """The words that the positives hold more often, by the likelihood-ratio statistic G.
+def _select(counts: DataFrame, n_p: int, n_u: int, limit: int) -> list[bytes]:
+    """The features that the positives hold more often, by the likelihood-ratio statistic G.
 
-    At least ``LEAST_G`` and three positives; ties by word.
+    ``counts`` has feature, p, u. At least ``LEAST_G`` and three positives; ties by name.
     """
-    of_p, of_u = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
-    n_p, n_u = len(positive), len(unlabelled)
-    ranked = []
-    for word, p in of_p.items():
-        u = of_u[word]
-        if p < 3 or p * n_u <= u * n_p:
-            continue
-        share = (p + u) / (n_p + n_u)
-        cells = ((p, n_p * share), (n_p - p, n_p * (1 - share)), (u, n_u * share), (n_u - u, n_u * (1 - share)))
-        g = 2 * sum(k * math.log(k / e) for k, e in cells if k)
-        if g >= LEAST_G:
-            ranked.append((-g, word))
-    return [w for _, w in sorted(ranked)[:limit]]
-
-
-def fit(
-    positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
-    steps: int = 600, rate: float = 0.1, decay: float = 1e-5, features: int = MAX_FEATURES,
-) -> ToxicityModel:
+    p, u = F.col("p"), F.col("u")
+    share = (p + u) / (n_p + n_u)
+    cell = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    g = 2 * (cell(p, n_p * share) + cell(n_p - p, n_p * (1 - share)) + cell(u, n_u * share) + cell(n_u - u, n_u * (1 - share)))
+    kept = counts.where((p >= 3) & (p * n_u > u * n_p)).withColumn("g", g).where(F.col("g") >= LEAST_G)
+    return [bytes(r["feature"]) for r in kept.orderBy(F.desc("g"), "feature").limit(limit).collect()]
+
+
+def fit(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> ToxicityModel:
     """Minimises the non-negative risk with the logistic loss, by Adam over the whole sample.
 
-    Without positives or unlabelled texts the model is constant: the prior (0 without any).
+    ``xp`` and ``xu`` have a row a text and a column for each of ``names``. Without
+    positives or unlabelled texts the model is constant, the prior.
     """
-    if not positive or not unlabelled:
-        start = prior if positive or prior > 0 else 0.0
-        bias = math.log(max(start, 1e-9) / max(1 - start, 1e-9))
-        return ToxicityModel({}, bias)
-    words = _select(positive, unlabelled, features)
-    column = {w: i for i, w in enumerate(words)}
-
-    def matrix(sets: list[set[bytes]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(words) + 1), dtype=np.float32)
-        out[:, -1] = 1
-        for i, have in enumerate(sets):
-            for w in column.keys() & have:
-                out[i, column[w]] = 1
-        return out
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w = np.zeros(len(words) + 1)
-    w[-1] = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    if not len(xp) or not len(xu):
+        return ToxicityModel({}, math.log(prior / (1 - prior)))
+    xp, xu = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (xp, xu))
+    w = np.zeros(len(names) + 1)
+    w[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
@@ -112,7 +103,7 @@ def fit(
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         now = rate / (1 + 4 * step / steps)
         w -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel({x: float(w[i]) for x, i in column.items() if w[i]}, float(w[-1]))
+    return ToxicityModel({x: float(w[i]) for i, x in enumerate(names)}, float(w[-1]))
 
 
 def _lowest(ids: DataFrame, limit: int) -> DataFrame:
@@ -142,21 +133,44 @@ def train(
     chosen = _lowest(marks.where("toxic = 1").select("id"), max_positive).withColumn("kind", F.lit(1))
     chosen = chosen.unionByName(_lowest(own.select("id").where(usable), max_unlabelled).withColumn("kind", F.lit(0)))
     ids = chosen.collect()  # bounded by max_positive + max_unlabelled
+    nothing = np.zeros((0, 0))
     if not ids:
-        return fit([], [], prior)
+        return fit(nothing, nothing, [], prior)
     picked = docs.sparkSession.createDataFrame(ids, chosen.schema)
+    sample = stored(own.join(F.broadcast(picked), "id").select("id", "kind", "text"))
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: tuple[Counter, Counter] = (Counter(), Counter())
         for batch, texts in texts_of(batches, "text"):
-            packed = [b" ".join(sorted(words_in(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "kind", "words"])
-
-    sample = own.join(F.broadcast(picked), "id").select("id", "kind", "text").mapInArrow(distinct_words, "id long, kind int, words binary")
-    seen: dict[tuple, set[bytes]] = {}
-    for row in sample.collect():  # at most one text an id is kept
-        seen.setdefault((row["kind"], row["id"]), set(bytes(row["words"]).split()))
-    of = lambda kind: [seen[k] for k in sorted(seen) if k[0] == kind]
-    return fit(of(1), of(0), float(prior))
+            for kind, text in zip(batch.column(1).to_pylist(), texts):
+                of[kind].update(features_of(text))
+        names = sorted(of[0].keys() | of[1].keys())
+        for i in range(0, len(names), 20_000):
+            part = names[i : i + 20_000]
+            columns = [pa.array(part, pa.binary()), pa.array([of[1][x] for x in part], pa.int64()), pa.array([of[0][x] for x in part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["feature", "p", "u"])
+
+    sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
+    counts = sample.mapInArrow(count, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    names = _select(counts, sizes.get(1, 0), sizes.get(0, 0), MAX_FEATURES)
+    column = {x: i for i, x in enumerate(names)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches, "text"):
+            have = pa.array([sorted(column[x] for x in column.keys() & features_of(t)) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), have], ["id", "kind", "have"])
+
+    found = sorted((r["kind"], r["id"], r["have"]) for r in sample.mapInArrow(rows, "id long, kind int, have array<int>").collect())
+    sets: tuple[list, list] = ([], [])
+    for kind, _, have in found:
+        sets[kind].append(have)
+    matrices = []
+    for one in (sets[1], sets[0]):
+        x = np.zeros((len(one), len(names)), dtype=np.float32)
+        for i, have in enumerate(one):
+            x[i, have] = 1
+        matrices.append(x)
+    return fit(*matrices, names, float(prior))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +180,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     each get their score; only the two named columns are read.
     """
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES words at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES entries at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in texts_of(batches, "text"):
