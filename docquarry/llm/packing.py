@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
 
 CAPACITY = 4096
-#: Entries of the cache from a run of visible characters to its token ids, then it restarts.
-CACHE_ENTRIES = 400_000
+#: Entries of each cache from a string to its token ids; then it starts anew.
+CACHE_ENTRIES = 600_000
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,30 +124,70 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 class ChunkedTokenizer:
     """Token ids by a tokenizer file, remembered for each run between ASCII white space.
 
-    Holds for tokenizers that drop white space and never join across it.
+    Holds for tokenizers that drop white space and never join across it, and that part a
+    run of letters from a run of ASCII punctuation behind it.
     """
 
     def __init__(self, definition: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.entries = entries
         self.split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        chunks, known = self.split(text), self.known
-        missing = list({c for c in chunks if c not in known})
+    def _encode_words(self, words: list[str]) -> None:
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words)), side="right")
+        start = 0
+        for word, end in zip(words, ends.tolist()):
+            self.words[word] = ids[start:end].tobytes()
+            start = end
+
+    def _learn(self, missing: set[str]) -> None:
+        parts: dict[str, tuple[str, ...]] = {}
+        for chunk in missing:
+            head = chunk.rstrip(".,;:!?")
+            if head.isalpha():
+                tail = chunk[len(head) :]
+                head = head.lower() if head.isascii() else head
+                parts[chunk] = (head, tail) if tail else (head,)
+            else:
+                parts[chunk] = (chunk,)
+        if len(self.words) > self.entries:
+            self.words.clear()
+        new = sorted({w for p in parts.values() for w in p if w not in self.words})
+        for i in range(0, len(new), 20_000):
+            self._encode_words(new[i : i + 20_000])
+        words = self.words
+        for chunk, p in parts.items():
+            self.chunks[chunk] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]]
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self.split(t) for t in texts]
+        missing = set().union(*split).difference(self.chunks)
+        if len(self.chunks) + len(missing) > self.entries:
+            self.chunks.clear()
+            missing = set().union(*split)
         if missing:
-            if len(known) + len(missing) > self.entries:
-                known.clear()
-                missing = list(set(chunks))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[chunk] = np.array(got.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+            self._learn(missing)
+        known = self.chunks
+        return (b"".join([known[c] for c in x]) for x in split)
+
+
+_LOADED: dict[int, ChunkedTokenizer] = {}
+
+
+def loaded_tokenizer(definition: str) -> ChunkedTokenizer:
+    """One tokenizer a Python worker, so that what it remembers serves the next task too."""
+    key = zlib.crc32(definition.encode())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = ChunkedTokenizer(definition)
+    return _LOADED[key]
 
 
 def tokenize_pieces(
@@ -162,11 +202,11 @@ def tokenize_pieces(
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkedTokenizer(definition.value)
+        tokenizer = loaded_tokenizer(definition.value)
         for batch, texts in texts_of(batches, "text"):
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), texts):
-                ids = tokenizer.encode(text) + closing
+            for key, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(texts)):
+                ids += closing
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
