@@ -30,7 +30,7 @@ from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
 
 CAPACITY = 4096
 #: Entries of each cache from a string to its token ids; then it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -152,7 +152,7 @@ class ChunkedTokenizer:
             head = chunk.rstrip(".,;:!?")
             if head.isalpha():
                 tail = chunk[len(head) :]
-                head = head.lower() if head.isascii() else head
+                head = head if "\u03a3" in head or "\u0130" in head else head.lower()  # these two depend on their place or grow
                 parts[chunk] = (head, tail) if tail else (head,)
             else:
                 parts[chunk] = (chunk,)

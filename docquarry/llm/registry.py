@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, packing, sharding, toxicity, url_filter
+from docquarry.llm import chat, decontamination, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -67,6 +67,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of five-word shingles at 0.8 or more."""
+    found = similarity_join.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), END_ID)
@@ -89,7 +95,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op4_sharding, op6_decontamination, op9_packing, op10_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op4_sharding, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
 
 
 
