@@ -10,28 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontamination, packing, registry, toxicity
-from docquarry.llm.common import bound_batches, read_table, stored
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``rejected`` (one column, id)."""
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]), "left_anti")
+from docquarry.llm import decontamination, packing, registry, similarity_join, toxicity
+from docquarry.llm.common import read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the toxicity model scores below one half."""
-    bound_batches(spark)
     labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.train(docs, labels, registry.usable_for_toxicity())
-    scores = toxicity.score_documents(docs, model)
-    return _without(docs, scores.where("score >= 0.5").select("id"))
+    return docs.where(toxicity.scorer(spark, model)(F.col("text")) < 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id in each component of similar documents.
+
+    Documents without words are alone and stay; so do those without an id.
+    """
+    found = similarity_join.near_duplicates(docs)
+    others = found.where("id <> component_id").select(F.col("id").alias("_other")).distinct()
+    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without any benchmark window."""
-    found = decontamination.scan_documents(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _without(docs, found.where("n_hit > 0").select("id"))
+    holds = decontamination.contains_benchmark(spark, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return docs.where(~holds(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack),
 ]

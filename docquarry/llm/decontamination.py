@@ -8,13 +8,13 @@ document and are mapped back to character offsets of its original text.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import bound_batches, texts_of
@@ -143,6 +143,15 @@ def scan_documents(
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, SCAN)
 
 
-def digest_of(items: list[str]) -> str:
-    """The hex digest of comma-joined item ids."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def contains_benchmark(spark: SparkSession, benchmark: DataFrame, window: int = 10) -> Callable[[Column], Column]:
+    """Whether a text column holds any window of any item. Null text doesn't."""
+    bound_batches(spark)
+    items = spark.sparkContext.broadcast(benchmark_items(benchmark))
+
+    @F.pandas_udf("boolean")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = WindowMatcher(items.value, window)
+        for texts in parts:
+            yield pd.Series([bool(matcher.scan(t or "")[1]) for t in texts], dtype="bool")
+
+    return found

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import bound_batches, stored, texts_of
@@ -173,18 +174,22 @@ def train(
     return fit(*matrices, names, float(prior))
 
 
+def scorer(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:
+    """The model as a function of a text column. Null text counts as empty."""
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # MAX_FEATURES entries at most
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t or "") for t in text], dtype="float64")
+
+    return score
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as (id, score). A map without a shuffle.
 
     Null text counts as empty and gets the model's bias; null ids stay null; repeated rows
     each get their score; only the two named columns are read.
     """
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES entries at most
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in texts_of(batches, "text"):
-            scores = pa.array([shared.value.score(t) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(score, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
