@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, packing, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, decontamination, html_extraction, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -54,6 +54,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = html_extraction.extract_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in all documents."""
     found = decontamination.scan_documents(
@@ -95,7 +101,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op4_sharding, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
 
 
 
