@@ -38,6 +38,7 @@ class Node:
     parent: int
     depth: int
     attrs: str
+    under: str = ""
     chars: int = 0
     link_chars: int = 0
     stops: int = 0
@@ -136,7 +137,7 @@ def parse(text: str) -> Page:
         if inline and not ("class" in m[3] or "id=" in m[3]):
             stack.append((tag, parent, False))
             continue
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, m[3]))
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, m[3], nodes[parent].tag))
         stack.append((tag, len(nodes) - 1, True))
     words(text[at:])
     for i in range(len(nodes) - 1, 0, -1):

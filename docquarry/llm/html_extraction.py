@@ -51,7 +51,7 @@ def node_key(node: dom.Node) -> tuple:
     """What a node's potential depends on."""
     chars = node.chars
     return (
-        node.tag, node.attrs, _bin(chars, (1, 25, 80, 200, 500, 1500)),
+        node.tag, node.under, node.attrs, _bin(chars, (1, 25, 80, 200, 500, 1500)),
         _bin(node.link_chars / chars if chars else 0.0, (0.05, 0.25, 0.5, 0.8)),
         _bin(100 * node.stops / chars if chars else 0.0, (0.5, 1.5)), min(node.depth, 6), _bin(node.paragraphs, (1, 2, 4)),
     )
@@ -59,8 +59,8 @@ def node_key(node: dom.Node) -> tuple:
 
 def features(key: tuple) -> list[str]:
     """Names of the indicator features of a ``node_key``."""
-    tag, attrs, size, links, stops, depth, paragraphs = key
-    out = ["bias", f"tag:{tag}", f"size:{size}", f"links:{links}", f"stops:{stops}", f"depth:{depth}", f"paragraphs:{paragraphs}", f"size-links:{size}:{links}"]
+    tag, under, attrs, size, links, stops, depth, paragraphs = key
+    out = ["bias", f"tag:{tag}", f"size:{size}", f"links:{links}", f"stops:{stops}", f"depth:{depth}", f"paragraphs:{paragraphs}", f"size-links:{size}:{links}", f"under:{under}", f"tag-under:{tag}:{under}"]
     return out + list(_attr_features(attrs))
 
 
