@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
     """A table of the input folder, by Spark's own reader, pruned to ``columns``."""
     bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

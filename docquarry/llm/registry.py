@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, html_extraction, packing, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, decontamination, html_extraction, language_model, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -45,6 +45,17 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns)).drop("first_error")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    model, counts = language_model.train(docs, id_mod("id", 7) != 2)
+    scored = language_model.score_documents(docs, model, counts)
+    return scored.select(
+        F.col("id").alias("doc_id"), (id_mod("id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte",
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 16 shards under the law ``rows``."""
     placed = sharding.assign_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
@@ -101,7 +112,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
 
 
 
