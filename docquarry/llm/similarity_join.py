@@ -48,40 +48,68 @@ BUCKETS = 256
 #: Bits of the filter that picks the classes whose sets are read again.
 FILTER_BITS = 1 << 26
 
-_ODD = [int(x) | 1 for x in np.random.default_rng(20).integers(1 << 60, 1 << 63, VALUES + 1)]
-_STEP = np.uint64(_ODD[VALUES])
-_WORD_CACHE = 500_000
+_ODD = np.random.default_rng(20).integers(1 << 60, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
+#: Base of the polynomial hash, odd, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A-Z lower-cased, white space as a space.
+_FOLD = bytes(32 if 9 <= b <= 13 else b for b in range(256)).lower()
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs."""
 
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, np.uint64)
 
-_HASHES = _WordHashes()
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(1 << 16, 2 * n)
+            for name, base in (("up", _BASE), ("down", _INVERSE)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text; fewer words count as one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
+    """The sorted distinct shingle hashes of a text; fewer words count as one shingle.
+
+    A shingle's hash is a polynomial over its bytes, words parted by one space, taken from
+    sums over the whole text; then mixed.
+    """
+    a = np.frombuffer(text.encode("utf-8", "replace").translate(_FOLD), np.uint8)
+    if len(a):
+        space = a == 32
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        a = a[keep]
+        a = a[: len(a) - (len(a) > 0 and a[-1] == 32)]
+    if not len(a):
         return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    each = np.array([_HASHES[w] for w in words], np.uint64)
-    n = len(words) - size + 1
-    out = each[:n].copy()
-    for k in range(1, size):
-        out *= _STEP
-        out += each[k : k + n]
+    gaps = np.flatnonzero(a == 32)
+    up, down = _POWERS.to(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
+    n = len(gaps) + 2 - size
+    if n < 1:
+        starts, ends = np.zeros(1, np.int64), np.array([len(a)])
+    else:
+        starts, ends = np.empty(n, np.int64), np.empty(n, np.int64)
+        starts[0], ends[-1] = 0, len(a)
+        starts[1:] = gaps[: n - 1] + 1
+        ends[:-1] = gaps[size - 1 :]
+    out = (sums[ends] - sums[starts]) * down[starts]
     out ^= out >> np.uint64(31)
-    out *= np.uint64(0x9E3779B97F4A7C15)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(32)
     out.sort()
-    keep = np.ones(n, bool)
+    keep = np.ones(len(out), bool)
     np.not_equal(out[1:], out[:-1], out=keep[1:])
     return out[keep]
 
@@ -93,7 +121,10 @@ def class_of(tokens: np.ndarray) -> int:
 
 def minhashes(tokens: np.ndarray) -> list[int]:
     """``VALUES`` minima under multiplicative orders, in 32 bits."""
-    return [int((tokens * np.uint64(k)).min() >> np.uint64(32)) - (1 << 31) for k in _ODD[:VALUES]]
+    least = np.full(VALUES, 2**64 - 1, np.uint64)
+    for i in range(0, len(tokens), 4096):
+        np.minimum(least, (tokens[i : i + 4096, None] * _ODD).min(axis=0), out=least)
+    return ((least >> np.uint64(32)).astype(np.int64) - (1 << 31)).tolist()
 
 
 def histogram(tokens: np.ndarray) -> bytes:
@@ -113,7 +144,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         def flush() -> None:
             nonlocal held, n_held
             if held:
-                np.add(sketch, np.bincount((np.concatenate(held) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS), out=sketch, casting="unsafe")
+                np.add.at(sketch, (np.concatenate(held) & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
             held, n_held = [], 0
 
         for batch, texts in texts_of(batches, "text"):
@@ -130,7 +161,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 seen.add(key)
                 held.append(tokens)
                 n_held += len(tokens)
-                if n_held > 4_000_000:
+                if n_held > 500_000:
                     flush()
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -139,7 +170,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             )
         flush()
         for b in range(SLOTS // BLOCK):
-            part = np.minimum(sketch[b * BLOCK : (b + 1) * BLOCK], 65535).astype(np.uint16)
+            part = np.minimum(sketch[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
             if part.any():
                 packed = zlib.compress(part.tobytes(), 1)
                 none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))]
@@ -158,7 +189,7 @@ def _sketch(blocks: DataFrame) -> bytes:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.uint16)
+                part = np.frombuffer(zlib.decompress(packed), np.uint8)
                 if b in sums:
                     sums[b] += part
                 else:
@@ -214,8 +245,8 @@ def _listed(classes: list[int], sizes: list[int], parts: list[np.ndarray]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["class", "n", "tokens"])
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFrame:
-    """class and whole token set (``small``: its histogram) of the ``wanted`` classes.
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """class, n, whole token set and its histogram (counts) of the ``wanted`` classes.
 
     A bit filter of fixed size picks them while the texts are read, so what is shuffled is
     a row for each wanted class and partition.
@@ -231,7 +262,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bit = set(), shared.value
         for _, texts in texts_of(batches, "text"):
-            keys, sizes, parts = [], [], []
+            keys, sizes, parts, counts = [], [], [], []
             for text in texts:
                 tokens = shingles(text, size)
                 if not len(tokens):
@@ -242,14 +273,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, small: bool) -> DataFra
                     seen.add(key)
                     keys.append(key)
                     sizes.append(len(tokens))
-                    parts.append(histogram(tokens) if small else tokens.view(np.int64))
-            if small:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], ["class", "n", "counts"])
-            else:
-                yield _listed(keys, sizes, parts)
-
-    kind = "counts binary" if small else "tokens array<long>"
-    found = docs.mapInArrow(run, f"class long, n int, {kind}")
+                    parts.append(tokens.view(np.int64))
+                    counts.append(histogram(tokens))
+            listed = _listed(keys, sizes, parts)
+            yield pa.RecordBatch.from_arrays([*listed.columns, pa.array(counts, pa.binary())], ["class", "n", "tokens", "counts"])
+
+    found = docs.mapInArrow(run, "class long, n int, tokens array<long>, counts binary")
     return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -282,7 +311,7 @@ def _pivot_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
     fits = (100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n"))
     pairs = stable(met.where(fits & (agreeing >= LEAST_AGREEING)).select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = stored(_sets(docs, ends, size, small=False).select("class", "tokens"))
+    sets = stored(_sets(docs, ends, size).select("class", "tokens"))
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     common = F.size(F.array_intersect("x", "y"))
     linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
@@ -293,7 +322,7 @@ def _matrix(prefixes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """token, grp, comp, lo, hi, short: the union of each group's prefix tokens."""
     n, part = F.col("n").cast("long"), F.posexplode("tokens").alias("pos", "token")
     limit = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
-    own = prefixes.join(members, "class", "left")
+    own = stored(prefixes.join(members, "class", "left"))
     rows = own.select("class", "grp", "comp", "n", limit.alias("limit"), part).withColumn("short", F.col("pos") < F.col("limit"))
     alone = rows.where("grp is null").select("token", F.col("class").alias("grp"), F.col("class").alias("comp"), F.col("n").alias("lo"), F.col("n").alias("hi"), "short")
     joint = rows.where("grp is not null").groupBy("token", "grp", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("short").alias("short"))
@@ -323,9 +352,9 @@ def _of_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return inside.union(groups.select(F.col("grp").alias("class"))).distinct()
 
 
-def _bounded(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` in which some two members are close enough by their histograms."""
-    packed = stored(_packed(_sets(docs, _of_groups(pairs, members), size, small=True), members, "counts"))
+    packed = stored(_packed(sets, members, "counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,13 +382,14 @@ def _close(x: list[dict], y: list[dict], percent: int) -> bool:
     return False
 
 
-def _open_groups(pairs: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def _open_groups(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of paired groups.
 
     A member of one group opens the other only if its overlap with that group's token union
     can reach what a link needs; then members are compared one by one.
     """
-    packed = stored(_packed(_sets(docs, _of_groups(pairs, members), size, small=False), members, "tokens"))
+    kept = sets.join(_of_groups(pairs, members), "class", "left_semi")
+    packed = stored(_packed(kept, members, "tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,8 +447,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     )
     sketch = _sketch(first.where("block is not null").select("block", "counts"))
     pairs = stable(_candidates(_matrix(_prefixes(own, size, percent, sketch), members, percent), percent))
-    pairs = _bounded(pairs, own, members, size, percent)
-    more = _open_groups(pairs, own, members, size, percent)
+    sets = stored(_sets(own, _of_groups(pairs, members), size))
+    more = _open_groups(_bounded(pairs, sets, members, percent), sets, members, percent)
     both = star.select(F.col("class").alias("a"), F.col("comp").alias("b")).unionByName(more)
     labels = components(both)
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
