@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
 CAPACITY = 4096
 #: Entries of each cache from a string to its token ids; then it starts anew.
 CACHE_ENTRIES = 1_000_000
+COMMON_ENTRIES = 8_192
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -121,61 +123,92 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 bytes stand for themselves; the others, in order, for U+0100 on.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkedTokenizer:
-    """Token ids by a tokenizer file, remembered for each run between ASCII white space.
+    """Token ids by a tokenizer file, remembered for each run between white space.
 
-    Holds for tokenizers that drop white space and never join across it, and that part a
-    run of letters from a run of ASCII punctuation behind it.
+    Holds for tokenizers that drop white space and never join across it, lower-case, and
+    part a run of letters from ASCII punctuation behind it. Such a run of letters is one
+    word of the byte-level model; anything else takes the tokenizer's whole way.
     """
 
     def __init__(self, definition: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.word_ids = self.tokenizer.model.tokenize
+        self.characters = _byte_characters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.common: dict[str, bytes] = {}
         self.entries = entries
-        self.split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-
-    def _encode_words(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words)), side="right")
-        start = 0
-        for word, end in zip(words, ends.tolist()):
-            self.words[word] = ids[start:end].tobytes()
-            start = end
+        self.visible = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+
+    def split(self, text: str) -> list[str]:
+        """Runs between white space; the separators U+001C to U+001F aren't white space here."""
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return self.visible(text)
+        return text.split()
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of lower-case letters in normal form."""
+        if not word.isascii():
+            word = "".join(map(self.characters.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.word_ids(word)])
+
+    def _any(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str, letters: bool) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            plain = letters and (word.isascii() or unicodedata.is_normalized("NFC", word))
+            found = self.words[word] = self._letters(word) if plain else self._any(word)
+        return found
 
     def _learn(self, missing: set[str]) -> None:
-        parts: dict[str, tuple[str, ...]] = {}
+        if len(self.words) > self.entries:
+            self.words.clear()
+        chunks = self.chunks
         for chunk in missing:
             head = chunk.rstrip(".,;:!?")
-            if head.isalpha():
-                tail = chunk[len(head) :]
-                head = head if "\u03a3" in head or "\u0130" in head else head.lower()  # these two depend on their place or grow
-                parts[chunk] = (head, tail) if tail else (head,)
+            if head.isalpha() and "\u03a3" not in head and "\u0130" not in head:  # their lower case isn't by letter
+                ids = self._word(head.lower(), True)
+                chunks[chunk] = ids + self._word(chunk[len(head) :], False) if len(head) < len(chunk) else ids
             else:
-                parts[chunk] = (chunk,)
-        if len(self.words) > self.entries:
-            self.words.clear()
-        new = sorted({w for p in parts.values() for w in p if w not in self.words})
-        for i in range(0, len(new), 20_000):
-            self._encode_words(new[i : i + 20_000])
-        words = self.words
-        for chunk, p in parts.items():
-            self.chunks[chunk] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]]
+                chunks[chunk] = self._word(chunk, False)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Most lookups end in a small table of the commonest chunks, which stays in the
+        processor's cache.
+        """
         split = [self.split(t) for t in texts]
-        missing = set().union(*split).difference(self.chunks)
-        if len(self.chunks) + len(missing) > self.entries:
-            self.chunks.clear()
-            missing = set().union(*split)
+        if not self.common:
+            often = [c for c, _ in Counter(c for x in split for c in x).most_common(COMMON_ENTRIES)]
+            self._learn(set(often) - self.chunks.keys())
+            self.common = {c: self.chunks[c] for c in often}
+        quick, get = self.common.get, self.chunks.get
+        found = [list(map(quick, x)) for x in split]
+        found = [[get(c) if i is None else i for c, i in zip(x, ids)] for x, ids in zip(split, found)]
+        missing = {c for x, ids in zip(split, found) if None in ids for c, i in zip(x, ids) if i is None}
         if missing:
+            if len(self.chunks) + len(missing) > self.entries:
+                self.chunks.clear()
             self._learn(missing)
-        known = self.chunks
-        return (b"".join([known[c] for c in x]) for x in split)
+            known = self.chunks
+            found = [[known[c] if i is None else i for c, i in zip(x, ids)] if None in ids else ids for x, ids in zip(split, found)]
+        return map(b"".join, found)
 
 
 _LOADED: dict[int, ChunkedTokenizer] = {}
