@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, html_extraction, language_model, packing, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, decontamination, html_extraction, language_model, media, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -90,6 +90,12 @@ def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all embeddings."""
+    found = media.image_copies(media.pictures_of(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+    return found.drop("class").withColumnRenamed("id", "vec_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), END_ID)
@@ -112,7 +118,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op9_packing, op10_urls)}
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls)}
 
 
 
