@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, stable, stored, texts_of
+from docquarry.llm.common import bound_batches, release, scratch, stable, stored, texts_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -248,8 +248,8 @@ def _listed(classes: list[int], sizes: list[int], parts: list[np.ndarray]) -> pa
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """class, n, whole token set and its histogram (counts) of the ``wanted`` classes.
 
-    A bit filter of fixed size picks them while the texts are read, so what is shuffled is
-    a row for each wanted class and partition.
+    A bit filter of fixed size picks them (and a few others) while the texts are read, so
+    what is shuffled is a row for each picked class and partition.
     """
     place = F.col("class").bitwiseAND(FILTER_BITS - 1) + 1  # class ids are hashes themselves
     bits = wanted.select(place.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
@@ -278,8 +278,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             listed = _listed(keys, sizes, parts)
             yield pa.RecordBatch.from_arrays([*listed.columns, pa.array(counts, pa.binary())], ["class", "n", "tokens", "counts"])
 
-    found = docs.mapInArrow(run, "class long, n int, tokens array<long>, counts binary")
-    return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    return docs.mapInArrow(run, "class long, n int, tokens array<long>, counts binary").dropDuplicates(["class"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,26 +303,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _pivot_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """True links (a, b) between classes and the pivots of their minhash values."""
-    keyed = classes.select("class", "n", "sig", F.posexplode(F.slice("sig", 1, ROUNDS)).alias("r", "key"))
-    pivots = keyed.groupBy("r", "key").agg(F.min(F.struct("class", "n", "sig")).alias("p"), F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(pivots.select("r", "key", "p"), ["r", "key"]).where("class <> p.class")
-    agreeing = F.aggregate(F.zip_with("sig", "p.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    fits = (100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n"))
-    pairs = stable(met.where(fits & (agreeing >= LEAST_AGREEING)).select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct())
+    keyed = classes.select("class", F.posexplode(F.slice("sig", 1, ROUNDS)).alias("r", "key"))
+    pivots = keyed.groupBy("r", "key").agg(F.min("class").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    met = keyed.join(pivots.select("r", "key", "pivot"), ["r", "key"]).where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    left, right = classes.toDF("a", "n_a", "sig_a"), classes.toDF("b", "n_b", "sig_b")
+    agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    pairs = stable(met.join(left, "a").join(right, "b").where(fits & (agreeing >= LEAST_AGREEING)).select("a", "b"))
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = stored(_sets(docs, ends, size).select("class", "tokens"))
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
-    return stable(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"))
+    with scratch(_sets(docs, ends, size).select("class", "tokens")) as sets:
+        common = F.size(F.array_intersect("x", "y"))
+        linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+        return stable(pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(linked).select("a", "b"))
 
 
-def _matrix(prefixes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """token, grp, comp, lo, hi, short: the union of each group's prefix tokens."""
+def _matrix(own: DataFrame, percent: int) -> DataFrame:
+    """token, grp, comp, lo, hi, short: the union of each group's prefix tokens.
+
+    Tokens are cut to 40 bits here: a false meeting only costs a look at the bound.
+    """
     n, part = F.col("n").cast("long"), F.posexplode("tokens").alias("pos", "token")
     limit = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
-    own = stored(prefixes.join(members, "class", "left"))
-    rows = own.select("class", "grp", "comp", "n", limit.alias("limit"), part).withColumn("short", F.col("pos") < F.col("limit"))
+    rows = own.select("class", "grp", "comp", "n", limit.alias("limit"), part).withColumn("token", F.shiftrightunsigned("token", 24)).withColumn("short", F.col("pos") < F.col("limit"))
     alone = rows.where("grp is null").select("token", F.col("class").alias("grp"), F.col("class").alias("comp"), F.col("n").alias("lo"), F.col("n").alias("hi"), "short")
     joint = rows.where("grp is not null").groupBy("token", "grp", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("short").alias("short"))
     return alone.unionByName(joint.select("token", "grp", "comp", "lo", "hi", "short"))
@@ -354,7 +355,7 @@ def _of_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _bounded(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` in which some two members are close enough by their histograms."""
-    packed = stored(_packed(sets, members, "counts"))
+    packed = _packed(sets, members, "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,7 +390,7 @@ def _open_groups(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent:
     can reach what a link needs; then members are compared one by one.
     """
     kept = sets.join(_of_groups(pairs, members), "class", "left_semi")
-    packed = stored(_packed(kept, members, "tokens"))
+    packed = _packed(kept, members, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -446,9 +447,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         star.join(sizes, "comp").select("class", "comp", F.when(F.col("k") <= GROUP_MEMBERS, F.col("comp")).otherwise(F.xxhash64("comp", chunk)).alias("grp"))
     )
     sketch = _sketch(first.where("block is not null").select("block", "counts"))
-    pairs = stable(_candidates(_matrix(_prefixes(own, size, percent, sketch), members, percent), percent))
-    sets = stored(_sets(own, _of_groups(pairs, members), size))
-    more = _open_groups(_bounded(pairs, sets, members, percent), sets, members, percent)
+    release(docs.sparkSession)
+    with scratch(_prefixes(own, size, percent, sketch).join(members, "class", "left")) as prefixes:
+        pairs = stable(_candidates(_matrix(prefixes, percent), percent))
+    with scratch(_sets(own, _of_groups(pairs, members), size)) as sets:
+        more = _open_groups(_bounded(pairs, sets, members, percent), sets, members, percent)
     both = star.select(F.col("class").alias("a"), F.col("comp").alias("b")).unionByName(more)
     labels = components(both)
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
