@@ -15,7 +15,8 @@ threshold. The join has four steps:
 3. Bound. Groups that share a prefix token and fit in size are candidates. A lower bound of
    the symmetric difference from bucketed token counts rejects most of them. A member then
    opens a group only if it overlaps the group's whole token union enough.
-4. Verification. Members of opened groups are compared exactly; links merge components.
+4. Verification. Members of opened groups are compared exactly, up to the first link between
+   them; links merge components.
 
 Nothing is capped: a third of all documents in one group of copies is one class, and one of
 near copies is a chain of small groups that the first step has linked already.
@@ -40,7 +41,7 @@ GROUP_MEMBERS = 64
 #: Counters of the sketch, and those in one of its blocks.
 SLOTS, BLOCK = 1 << 24, 1 << 16
 #: Minhash values of a class; the first ``ROUNDS`` of them propose pivots.
-VALUES, ROUNDS = 16, 4
+VALUES, ROUNDS = 16, 6
 #: A pivot is compared only with classes that agree on so many values.
 LEAST_AGREEING = 7
 #: Buckets of the token counts that bound the symmetric difference.
@@ -384,23 +385,52 @@ def _close(x: list[dict], y: list[dict], percent: int) -> bool:
 
 
 def _open_groups(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of paired groups.
+    """The ``pairs`` of groups between which some link exists.
 
     A member of one group opens the other only if its overlap with that group's token union
-    can reach what a link needs; then members are compared one by one.
+    can reach what a link needs; then members are compared one by one, up to the first link:
+    a group lies within one component, so one link joins all.
     """
     kept = sets.join(_of_groups(pairs, members), "class", "left_semi")
     packed = _packed(kept, members, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                found += links_between(_members(x), _members(y), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            ga, gb = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = [linked(_members(x), _members(y), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, k in zip(side, keep) if k], pa.int64()) for side in (ga, gb)], ["ga", "gb"])
 
     held = pairs.join(packed.toDF("ga", "x"), "ga").join(packed.toDF("gb", "y"), "gb").select("ga", "gb", "x", "y")
-    return stable(held.mapInArrow(run, "a long, b long"))
+    return stable(held.mapInArrow(run, "ga long, gb long"))
+
+
+def _merge(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, as far as they connect.
+
+    First each two components get one pair of groups opened, twice; what that has merged
+    needs no further look. Then all pairs that are left are opened.
+    """
+    comp = members.select("grp", "comp").distinct()
+    named = pairs.join(comp.toDF("ga", "ca"), "ga", "left").join(comp.toDF("gb", "cb"), "gb", "left")
+    named = stable(named.select("ga", "gb", F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb")))
+    links, tried = named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).limit(0), None
+    for rest in (False, False, True):
+        todo = named
+        if tried is not None:
+            label = components(links)
+            todo = todo.join(tried, ["ga", "gb"], "left_anti").join(label.toDF("ca", "la"), "ca", "left").join(label.toDF("cb", "lb"), "cb", "left")
+            todo = todo.where(F.coalesce("la", "ca") != F.coalesce("lb", "cb"))
+            todo = todo.select("ga", "gb", F.coalesce("la", "ca").alias("ca"), F.coalesce("lb", "cb").alias("cb"))
+        if not rest:
+            todo = todo.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("ga", "gb")).alias("p")).select("p.ga", "p.gb")
+        todo = stable(todo.select("ga", "gb"))
+        if todo.isEmpty():
+            break
+        found = _open_groups(todo, sets, members, percent)
+        links = stable(links.union(named.join(found, ["ga", "gb"], "left_semi").select("ca", "cb")))
+        tried = todo if tried is None else stable(tried.union(todo))
+        release(pairs.sparkSession)
+    return links
 
 
 def _members(held: pa.ListScalar) -> list[tuple[int, np.ndarray]]:
@@ -409,20 +439,19 @@ def _members(held: pa.ListScalar) -> list[tuple[int, np.ndarray]]:
     return [(k, tokens[i].values.to_numpy()) for i, k in enumerate(rows.field("class").to_pylist())]
 
 
-def links_between(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """All links between two groups of (class, distinct tokens)."""
+def linked(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], percent: int) -> bool:
+    """Whether two groups of (class, distinct tokens) hold a link."""
     union = np.unique(np.concatenate([t for _, t in y]))
     smallest = min(len(t) for _, t in y)
-    found = []
-    for a, tokens in x:
+    for _, tokens in x:
         need = -(-percent * (len(tokens) + max(smallest, -(-percent * len(tokens) // 100))) // (100 + percent))
         if np.isin(tokens, union, assume_unique=True).sum() < need:
             continue
-        for b, other in y:
+        for _, other in y:
             common = len(np.intersect1d(tokens, other, assume_unique=True))
             if 100 * common >= percent * (len(tokens) + len(other) - common):
-                found.append((a, b))
-    return found
+                return True
+    return False
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,7 +480,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     with scratch(_prefixes(own, size, percent, sketch).join(members, "class", "left")) as prefixes:
         pairs = stable(_candidates(_matrix(prefixes, percent), percent))
     with scratch(_sets(own, _of_groups(pairs, members), size)) as sets:
-        more = _open_groups(_bounded(pairs, sets, members, percent), sets, members, percent)
+        more = _merge(_bounded(pairs, sets, members, percent), sets, members, percent)
     both = star.select(F.col("class").alias("a"), F.col("comp").alias("b")).unionByName(more)
     labels = components(both)
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
