@@ -28,9 +28,9 @@ def phrase_count(joined: Column, phrase: str) -> Column:
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash_id, keyword_id and occurrences, for the contents that hold a keyword."""
     joined = F.concat(F.lit(" "), F.array_join(corpus.words_in(F.col("text")), "  "), F.lit(" "))
-    words = corpus.contents(spark, sf_dir).select("hash_id", joined.alias("w"))
-    counts = F.array(*(F.struct(F.lit(i).alias("keyword_id"), phrase_count(F.col("w"), p).alias("n")) for i, p in corpus.KEYWORDS))
-    return words.select("hash_id", F.explode(counts).alias("k")).select("hash_id", "k.keyword_id", "k.n").where("n > 0")
+    counts = lambda w: F.array(*(F.struct(F.lit(i).alias("keyword_id"), phrase_count(w, p).alias("n")) for i, p in corpus.KEYWORDS))
+    each = F.flatten(F.transform(F.array(joined), counts))  # the words are taken apart once, not once a keyword
+    return corpus.contents(spark, sf_dir).select("hash_id", F.explode(each).alias("k")).select("hash_id", "k.keyword_id", "k.n").where("n > 0")
 
 
 KEYWORD_SQL = corpus.KEYWORDS_SQL + r"""
