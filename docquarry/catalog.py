@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docquarry.operators import filters, keyness, statistics  # noqa: F401
+from docquarry.operators import filters, keyness, reports, statistics  # noqa: F401
+from docquarry.streaming import monitoring  # noqa: F401
 from docquarry.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
