@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
 
 CAPACITY = 4096
-#: Entries of each cache from a string to its token ids; then it starts anew.
+#: Entries of the cache from a string to its token ids; then it starts anew.
 CACHE_ENTRIES = 1_000_000
 COMMON_ENTRIES = 8_192
 
@@ -148,7 +148,6 @@ class ChunkedTokenizer:
         self.word_ids = self.tokenizer.model.tokenize
         self.characters = _byte_characters()
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.common: dict[str, bytes] = {}
         self.entries = entries
         self.visible = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
@@ -169,16 +168,14 @@ class ChunkedTokenizer:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str, letters: bool) -> bytes:
-        found = self.words.get(word)
+        found = self.chunks.get(word)
         if found is None:
             plain = letters and (word.isascii() or unicodedata.is_normalized("NFC", word))
-            found = self.words[word] = self._letters(word) if plain else self._any(word)
+            found = self.chunks[word] = self._letters(word) if plain else self._any(word)
         return found
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.words) > self.entries:
-            self.words.clear()
-        chunks = self.chunks
+        chunks = self.chunks  # a word is a chunk of its own
         for chunk in missing:
             head = chunk.rstrip(".,;:!?")
             if head.isalpha() and "\u03a3" not in head and "\u0130" not in head:  # their lower case isn't by letter
