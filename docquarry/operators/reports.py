@@ -12,7 +12,11 @@ from docquarry.sources import corpus
 
 _OCC, _SIG = f"WITH {corpus.SQL}", f"WITH {corpus.SIGNALS_SQL}"
 AS_OF = "2024-01-15"
-_REF = F.lit(AS_OF).cast("date")
+
+
+def _ref():
+    """The reference day of the horizon."""
+    return F.lit(AS_OF).cast("date")
 
 
 @query(_OCC + " SELECT path_id, file_name, file_type, file_size, source, side, file_date FROM occ WHERE side = 'fr' AND file_status = 'Read' ORDER BY file_date DESC, path_id LIMIT 5000")
@@ -72,7 +76,7 @@ def distinct_on_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_SIG} SELECT hash_id, signal_id, date_from FROM (SELECT *, row_number() OVER (PARTITION BY hash_id ORDER BY date_from, signal_id) AS k FROM sig WHERE date_from > DATE '{AS_OF}') WHERE k = 1")
 def next_event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each content's next dated signal after the reference day (a forward as-of lookup)."""
-    s = corpus.signals(spark, sf_dir).where(F.col("date_from") > _REF)
+    s = corpus.signals(spark, sf_dir).where(F.col("date_from") > _ref())
     return s.groupBy("hash_id").agg(F.min(F.struct("date_from", "signal_id")).alias("n")).select("hash_id", "n.signal_id", "n.date_from")
 
 
@@ -82,7 +86,7 @@ _BUCKET = dates.HORIZON_SQL.format(f"DATE '{AS_OF}'", "date_from")
 @query(f"{_SIG} SELECT signal_id, hash_id, signal_type, date_from, {_BUCKET} AS bucket FROM sig WHERE {_BUCKET} <> 'past' ORDER BY date_from, signal_id LIMIT 5000")
 def horizon_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated signals by horizon bucket, the past left out, at most 5 000."""
-    s = corpus.signals(spark, sf_dir).withColumn("bucket", dates.horizon_bucket(F.col("date_from"), _REF)).where("bucket <> 'past'")
+    s = corpus.signals(spark, sf_dir).withColumn("bucket", dates.horizon_bucket(F.col("date_from"), _ref())).where("bucket <> 'past'")
     return s.orderBy("date_from", "signal_id").limit(5000).select("signal_id", "hash_id", "signal_type", "date_from", "bucket")
 
 
@@ -90,7 +94,7 @@ def horizon_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def horizon_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals and contents in each bucket."""
     s = corpus.signals(spark, sf_dir).where("date_from is not null")
-    return s.groupBy(dates.horizon_bucket(F.col("date_from"), _REF).alias("bucket")).agg(F.count("*").alias("signals"), F.countDistinct("hash_id").alias("contents"))
+    return s.groupBy(dates.horizon_bucket(F.col("date_from"), _ref()).alias("bucket")).agg(F.count("*").alias("signals"), F.countDistinct("hash_id").alias("contents"))
 
 
 @query(f"{_SIG} SELECT signal_type, count(*) FILTER (WHERE date_from IS NULL) AS undated, count(date_from) AS dated FROM sig GROUP BY signal_type")
@@ -107,7 +111,7 @@ def undated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def signal_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facets in one pass of grouping sets; a null value is a facet value of its own."""
-    x = corpus.signals(spark, sf_dir).select("signal_type", "confidence", dates.horizon_bucket(F.col("date_from"), _REF).alias("bucket"))
+    x = corpus.signals(spark, sf_dir).select("signal_type", "confidence", dates.horizon_bucket(F.col("date_from"), _ref()).alias("bucket"))
     kinds = [F.col("signal_type"), F.col("confidence"), F.col("bucket")]
     g = x.groupingSets([[k] for k in kinds], *kinds).agg(F.count("*").alias("n"), F.grouping("signal_type").alias("a"), F.grouping("confidence").alias("b"))
     pick = lambda one, two, three: F.when(F.col("a") == 0, one).when(F.col("b") == 0, two).otherwise(three)
