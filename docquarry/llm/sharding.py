@@ -49,10 +49,10 @@ class FeistelPermutation:
         return (left << self.half) | right
 
     def _walk(self, index, keys: np.ndarray, inverse: bool) -> np.ndarray:
-        out = self._pass(np.asarray(index, dtype=np.uint64), keys, inverse)
+        out = self._pass(np.atleast_1d(np.asarray(index, dtype=np.uint64)), keys, inverse)
         while (outside := out >= self.n).any():
             out[outside] = self._pass(out[outside], keys, inverse)
-        return out.astype(np.int64)
+        return out.astype(np.int64).reshape(np.shape(index))
 
     def place(self, row) -> np.ndarray:
         """Where each row number goes."""

@@ -41,7 +41,7 @@ GROUP_MEMBERS = 64
 #: Counters of the sketch, and those in one of its blocks.
 SLOTS, BLOCK = 1 << 24, 1 << 16
 #: Minhash values of a class; the first ``ROUNDS`` of them propose pivots.
-VALUES, ROUNDS = 16, 6
+VALUES, ROUNDS = 16, 5
 #: A pivot is compared only with classes that agree on so many values.
 LEAST_AGREEING = 7
 #: Buckets of the token counts that bound the symmetric difference.
@@ -303,10 +303,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pivot_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """True links (a, b) between classes and the pivots of their minhash values."""
+    """True links (a, b) between classes and the pivots of their minhash values.
+
+    The pivot of a value is the class whose values are shared most: among edited copies of
+    one text that is the text itself, or the copy nearest to it.
+    """
     keyed = classes.select("class", F.posexplode(F.slice("sig", 1, ROUNDS)).alias("r", "key"))
-    pivots = keyed.groupBy("r", "key").agg(F.min("class").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(pivots.select("r", "key", "pivot"), ["r", "key"]).where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    sizes = keyed.groupBy("r", "key").agg(F.count("*").alias("members")).where("members > 1")
+    met = stable(keyed.join(sizes, ["r", "key"]))
+    liked = met.groupBy("class").agg(F.sum("members").alias("liked"))
+    pivots = met.join(liked, "class").groupBy("r", "key").agg(F.max(F.struct("liked", "class")).alias("p"))
+    met = met.join(pivots.select("r", "key", F.col("p.class").alias("pivot")), ["r", "key"]).where("class <> pivot")
+    met = met.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     left, right = classes.toDF("a", "n_a", "sig_a"), classes.toDF("b", "n_b", "sig_b")
     agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
