@@ -434,7 +434,7 @@ def _merge(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int)
         todo = stable(todo.select("ga", "gb"))
         if todo.isEmpty():
             break
-        found = _open_groups(todo, sets, members, percent)
+        found = _open_groups(_bounded(todo, sets, members, percent), sets, members, percent)
         links = stable(links.union(named.join(found, ["ga", "gb"], "left_semi").select("ca", "cb")))
         tried = todo if tried is None else stable(tried.union(todo))
         release(pairs.sparkSession)
@@ -488,7 +488,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     with scratch(_prefixes(own, size, percent, sketch).join(members, "class", "left")) as prefixes:
         pairs = stable(_candidates(_matrix(prefixes, percent), percent))
     with scratch(_sets(own, _of_groups(pairs, members), size)) as sets:
-        more = _merge(_bounded(pairs, sets, members, percent), sets, members, percent)
+        more = _merge(pairs, sets, members, percent)
     both = star.select(F.col("class").alias("a"), F.col("comp").alias("b")).unionByName(more)
     labels = components(both)
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
