@@ -37,7 +37,7 @@ from docquarry.llm.common import bound_batches, release, scratch, stable, stored
 
 SHINGLE = 5
 PERCENT = 80
-GROUP_MEMBERS = 64
+GROUP_MEMBERS = 128
 #: Counters of the sketch, and those in one of its blocks.
 SLOTS, BLOCK = 1 << 24, 1 << 16
 #: Minhash values of a class; the first ``ROUNDS`` of them propose pivots.
