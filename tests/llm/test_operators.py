@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -277,6 +278,35 @@ def test_media_finds_planted_copies(spark):
     assert sum(r.n_links for r in rows) <= 2.2 * len(planted)
 
 
+def _harder(picture, how):
+    """Lower contrast, uneven light and noise of up to 12 grey levels."""
+    noise = np.random.default_rng(how).integers(-12, 13, picture.shape)
+    return np.clip(picture * 0.75 + np.linspace(0, 40, picture.shape[1]) + noise, 0, 255).astype(np.uint8)
+
+
+def test_media_matches_against_all_pairs(spark):
+    pictures = [images.render(np.full(8, i, np.float32)) for i in range(40)]
+    pictures += [_harder(p, i) for i, p in enumerate(pictures)]
+    found = [images.features(p.astype(np.float32)) for p in pictures]
+    rows = sorted({(i, media.pack_spot(y, x, images.SCALES.index(s), k), bits) for i, f in enumerate(found) for y, x, s, k, bits in f})
+    key = np.array([r[0] for r in rows])
+    bits = np.unpackbits(np.array([list(r[2]) for r in rows], np.uint8), axis=1).astype(np.float32)
+    apart = bits @ (1 - bits).T + (1 - bits) @ bits.T
+    near = [(i, j) for i, j in np.argwhere(apart <= media.MOST_BITS).tolist() if key[i] < key[j]]
+    pairs = {}
+    for i, j in near:
+        pairs.setdefault((int(key[i]), int(key[j])), set()).add((rows[i][1], rows[j][1]))
+    want = {(*p, *m) for p, ms in pairs.items() if len(ms) >= media.LEAST_VOTES for m in ms}
+    quarters = [np.packbits(bits.astype(np.uint8), axis=1)[:, k : k + 8] for k in range(0, 32, 8)]
+    easy = sum(any((q[i] == q[j]).all() for q in quarters) for i, j in near)
+    assert easy < 0.9 * len(near)  # hard ones are among them
+    df = spark.createDataFrame([(c, spot, *struct.unpack(">4q", b)) for c, spot, b in rows], media.CORNERS).repartition(4)
+    got = {(r.class_a, r.class_b, r.spot_a, r.spot_b) for r in media.matches(df).collect()}
+    assert len(pairs) < 2 * len(want) / media.LEAST_VOTES  # unlike pictures seldom have close corners
+    assert len(want & got) >= media.RECALL * len(want)
+    assert all(len(t) == media.WORDS for t in media.tables_for(10**9)) and len(media.tables_for(10**9)) > len(media.tables_for(10))
+
+
 def test_media_odd_input(spark):
     same = images.encode_png(images.render(np.ones(64, np.float32)))
     rows = [(1, None), (2, b""), (3, b"junk"), (4, b"junk"), (None, same), (6, same)]
