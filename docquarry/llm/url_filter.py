@@ -12,6 +12,7 @@ again; a rank is one row a host.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import stable
 
 DAMPING = 0.85
+#: Ranks are iterated until their total change is at most this.
+TOLERANCE = 1e-6
+#: The fixed number of steps that the query's SQL unrolls, having no loop.
 ITERATIONS = 8
 #: A host is blocked when its distrust exceeds this many times its trust.
 THRESHOLD = 1.0
@@ -75,12 +79,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """PageRank over weighted ``edges`` (src, dst, links) restarting at ``seeds`` (host, mass).
 
     Returns host, rank for hosts that any mass reaches. What a host without outgoing links
-    holds goes back to nowhere: ranks add up to 1 at most. Iterations are fixed, so the
-    remainder is below damping ** iterations.
+    holds goes back to nowhere: ranks add up to 1 at most. Steps go on until the ranks change
+    by ``tolerance`` in all, or as many as bound the remaining mass, damping ** steps, by it.
     """
     total = edges.groupBy("src").agg(F.sum("links").alias("out"))
     moves = stable(edges.join(total, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")))
@@ -89,9 +93,13 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, iterations: int = ITER
     if moves.isEmpty():
         return seeds.select("host", F.col("mass").alias("rank"))
     rank = seeds.select("host", F.col("mass").alias("rank"))
-    for _ in range(iterations):
+    for _ in range(math.ceil(math.log(tolerance / 2) / math.log(damping))):
+        before = rank
         moved = rank.join(moves, rank["host"] == moves["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
         rank = stable(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
+        signed = rank.unionByName(before.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
+        if (signed.agg(F.sum(F.abs("change"))).first()[0] or 0.0) <= tolerance:
+            break
     return rank
 
 
@@ -103,7 +111,7 @@ def _seed(marks: DataFrame, action: str) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    iterations: int = ITERATIONS, threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Every row of ``pages`` as id, host, path, rule, verdict, trust, distrust.
 
@@ -122,9 +130,9 @@ def judge_urls(
     )
     marks = stable(marks)
     edges = stable(host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html"))))
-    trust = personalised_rank(edges, _seed(marks, "allow"), iterations).withColumnRenamed("rank", "trust")
+    trust = personalised_rank(edges, _seed(marks, "allow"), tolerance).withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = personalised_rank(back, _seed(marks, "block"), iterations).withColumnRenamed("rank", "distrust")
+    distrust = personalised_rank(back, _seed(marks, "block"), tolerance).withColumnRenamed("rank", "distrust")
     verdicts = trust.join(distrust, "host", "full_outer").where(F.coalesce("distrust", F.lit(0.0)) + F.coalesce("trust", F.lit(0.0)) > 0)
     out = judged.join(verdicts, "host", "left")
     blocked = F.coalesce("distrust", F.lit(0.0)) > threshold * F.coalesce("trust", F.lit(0.0))

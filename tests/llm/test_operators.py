@@ -372,6 +372,30 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_urls_chain_converges(spark):
+    """A chain of 20 hosts to a blocked one, of which the last 9 are linked from a trusted host too."""
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(19)] + [(19, "http://bad.com/", "")]
+    rows[18] = (18, "http://h18.net/", '<a href="//bad.com/">')
+    rows.append((20, "http://good.org/", "".join(f'<a href="http://h{i}.net/">' for i in range(10, 19))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judge_urls(df, [url_filter.Rule("block", "bad.com/"), url_filter.Rule("allow", "good.org/")]).collect()}
+    hosts = sorted(got)
+    links = {(f"h{i}.net", f"h{i + 1}.net"): 1.0 for i in range(18)} | {("h18.net", "bad.com"): 1.0} | {("good.org", f"h{i}.net"): 1.0 for i in range(10, 19)}
+
+    def settled(seed, edges):
+        share = np.zeros((len(hosts), len(hosts)))
+        for (a, b), n in edges.items():
+            share[hosts.index(b), hosts.index(a)] = n / sum(m for (c, _), m in edges.items() if c == a)
+        return np.linalg.solve(np.eye(len(hosts)) - 0.85 * share, 0.15 * np.array([float(h == seed) for h in hosts]))
+
+    trust, distrust = settled("good.org", links), settled("bad.com", {(b, a): n for (a, b), n in links.items()})
+    for h, t, d in zip(hosts, trust, distrust):
+        assert abs((got[h].trust or 0) - t) < 1e-5 and abs((got[h].distrust or 0) - d) < 1e-5
+        if not got[h].rule:
+            assert got[h].verdict == ("block" if d > t else "allow")
+    assert [got[f"h{i}.net"].verdict for i in range(10)] == ["block"] * 10
+
+
 # --- registered queries against SQL
 
 
