@@ -8,10 +8,15 @@ from dataclasses import dataclass, field
 
 #: Names of elements by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title object canvas math select audio video".split())
+RAW = frozenset("script style template iframe textarea title".split())
+#: Without an end tag these reach to the end of the page; another one is passed over.
+TO_END = frozenset("script style textarea title".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts semantics annotation".split()
 )
+#: These, and what they hold, end where their start tags close themselves.
+FOREIGN = frozenset({"svg", "math"})
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -111,7 +116,12 @@ def parse(text: str) -> Page:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at) if not m[3].endswith("/") else None
-            at = end.end() if end else at if m[3].endswith("/") else n
+            if end:
+                at = end.end()
+            elif tag in TO_END and not m[3].endswith("/"):
+                at = n
+            continue
+        if m[3].endswith("/") and (tag in FOREIGN or any(open_[0] in FOREIGN for open_ in stack)):
             continue
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docquarry.llm import chat, decontamination, html_extraction, images, language_model, media, packing, registry, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, decontamination, dom, html_extraction, images, language_model, media, packing, registry, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.labelled_pages import labelled_pages
 
 SF = "/root/testdata/sf0.001"
@@ -172,6 +172,17 @@ def test_tree_marginals_are_exact():
     assert np.allclose(on / mass, 1 / (1 + np.exp(-np.array(full))))
 
 
+def test_html_keeps_what_is_not_raw():
+    text = lambda html: dom.text_of(tree := dom.parse(html), [True] * len(tree.nodes))
+    for tag in "math object canvas audio video noscript svg select".split():
+        assert text(f"<p>one</p><{tag}>two</{tag}><p>three</p>").split() == ["one", "two", "three"]
+    for tag in "math object svg select template iframe".split():
+        assert "three" in text(f"<p>one</p><{tag}><p>three</p>").split()
+    assert text("<p>one</p><script>two</script><p>three</p><style>four").split() == ["one", "three"]
+    assert text("<p>a <math><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></math> b</p><p>c</p>") == "a x=2 b\nc"
+    assert text('<div><svg><path d="m"/><text>two</text></svg><svg/>three</div>').split() == ["two", "three"]
+
+
 def test_html_odd_input(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>a &amp; b<br>c"), (2, "u", "<"), (3, "u", "<article><p>" + "long words, here. " * 20_000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "'t' AS text")
