@@ -83,7 +83,7 @@ def _blocks(tab: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in range(0, len(table), _CHUNK):
         part = table[b : b + _CHUNK]
         if part.any():
-            packed = zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
+            packed = zlib.compress(part.astype(np.uint32).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([b // _CHUNK], pa.int32()), pa.array([packed], pa.binary())], ["tab", "block", "counts"])
 
 
@@ -94,11 +94,11 @@ def _stretched(blocks: DataFrame, sizes: list[int]) -> list[np.ndarray]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for tab, b, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                part = np.frombuffer(zlib.decompress(packed), np.uint16)
+                part = np.frombuffer(zlib.decompress(packed), np.uint32)
                 if (tab, b) in sums:
                     sums[tab, b] += part
                 else:
-                    sums[tab, b] = part.astype(np.uint32)
+                    sums[tab, b] = part.astype(np.uint64)
         for (tab, b), total in sums.items():
             packed = level_of(total[0::2], total[1::2]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([b], pa.int32()), pa.array([packed], pa.binary())], ["tab", "block", "counts"])

@@ -107,6 +107,16 @@ def test_language_model(spark, odd, empty):
     assert all(np.isfinite(r.score) for r in language_model.score_documents(odd.selectExpr("doc_id AS id", "text"), again, none).collect())
 
 
+def test_language_model_counts_are_exact(spark):
+    """A hot slot keeps its share of ones, in one task or over several."""
+    table = np.zeros(2 * 1024, np.uint32)
+    table[:6] = 900_000, 100_000, 70_000, 3_000_000_000, 1, 2
+    packed = [tuple(batch.column(i)[0].as_py() for i in range(3)) for _ in range(3) for batch in language_model._blocks(0, table)]
+    found = language_model._stretched(spark.createDataFrame(packed, language_model.BLOCKS), [1024])[0]
+    total = 3 * table.astype(np.int64)
+    assert (found == language_model.level_of(total[0::2], total[1::2])).all() and found[0] >> 2 == round(16 * np.log(1 / 9))
+
+
 def test_huffman_is_a_code():
     starts, lengths, *_ = language_model._huffman([5, 1, 1, 9, 30, 2])
     assert abs(sum(2.0 ** -int(k) for k in lengths) - 1) < 1e-12
