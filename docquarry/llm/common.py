@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch at most, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
@@ -23,15 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Colu
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches to ``BATCH_ROWS`` rows in this session."""
+    """Keeps Arrow batches to ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all machines share; a temporary one only where none is configured."""
+    """The checkpoint folder all machines share. Where none is configured, a temporary one in
+    local mode; on a cluster that would lose data, so it is an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docquarry-"))
     return sc.getCheckpointDir()
 
@@ -55,12 +59,14 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
     that reads it must have been kept elsewhere."""
     table = stored(df)
     path = table.inputFiles()
-    yield table
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
-    release(df.sparkSession)
+    try:
+        yield table
+    finally:
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+        release(df.sparkSession)
 
 
 def release(spark: SparkSession) -> None:

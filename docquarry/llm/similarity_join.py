@@ -4,22 +4,24 @@ A document is the set of its shingles (64-bit hashes of ``SHINGLE`` consecutive
 equal sets form one class. Two classes link when their Jaccard similarity reaches the
 threshold. The join has four steps:
 
-1. Grouping. Classes that agree on a minhash value are compared with one pivot each; those
-   that truly link are merged. Groups are the merged classes, in chunks of about
-   ``GROUP_MEMBERS``; every other class is a group of its own. Grouping is a matter of
-   speed only.
-2. Matrix. Each group stores the union of its members' prefix tokens (rows: token, group).
-   Of a set of n tokens any (1-t)n + 1 must meet a set that links with it, so the prefix
-   holds the n(1-t) + 1 rarest tokens in one global order: a fixed-size count sketch of all
-   documents puts tokens that many documents share last.
-3. Bound. Groups that share a prefix token and fit in size are candidates. A lower bound of
-   the symmetric difference from bucketed token counts rejects most of them. A member then
-   opens a group only if it overlaps the group's whole token union enough.
-4. Verification. Members of opened groups are compared exactly, up to the first link between
-   them; links merge components.
+1. Groups. A class joins the most popular of its minhash values, so that similar classes
+   come together whether they link or not; a group is cut into blocks of about
+   ``GROUP_MEMBERS`` classes or ``GROUP_TOKENS`` tokens. Any grouping gives the same result.
+2. Matrix. Of a set of n tokens any (1-t)n + 1 must meet a set that links with it, so a class
+   enters with its n(1-t) + 1 rarest tokens in one global order: a fixed-size count sketch of
+   all documents puts tokens that many documents share last. The matrix has a row for each
+   token and group, with the members' number and sizes. A class is a candidate for a group
+   that shares one of its tokens and fits in size: rows grow with classes times groups, never
+   with pairs of classes.
+3. Own groups. The candidates of each group are compared inside it. A class opens the group
+   only if its overlap with the union of the others' tokens can reach what a link needs. Only
+   links that connect something new are kept. The parts of one large group meet through the
+   class most like all, which is compared in each.
+4. Other groups. Candidates for other groups, where these hold another component at a
+   shared token, are compared with that group's candidates in the same way.
 
 Nothing is capped: a third of all documents in one group of copies is one class, and one of
-near copies is a chain of small groups that the first step has linked already.
+near copies is joined by its own groups, after which no pair of them is a candidate.
 """
 
 from __future__ import annotations
@@ -37,15 +39,12 @@ from docquarry.llm.common import bound_batches, release, scratch, stable, stored
 
 SHINGLE = 5
 PERCENT = 80
-GROUP_MEMBERS = 128
+#: A group is cut into parts of about so many classes and tokens.
+GROUP_MEMBERS, GROUP_TOKENS = 1024, 1 << 19
 #: Counters of the sketch, and those in one of its blocks.
 SLOTS, BLOCK = 1 << 24, 1 << 16
-#: Minhash values of a class; the first ``ROUNDS`` of them propose pivots.
-VALUES, ROUNDS = 16, 5
-#: A pivot is compared only with classes that agree on so many values.
-LEAST_AGREEING = 7
-#: Buckets of the token counts that bound the symmetric difference.
-BUCKETS = 256
+#: Minhash values of a class.
+VALUES = 5
 #: Bits of the filter that picks the classes whose sets are read again.
 FILTER_BITS = 1 << 26
 
@@ -128,11 +127,6 @@ def minhashes(tokens: np.ndarray) -> list[int]:
     return ((least >> np.uint64(32)).astype(np.int64) - (1 << 31)).tolist()
 
 
-def histogram(tokens: np.ndarray) -> bytes:
-    """Tokens by bucket, at most 255 each: 256 bytes."""
-    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
-
-
 _SIGNED = "id long, class long, n int, sig array<int>, block int, counts binary"
 
 
@@ -216,41 +210,43 @@ def short_length(n: int, percent: int) -> int:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, sketch: bytes) -> DataFrame:
-    """class, n and the prefix tokens, rarest first; once a class in a partition."""
+    """token, class, n and short of the prefix tokens; once a class in a partition.
+
+    ``short``: the token also counts against sets that are at least as large. Tokens are cut
+    to 40 bits here: a false meeting only costs a comparison.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = np.frombuffer(shared.value, np.uint8), set()
         for _, texts in texts_of(batches, "text"):
-            classes, sizes, parts = [], [], []
+            classes, sizes, lengths, parts, shorts = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, bool)]
             for text in texts:
                 tokens = shingles(text, size)
-                if not len(tokens) or (key := class_of(tokens)) in seen:
+                if not (n := len(tokens)) or (key := class_of(tokens)) in seen:
                     continue
                 seen.add(key)
                 rare = level[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
                 order = np.argsort((rare << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")
+                parts.append(tokens[order[: prefix_length(n, percent)]] >> np.uint64(24))
+                shorts.append(np.arange(len(parts[-1])) < short_length(n, percent))
                 classes.append(key)
-                sizes.append(len(tokens))
-                parts.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64))
-            yield _listed(classes, sizes, parts)
-
-    return docs.mapInArrow(run, "class long, n int, tokens array<long>")
+                sizes.append(n)
+                lengths.append(len(parts[-1]))
+            columns = [
+                pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), lengths)),
+                pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(shorts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "class", "n", "short"])
 
-
-def _listed(classes: list[int], sizes: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["class", "n", "tokens"])
+    return docs.mapInArrow(run, "token long, class long, n int, short boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """class, n, whole token set and its histogram (counts) of the ``wanted`` classes.
+    """class and whole token set of the ``wanted`` classes (and of a few others).
 
-    A bit filter of fixed size picks them (and a few others) while the texts are read, so
-    what is shuffled is a row for each picked class and partition.
+    A bit filter of fixed size picks them while the texts are read, so what is shuffled is a
+    row for each picked class and partition.
     """
     place = F.col("class").bitwiseAND(FILTER_BITS - 1) + 1  # class ids are hashes themselves
     bits = wanted.select(place.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
@@ -263,7 +259,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bit = set(), shared.value
         for _, texts in texts_of(batches, "text"):
-            keys, sizes, parts, counts = [], [], [], []
+            keys, parts = [], []
             for text in texts:
                 tokens = shingles(text, size)
                 if not len(tokens):
@@ -273,13 +269,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 if bit[at >> 3] >> (at & 7) & 1 and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sizes.append(len(tokens))
                     parts.append(tokens.view(np.int64))
-                    counts.append(histogram(tokens))
-            listed = _listed(keys, sizes, parts)
-            yield pa.RecordBatch.from_arrays([*listed.columns, pa.array(counts, pa.binary())], ["class", "n", "tokens", "counts"])
+            offsets = np.zeros(len(parts) + 1, np.int32)
+            np.cumsum([len(p) for p in parts], out=offsets[1:])
+            values = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["class", "tokens"])
 
-    return docs.mapInArrow(run, "class long, n int, tokens array<long>, counts binary").dropDuplicates(["class"])
+    return docs.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,164 +299,131 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pivot_links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """True links (a, b) between classes and the pivots of their minhash values.
+def _groups(classes: DataFrame) -> DataFrame:
+    """class, grp and pivot of the classes that share a minhash value with another one.
 
-    The pivot of a value is the class whose values are shared most: among edited copies of
-    one text that is the text itself, or the copy nearest to it.
-    """
-    keyed = classes.select("class", F.posexplode(F.slice("sig", 1, ROUNDS)).alias("r", "key"))
-    sizes = keyed.groupBy("r", "key").agg(F.count("*").alias("members")).where("members > 1")
-    met = stable(keyed.join(sizes, ["r", "key"]))
-    liked = met.groupBy("class").agg(F.sum("members").alias("liked"))
-    pivots = met.join(liked, "class").groupBy("r", "key").agg(F.max(F.struct("liked", "class")).alias("p"))
-    met = met.join(pivots.select("r", "key", F.col("p.class").alias("pivot")), ["r", "key"]).where("class <> pivot")
-    met = met.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    left, right = classes.toDF("a", "n_a", "sig_a"), classes.toDF("b", "n_b", "sig_b")
-    agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = stable(met.join(left, "a").join(right, "b").where(fits & (agreeing >= LEAST_AGREEING)).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    with scratch(_sets(docs, ends, size).select("class", "tokens")) as sets:
-        common = F.size(F.array_intersect("x", "y"))
-        linked = 100 * common >= percent * (F.size("x") + F.size("y") - common)
-        return stable(pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(linked).select("a", "b"))
-
-
-def _matrix(own: DataFrame, percent: int) -> DataFrame:
-    """token, grp, comp, lo, hi, short: the union of each group's prefix tokens.
-
-    Tokens are cut to 40 bits here: a false meeting only costs a look at the bound.
+    ``pivot`` is the class whose values are shared most, where the group is cut into parts.
     """
-    n, part = F.col("n").cast("long"), F.posexplode("tokens").alias("pos", "token")
-    limit = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
-    rows = own.select("class", "grp", "comp", "n", limit.alias("limit"), part).withColumn("token", F.shiftrightunsigned("token", 24)).withColumn("short", F.col("pos") < F.col("limit"))
-    alone = rows.where("grp is null").select("token", F.col("class").alias("grp"), F.col("class").alias("comp"), F.col("n").alias("lo"), F.col("n").alias("hi"), "short")
-    joint = rows.where("grp is not null").groupBy("token", "grp", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("short").alias("short"))
-    return alone.unionByName(joint.select("token", "grp", "comp", "lo", "hi", "short"))
-
-
-def _candidates(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (ga < gb) of different components that may hold a link."""
-    a = matrix.select("token", *(F.col(c).alias(f"{c}_a") for c in ("grp", "comp", "lo", "hi", "short")))
-    b = matrix.select("token", *(F.col(c).alias(f"{c}_b") for c in ("grp", "comp", "lo", "hi", "short")))
-    rare = (F.col("short_b") & (F.col("hi_a") >= F.col("lo_b"))) | (F.col("short_a") & (F.col("hi_b") >= F.col("lo_a")))
-    fits = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("comp_a") < F.col("comp_b")) & fits & rare)
-    return met.select(F.col("grp_a").alias("ga"), F.col("grp_b").alias("gb")).distinct()
+    keyed = classes.select("class", "n", F.posexplode("sig").alias("r", "key"))
+    popular = keyed.groupBy("r", "key").agg(F.count("*").alias("members")).where("members > 1")
+    best = keyed.join(popular, ["r", "key"]).groupBy("class").agg(
+        F.first("n").alias("n"), F.sum("members").alias("liked"), F.max(F.struct("members", "r", "key")).alias("best")
+    )
+    named = best.select("class", "n", "liked", F.xxhash64("best.r", "best.key").alias("whole"))
+    sizes = named.groupBy("whole").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.max(F.struct("liked", "class")).alias("most"))
+    parts = F.greatest(F.ceil(F.col("members") / GROUP_MEMBERS), F.ceil(F.col("tokens") / GROUP_TOKENS))
+    cut = named.join(sizes.withColumn("parts", parts), "whole").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    whole = F.col("parts") == 1
+    return cut.select("class", F.when(whole, F.col("whole")).otherwise(F.xxhash64("whole", "part")).alias("grp"), F.when(~whole, F.col("most.class")).alias("pivot"))
 
 
-def _packed(sets: DataFrame, members: DataFrame, column: str) -> DataFrame:
-    """grp and its members' (class, n, column); a group has about ``GROUP_MEMBERS``."""
-    named = sets.join(members.select("class", "grp"), "class", "left").withColumn("grp", F.coalesce("grp", "class"))
-    return named.groupBy("grp").agg(F.collect_list(F.struct("class", "n", column)).alias("held"))
+def _met(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, class, n, short, grp of the prefix tokens that two classes or more have."""
+    shared = prefixes.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    met = prefixes.join(shared, "token").dropDuplicates(["token", "class"])
+    return met.join(groups.select("class", "grp"), "class", "left").withColumn("grp", F.coalesce("grp", "class"))
 
 
-def _of_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The classes in the groups of ``pairs``."""
-    groups = pairs.select(F.col("ga").alias("grp")).union(pairs.select(F.col("gb").alias("grp"))).distinct()
-    inside = members.join(groups, "grp", "left_semi").select("class")
-    return inside.union(groups.select(F.col("grp").alias("class"))).distinct()
+def _candidates(met: DataFrame, percent: int, own: bool) -> DataFrame:
+    """ga, gb, left, class: classes to be compared within one group (``own``) or between two.
 
+    ``left``: the class is in ``ga``, the lower of the two. ``met`` has comp, the class's
+    component so far; where a token's holders in a group are all of that component there is
+    nothing to find.
+    """
+    n, small = F.col("n").cast("long"), F.min(F.when(F.col("short"), F.col("n").cast("long")))
+    matrix = met.groupBy(F.col("token").alias("at"), F.col("grp").alias("with")).agg(
+        F.count("*").alias("members"), F.min(n).alias("lo"), F.max(n).alias("hi"), small.alias("lo_short"), F.min("comp").alias("first"), F.max("comp").alias("last")
+    )
+    fits = (100 * n >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * n)
+    rare = (F.col("short") & (F.col("hi") >= n)) | (F.col("lo_short") <= n)
+    other = (F.col("first") != F.col("comp")) | (F.col("last") != F.col("comp"))
+    group = (F.col("grp") == F.col("with")) & (F.col("members") > 1) if own else F.col("grp") != F.col("with")
+    found = met.join(matrix, (F.col("token") == F.col("at")) & group & fits & rare & other)
+    return found.select(F.least("grp", "with").alias("ga"), F.greatest("grp", "with").alias("gb"), (F.col("grp") <= F.col("with")).alias("left"), "class").distinct()
 
-def _bounded(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` in which some two members are close enough by their histograms."""
-    packed = _packed(sets, members, "counts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ga, gb, left, right = (batch.column(i).to_pylist() for i in range(4))
-            keep = [_close(x, y, percent) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, k in zip(ga, keep) if k], pa.int64()), pa.array([g for g, k in zip(gb, keep) if k], pa.int64())], ["ga", "gb"])
+def spanning(classes: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among ``sets`` of distinct tokens, and no more.
 
-    held = pairs.join(packed.toDF("ga", "x"), "ga").join(packed.toDF("gb", "y"), "gb").select("ga", "gb", "x", "y")
-    return stable(held.mapInArrow(run, "ga long, gb long"))
+    With ``left``, only classes of different sides are compared. A class opens the group if
+    its overlap with the token union of those it may link with reaches the least that a link
+    needs; then its overlap with each of them is counted over an inverted index.
+    """
+    m, n = len(sets), np.array([len(t) for t in sets], np.int64)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, common = np.repeat(np.arange(m), n), counts[ids] > 1
+    ids, who = ids[common], who[common]
+    begin = np.searchsorted(who, np.arange(m + 1))
+    order = np.argsort(ids, kind="stable")
+    holders, first = who[order], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(counts)))])
+    label, out = np.arange(m), []
+    if left is None:
+        asking, smallest = range(m - 1), [int(n.min())] * 2
+    else:
+        on_left = np.bincount(ids[left[who]], minlength=len(counts))
+        on_right = np.bincount(ids[~left[who]], minlength=len(counts))
+        asking = np.flatnonzero(left if left.sum() * 2 <= m else ~left).tolist()
+        smallest = [int(n[side].min(initial=1 << 62)) for side in (left, ~left)]
+    for q in asking:
+        own = ids[begin[q] : begin[q + 1]]
+        if left is not None:
+            own = own[(on_right if left[q] else on_left)[own] > 0]
+        least = max(smallest[int(left is not None and left[q])], -(-percent * n[q] // 100))
+        if len(own) * (100 + percent) < percent * (n[q] + least):
+            continue
+        each = first[own + 1] - first[own]
+        at = np.repeat(first[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        both = np.bincount(holders[at], minlength=m)
+        links = 100 * both >= percent * (n + n[q] - both)
+        if left is None:
+            links[: q + 1] = False
+        else:
+            links &= left != left[q]
+        links &= label != label[q]
+        while links.any():
+            other = int(np.argmax(links))
+            out.append((int(classes[q]), int(classes[other])))
+            label[label == label[other]] = label[q]
+            links &= label != label[q]
+        if (label == label[q]).all():
+            break
+    return out
 
 
-def _close(x: list[dict], y: list[dict], percent: int) -> bool:
-    """Whether the counts leave room for a link between any two members.
+def _links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Connecting links (a, b) within or between the groups of candidate ``rows``.
 
-    With s sizes together and d the sum of count differences (a lower bound of the symmetric
-    difference), a link needs d <= s (100 - p) / (100 + p).
+    A task gets the rows of a pair of groups one after the other and holds one pair at a time.
     """
-    a = np.array([np.frombuffer(m["counts"], np.uint8) for m in x]).astype(np.int16)
-    b = np.array([np.frombuffer(m["counts"], np.uint8) for m in y]).astype(np.int16)
-    na, nb = np.array([m["n"] for m in x], np.int64), np.array([m["n"] for m in y], np.int64)
-    for row, n in zip(a, na):
-        apart = np.abs(b - row).sum(axis=1, dtype=np.int64)
-        if (apart * (100 + percent) <= (nb + n) * (100 - percent)).any():
-            return True
-    return False
-
-
-def _open_groups(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` of groups between which some link exists.
-
-    A member of one group opens the other only if its overlap with that group's token union
-    can reach what a link needs; then members are compared one by one, up to the first link:
-    a group lies within one component, so one link joins all.
-    """
-    kept = sets.join(_of_groups(pairs, members), "class", "left_semi")
-    packed = _packed(kept, members, "tokens")
+    sent = rows.join(_sets(docs, rows.select("class").distinct(), size), "class").select("ga", "gb", "left", "class", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ga, gb = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [linked(_members(x), _members(y), percent) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, k in zip(side, keep) if k], pa.int64()) for side in (ga, gb)], ["ga", "gb"])
-
-    held = pairs.join(packed.toDF("ga", "x"), "ga").join(packed.toDF("gb", "y"), "gb").select("ga", "gb", "x", "y")
-    return stable(held.mapInArrow(run, "ga long, gb long"))
-
+        key, held = None, []
 
-def _merge(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, as far as they connect.
+        def ended() -> pa.RecordBatch:
+            classes, sets = np.concatenate([h[1] for h in held]), [t for h in held for t in h[2]]
+            side = None if key[0] == key[1] else np.concatenate([h[0] for h in held])
+            found = spanning(classes, sets, side, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    First each two components get one pair of groups opened, twice; what that has merged
-    needs no further look. Then all pairs that are left are opened.
-    """
-    comp = members.select("grp", "comp").distinct()
-    named = pairs.join(comp.toDF("ga", "ca"), "ga", "left").join(comp.toDF("gb", "cb"), "gb", "left")
-    named = stable(named.select("ga", "gb", F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb")))
-    links, tried = named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).limit(0), None
-    for rest in (False, False, True):
-        todo = named
-        if tried is not None:
-            label = components(links)
-            todo = todo.join(tried, ["ga", "gb"], "left_anti").join(label.toDF("ca", "la"), "ca", "left").join(label.toDF("cb", "lb"), "cb", "left")
-            todo = todo.where(F.coalesce("la", "ca") != F.coalesce("lb", "cb"))
-            todo = todo.select("ga", "gb", F.coalesce("la", "ca").alias("ca"), F.coalesce("lb", "cb").alias("cb"))
-        if not rest:
-            todo = todo.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("ga", "gb")).alias("p")).select("p.ga", "p.gb")
-        todo = stable(todo.select("ga", "gb"))
-        if todo.isEmpty():
-            break
-        found = _open_groups(_bounded(todo, sets, members, percent), sets, members, percent)
-        links = stable(links.union(named.join(found, ["ga", "gb"], "left_semi").select("ca", "cb")))
-        tried = todo if tried is None else stable(tried.union(todo))
-        release(pairs.sparkSession)
-    return links
-
-
-def _members(held: pa.ListScalar) -> list[tuple[int, np.ndarray]]:
-    rows = held.values
-    tokens = rows.field("tokens")
-    return [(k, tokens[i].values.to_numpy()) for i, k in enumerate(rows.field("class").to_pylist())]
-
-
-def linked(x: list[tuple[int, np.ndarray]], y: list[tuple[int, np.ndarray]], percent: int) -> bool:
-    """Whether two groups of (class, distinct tokens) hold a link."""
-    union = np.unique(np.concatenate([t for _, t in y]))
-    smallest = min(len(t) for _, t in y)
-    for _, tokens in x:
-        need = -(-percent * (len(tokens) + max(smallest, -(-percent * len(tokens) // 100))) // (100 + percent))
-        if np.isin(tokens, union, assume_unique=True).sum() < need:
-            continue
-        for _, other in y:
-            common = len(np.intersect1d(tokens, other, assume_unique=True))
-            if 100 * common >= percent * (len(tokens) + len(other) - common):
-                return True
-    return False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ga, gb, left, classes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            lists = batch.column(4)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts = np.flatnonzero((ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ga)]):
+                if key != (ga[i], gb[i]):
+                    if held:
+                        yield ended()
+                    key, held = (ga[i], gb[i]), []
+                held.append((left[i:j].astype(bool), classes[i:j], [values[offsets[k] : offsets[k + 1]] for k in range(i, j)]))
+        if held:
+            yield ended()
+
+    return stable(sent.repartition("ga", "gb").sortWithinPartitions("ga", "gb").mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,23 +440,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = stored(_signatures(own, size))
     documents = first.where("block is null").select("id", "class", "n")
-    classes = stable(first.where("sig is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
-    star = components(_pivot_links(classes, own, size, percent)).select(F.col("node").alias("class"), F.col("label").alias("comp"))
-    sizes = star.groupBy("comp").agg(F.count("*").alias("k"))
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("k") / GROUP_MEMBERS))
-    members = stable(
-        star.join(sizes, "comp").select("class", "comp", F.when(F.col("k") <= GROUP_MEMBERS, F.col("comp")).otherwise(F.xxhash64("comp", chunk)).alias("grp"))
-    )
+    classes = first.where("sig is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    groups = stored(_groups(classes))
     sketch = _sketch(first.where("block is not null").select("block", "counts"))
+    with scratch(_prefixes(own, size, percent, sketch)) as prefixes:
+        met = stored(_met(prefixes, groups))
+    release(docs.sparkSession)
+    inside = stable(_candidates(met.withColumn("comp", F.col("class")), percent, own=True))
+    pivots = groups.where("pivot is not null").join(inside.select(F.col("ga").alias("grp")).distinct(), "grp", "left_semi")
+    pivots = pivots.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(True).alias("left"), F.col("pivot").alias("class"))
+    links = _links(inside.union(pivots).distinct(), own, size, percent)
     release(docs.sparkSession)
-    with scratch(_prefixes(own, size, percent, sketch).join(members, "class", "left")) as prefixes:
-        pairs = stable(_candidates(_matrix(prefixes, percent), percent))
-    with scratch(_sets(own, _of_groups(pairs, members), size)) as sets:
-        more = _merge(pairs, sets, members, percent)
-    both = star.select(F.col("class").alias("a"), F.col("comp").alias("b")).unionByName(more)
-    labels = components(both)
+    label = components(links)
+    met = met.join(label, met["class"] == label["node"], "left").withColumn("comp", F.coalesce("label", "class")).drop("node", "label")
+    across = _links(stable(_candidates(met, percent, own=False)), own, size, percent)
+    labels = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across))
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
     least = at.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     found = at.join(least, "label", "left")
     return found.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-

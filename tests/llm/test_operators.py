@@ -266,6 +266,47 @@ def test_similarity_join_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_similarity_join_large_groups(spark, monkeypatch):
+    """Groups cut into parts, of copies near one text, copies near each other and chains."""
+    monkeypatch.setattr(similarity_join, "GROUP_MEMBERS", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for base, edits in enumerate((1, 2, 3, 4)):
+        text = [f"b{base}x{i}" for i in range(60)]
+        for k in range(60):
+            copy = list(text)
+            for _ in range(edits):
+                copy[rng.integers(60)] = f"e{rng.integers(6)}"
+            if base == 3 and k % 2:  # each a little further from the first
+                copy = [f"b3x{i + k // 4}" for i in range(60)]
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in similarity_join.near_duplicates(docs).collect()), key=repr)
+    assert got == brute(rows)
+
+
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), min_size=1), st.booleans()), min_size=2, max_size=9), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_spanning_links(members, two_sides):
+    """Just the links that connect what all pairs connect."""
+    sets = [np.array(sorted(s), np.int64) for s, _ in members]
+    left = np.array([x for _, x in members]) if two_sides else None
+    found = similarity_join.spanning(np.arange(len(sets)), sets, left, 60)
+    all_links = [
+        (i, j) for i, (a, _) in enumerate(members) for j, (b, _) in enumerate(members[:i])
+        if 100 * len(a & b) >= 60 * len(a | b) and (left is None or left[i] != left[j])
+    ]
+
+    def parts(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            label = [label[j] if x == label[i] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    assert parts(found) == parts(all_links) and len(found) == len(sets) - len(parts(all_links))
+    assert {tuple(sorted(x, reverse=True)) for x in found} <= set(all_links)
+
+
 def test_similarity_join_odd_input(odd, empty):
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in similarity_join.near_duplicates(odd).collect()), key=repr)
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()])

@@ -43,3 +43,15 @@ def test_other_columns_pass(spark, name):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF))
     assert name in docs.columns and docs.count() > 0
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Copies, repeated rows, shared and null ids: one row of each text stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (None, d), (None, d), (None, a), (8, None), (8, None), (9, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(t for _, t in kept if t and t.strip()) == [a, b, c, d]
+    assert sorted((repr(x) for x in kept if not (x[1] or "").strip())) == sorted(map(repr, rows[-3:]))
+    assert set(kept) <= set(rows)
