@@ -22,13 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each component of similar documents.
+    """Keeps the first row of each component of similar documents, in the order of the files.
 
-    Documents without words are alone and stay; so do those without an id.
+    Rows are told apart by their place, not by ``doc_id``: of repeated rows one stays, rows
+    of one id with unlike texts all stay, and a null id is as good as any. Documents without
+    words are alone and stay. ``docs`` must be read from files, as each stage's input is:
+    its rows then have the same places each time.
     """
-    found = similarity_join.near_duplicates(docs)
-    others = found.where("id <> component_id").select(F.col("id").alias("_other")).distinct()
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    rows = docs.withColumn("_corpus_row", F.monotonically_increasing_id())
+    found = similarity_join.near_duplicates(rows.select("_corpus_row", "text"), id_col="_corpus_row")
+    others = found.where("id <> component_id").select(F.col("id").alias("_corpus_other"))
+    return rows.join(others, F.col("_corpus_row") == F.col("_corpus_other"), "left_anti").drop("_corpus_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
