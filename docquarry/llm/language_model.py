@@ -1,21 +1,28 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words and an end. A word of the vocabulary (the most frequent
-training words) is a path of bits in their Huffman tree; any other word is an escape followed by its
-bytes, eight bits each, and a space, or by its place in the list of rarer training words. Every bit is predicted from several
-contexts: tree node alone, node with the previous word, node with the last very common
-word; in spelled words, the last one, two and four bytes. Context statistics are
-bit counts in hashed tables, gathered over all training texts.
+A text is its lower-cased words and an end. Where the two words before a token have been met
+before, in the text or else in training, one bit says whether the same word follows again;
+its predictor counts hits and misses in the text, by how long the last run of hits was. Any
+other token is a path of bits in the Huffman tree of the most frequent training words, or an
+escape followed by the word's bytes, eight bits each, and a space. Every bit is predicted
+from several contexts: tree node alone, node with the previous word, node with the last very
+common word; in spelled words, the last one, two, three and five bytes. Context statistics
+are bit counts in hashed tables, gathered over all training texts.
 
 Predictions are mixed in the logistic domain. The weights are gated by how well the context
 is known and how deep the bit stands. While a text is coded its own copy of the weights
-follows the coding error, block by block, so that each text is scored alike wherever it
-stands in the input. The total is a proper code length; bits per byte come with it.
+follows the coding error, block by block, and a refinement of the mixed prediction, by gate,
+follows it too; so each text is scored alike wherever it stands in the input. Starting
+weights are fixed values: nothing is fitted on a sample. The total is a proper code length
+of the tokens; bits per byte come with it.
+
+Tables grow with the training tokens up to what a worker can hold: ``VOCABULARY`` words with
+a path (all others are spelled), ``WORD_SLOTS`` and ``MATCH_SLOTS``. Counts behind the base
+score are complete at any size.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -31,21 +38,33 @@ from docquarry.llm.common import bound_batches, stored, texts_of
 
 #: Stands for the end of a text among the tokens; no word is a newline.
 END = b"\n"
-#: Words of the Huffman tree; words whose counts are sent along for the base score.
-VOCABULARY, SENT_COUNTS = 1 << 17, 1 << 18
-#: Slots of a word-context table and of a spelling table.
-WORD_SLOTS, SPELL_SLOTS = 1 << 22, 1 << 20
+#: Words of the Huffman tree at most.
+VOCABULARY = 1 << 17
+#: Slots of a word-context table, of the table of followers and of a spelling table, at most.
+WORD_SLOTS, MATCH_SLOTS, SPELL_SLOTS = 1 << 22, 1 << 22, 1 << 20
 #: Ids below these keep their identity as the previous word and as the last common word.
 OWN_IDS, COMMON_IDS, ENDINGS = 1024, 256, 512
-#: The share of escapes that is given to listed tokens without a path.
-LISTED = 0.4
 #: Tokens between two updates of a text's weights, and the step of an update.
-BLOCK_TOKENS, RATE = 32, 0.003
-#: Texts on which the starting weights are settled.
-TUNING_TEXTS = 400
+BLOCK_TOKENS, RATE = 32, 0.004
 _CHUNK = 1 << 16
-_SPELL_ORDERS = (1, 2, 4)
+_SPELL_ORDERS = (1, 2, 3, 5)
 _MIX = np.uint32(0x9E3779B1)
+#: Where the table of followers stands among the tables; bits of a follower in an entry.
+_FOLLOWERS, _RANK_BITS = 2, 18
+#: Hits and misses that each predictor of repetition begins with: for followers from training
+#: and from the text, by the run of hits before (0, 1 to 3, 4 to 15, more).
+_BEGIN = np.array([[0.6, 2.0], [2.0, 0.7], [6.0, 0.5], [30.0, 0.5], [0.8, 1.6], [2.0, 0.7], [6.0, 0.5], [30.0, 0.5]])
+#: Starting weights by gate (three depths of the node, each by how well the
+#: previous word is known there) of the inputs node alone, previous word and common word, and
+#: of the spelling contexts by the longest one known. Settled on held-out texts once.
+_START = np.array(
+    [
+        [0.40, 0.40, 0.45, 1.30, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40],
+        [0.40, 0.15, 0.15, -0.15, 0.40, 0.25, 0.40, 0.40, 0.40, 0.35, 0.35, 0.40],
+        [0.20, -0.20, -0.25, 0.05, 0.50, 0.50, 0.45, 0.55, 0.30, 0.45, 0.50, 0.50],
+    ]
+)
+_SPELL_START = np.array([[0.30, 0.30, 0.30, 0.30], [0.55, 0.30, 0.30, 0.30], [0.55, 0.35, 0.30, 0.30], [0.05, 0.55, 0.50, 0.30], [0.00, 0.30, 0.50, 0.30]])
 
 BLOCKS = "tab int, block int, counts binary"
 
@@ -79,7 +98,7 @@ def _count_batches(held: Counter) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(tab: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A table of counts as compressed pieces of ``_CHUNK`` counters, empty ones left out."""
+    """A table as compressed pieces of ``_CHUNK`` numbers, empty ones left out."""
     for b in range(0, len(table), _CHUNK):
         part = table[b : b + _CHUNK]
         if part.any():
@@ -87,27 +106,31 @@ def _blocks(tab: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([b // _CHUNK], pa.int32()), pa.array([packed], pa.binary())], ["tab", "block", "counts"])
 
 
-def _stretched(blocks: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """Summed tables as one int16 a slot: 4 * stretch level + how well known (0 to 3)."""
+def _stretched(blocks: DataFrame, sizes: list[int], greatest: int = -1) -> list[np.ndarray]:
+    """Summed tables as one int16 a slot: 4 * stretch level + how well known (0 to 3). Of the
+    table numbered ``greatest``, the greatest entry of each slot instead."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for tab, b, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 part = np.frombuffer(zlib.decompress(packed), np.uint32)
-                if (tab, b) in sums:
-                    sums[tab, b] += part
+                if (tab, b) not in sums:
+                    sums[tab, b] = part.copy() if tab == greatest else part.astype(np.uint64)
+                elif tab == greatest:
+                    np.maximum(sums[tab, b], part, out=sums[tab, b])
                 else:
-                    sums[tab, b] = part.astype(np.uint64)
+                    sums[tab, b] += part
         for (tab, b), total in sums.items():
-            packed = level_of(total[0::2], total[1::2]).tobytes()
+            packed = total.tobytes() if tab == greatest else level_of(total[0::2], total[1::2]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([b], pa.int32()), pa.array([packed], pa.binary())], ["tab", "block", "counts"])
 
-    out = [np.zeros(n, np.int16) for n in sizes]
-    for r in blocks.repartition("tab", "block").mapInArrow(add, BLOCKS).collect():  # 2 bytes a slot in all
-        part = np.frombuffer(r["counts"], np.int16)
-        at = r["block"] * (_CHUNK // 2)
-        out[r["tab"]][at : at + len(part)] = part
+    out = [np.zeros(n, np.uint32 if tab == greatest else np.int16) for tab, n in enumerate(sizes)]
+    for r in blocks.repartition("tab", "block").mapInArrow(add, BLOCKS).collect():  # 2 or 4 bytes a slot in all
+        own = out[r["tab"]]
+        part = np.frombuffer(r["counts"], own.dtype)
+        at = r["block"] * (_CHUNK if own.dtype == np.uint32 else _CHUNK // 2)
+        own[at : at + len(part)] = part
     return out
 
 
@@ -121,8 +144,8 @@ def level_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Ranks of the most frequent tokens, the end first, and the Huffman paths of those
-    that have one. A token's id is its rank; all others share the id ``escape``."""
+    """Ranks of the most frequent tokens, the end first, and their Huffman paths. A token's
+    id is its rank; all others share the id ``escape``."""
 
     ranks: dict[bytes, int]
     counts: np.ndarray
@@ -133,19 +156,23 @@ class Vocabulary:
     steps: np.ndarray  # 2 * node + bit, path after path
     stretch: np.ndarray  # of each node
     gates: np.ndarray  # of each node, by its depth
+    mixed: np.ndarray  # of each node, its part of a slot
 
     @classmethod
-    def build(cls, tokens: list[bytes], counts: np.ndarray, total: int, size: int) -> Vocabulary:
-        """From the most frequent tokens, in order, with their counts; ``total`` counts all."""
+    def build(cls, tokens: list[bytes], counts: np.ndarray, total: int, once: int) -> Vocabulary:
+        """From the most frequent tokens, in order, with their counts; ``total`` counts all
+        training tokens, ``once`` the words among them that were met once: as many as these
+        are new words expected to be, and words of the tree give way to them by half a count."""
         order = sorted(range(len(tokens)), key=lambda i: tokens[i] != END)  # stable
         tokens, counts = [tokens[i] for i in order], np.asarray(counts, np.int64)[order]
         if not tokens or tokens[0] != END:
             tokens, counts = [END, *tokens], np.concatenate([[0], counts]).astype(np.int64)
-        often = 1 + int((counts[1:size] > 1).sum())  # words met once stand for new ones
-        freq = np.maximum(1, counts[:often]).tolist()
-        freq.append(max(1, total - int(counts[:often].sum())))
-        classes = np.array([i if i < OWN_IDS else ending(tokens[i]) for i in range(often)] + [OWN_IDS], np.uint32)
-        return cls({w: i for i, w in enumerate(tokens)}, counts, often, classes, *_huffman(freq))
+        n = len(tokens)
+        freq = np.append(np.maximum(1, 2 * counts - 1), max(1, 2 * (total - int(counts.sum())) + once))
+        classes = np.array([i if i < OWN_IDS else ending(tokens[i]) for i in range(n)] + [OWN_IDS], np.uint32)
+        starts, lengths, steps, stretch, gates = _huffman(freq)
+        mixed = np.arange(1, len(stretch) + 1, dtype=np.uint32) * np.uint32(0x85EBCA6B)
+        return cls({w: i for i, w in enumerate(tokens)}, counts, n, classes, starts, lengths, steps, stretch, gates, mixed)
 
 
 def ending(word: bytes) -> int:
@@ -153,18 +180,28 @@ def ending(word: bytes) -> int:
     return OWN_IDS + zlib.crc32(word[-2:]) % ENDINGS
 
 
-def _huffman(freq: list[int]) -> tuple[np.ndarray, ...]:
-    """Paths from the root: starts and lengths by symbol, steps; stretch and gate by node."""
+def _huffman(freq: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Paths from the root: starts and lengths by symbol, steps; stretch and gate by node.
+
+    Two queues: symbols by frequency, and made nodes, which come in order of weight.
+    """
     n = len(freq)
-    heap = [(f, i) for i, f in enumerate(freq)]
-    heapq.heapify(heap)
-    parent, side, weight = [0] * (2 * n), [0] * (2 * n), list(freq) + [0] * n
-    new = n
-    while len(heap) > 1:
-        (fa, a), (fb, b) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a], side[a], parent[b], side[b] = new, 0, new, 1
-        weight[new] = fa + fb
-        heapq.heappush(heap, (fa + fb, new))
+    weight = np.concatenate([freq, np.zeros(n, np.int64)]).astype(np.int64).tolist()
+    parent, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
+    leaves, leaf, made, new = np.argsort(freq, kind="stable").tolist(), 0, n, n
+    while new < 2 * n - 1:
+        pair = []
+        for _ in (0, 1):
+            if made >= new or (leaf < n and weight[leaves[leaf]] <= weight[made]):
+                pair.append(leaves[leaf])
+                leaf += 1
+            else:
+                pair.append(made)
+                made += 1
+        a, b = pair
+        parent[a] = parent[b] = new
+        side[b] = 1
+        weight[new] = weight[a] + weight[b]
         new += 1
     root = new - 1
     stretch, depth = np.zeros(n, np.float32), np.zeros(n, np.int64)
@@ -173,17 +210,14 @@ def _huffman(freq: list[int]) -> tuple[np.ndarray, ...]:
             depth[at - n] = depth[parent[at] - n] + 1
         if side[at]:
             stretch[parent[at] - n] = math.log(weight[at] / (weight[parent[at]] - weight[at]))
-    starts, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    steps: list[int] = []
-    for i in range(n):
-        path, at = [], i
-        while at != root:
-            path.append(2 * (parent[at] - n) + side[at])
-            at = parent[at]
-        starts[i], lengths[i] = len(steps), len(path)
-        steps += reversed(path)
+    at, paths = np.arange(n), []
+    while (at != root).any():  # a level a round, from the leaves up
+        paths.append(np.where(at != root, 2 * (parent[at] - n) + side[at], -1).astype(np.int32))
+        at = np.where(at != root, parent[at], root)
+    table = np.array(paths[::-1], np.int32).T if paths else np.zeros((n, 0), np.int32)
+    lengths = (table >= 0).sum(axis=1)
     gates = np.where(depth < 4, 0, np.where(depth < 9, 4, 8)).astype(np.uint8)  # four gates each
-    return starts, lengths, np.array(steps, np.uint32), np.clip(stretch, -12, 12), gates
+    return np.cumsum(lengths) - lengths, lengths, table[table >= 0].astype(np.uint32), np.clip(stretch, -12, 12), gates
 
 
 class Coder:
@@ -200,14 +234,18 @@ class Coder:
         get = self.v.ranks.get
         return np.array([get(w, -1) if i is None else i for w, i in zip(words, map(self.quick, words))], np.int64)
 
-    def tokens(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with the end, the two context classes of each, and where escapes are."""
+    def tokens(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids with the end, the two context classes of each, what each is (its id, or a hash
+        below zero where it is an escape), and where escapes are."""
         v = self.v
         ids = np.zeros(len(words) + 1, np.int64)
-        ids[:-1] = np.minimum(ranks.view(np.uint64), np.uint64(v.escape))  # -1 is above all ids
+        ids[:-1] = np.where(ranks < 0, v.escape, ranks)
         classes = v.classes[ids]
         escapes = np.flatnonzero(ids == v.escape)
-        classes[escapes] = [ending(words[i]) for i in escapes.tolist()]
+        spelled = [words[i] for i in escapes.tolist()]
+        classes[escapes] = [ending(w) for w in spelled]
+        what = ids.copy()
+        what[escapes] = [-1 - zlib.crc32(w) for w in spelled]
         before = np.empty(len(ids), np.uint32)
         before[0] = OWN_IDS + ENDINGS
         before[1:] = classes[:-1]
@@ -215,7 +253,7 @@ class Coder:
         last = np.zeros(len(ids), np.int64)
         last[1:] = np.maximum.accumulate(at)[:-1]
         common = np.where(last > 0, ids[np.maximum(last, 1) - 1], COMMON_IDS).astype(np.uint32)
-        return ids, before, common + np.uint32(4096), escapes
+        return ids, before, common + np.uint32(4096), what, escapes
 
     def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each bit of the tokens: which token, and 2 * node + bit."""
@@ -226,12 +264,53 @@ class Coder:
         step += np.repeat((self.v.starts[ids] - (ends - lengths)).astype(np.int32), lengths)
         return token, self.v.steps[step]
 
-    def slots(self, context: np.ndarray, token: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """The table slot of each bit under a context."""
-        mixed = (context * np.uint32(0xC2B2AE35))[token] ^ ((node + np.uint32(1)) * np.uint32(0x85EBCA6B))
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= _MIX
-        return mixed >> self.shift
+    def slots(self, context: np.ndarray, token: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The table slot of each bit under a context; ``mixed``: the nodes' part of it."""
+        out = (context * np.uint32(0xC2B2AE35))[token]
+        out ^= mixed
+        out ^= out >> np.uint32(15)
+        out *= _MIX
+        out >>= self.shift
+        return out
+
+
+def pairs_before(what: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of the two tokens before each one, in texts that start at ``begin``; 0 where
+    there are none."""
+    key = np.zeros(len(what), np.uint64)
+    w = what.view(np.uint64)
+    key[2:] = (w[1:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    key ^= key >> np.uint64(31)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(29)
+    key |= np.uint64(1)
+    key[begin] = 0
+    second = begin + 1
+    key[second[second < len(key)]] = 0
+    return key
+
+
+def _entry(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot in the table of followers, and check bits in place."""
+    slot = (key >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+    check = ((key >> np.uint64(8)) & np.uint64(0x3FFF)).astype(np.uint32) << np.uint32(_RANK_BITS)
+    return slot, check
+
+
+def followers(what: np.ndarray, text: np.ndarray, key: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What followed the same two tokens before, and where that is known from: 0 nowhere,
+    1 training, 2 the text itself."""
+    slot, check = _entry(key, len(table))
+    entry = table[slot]
+    mask = np.uint32((1 << _RANK_BITS) - 1)
+    known = ((entry & ~mask) == check) & (entry & mask > 0) & (key > 0)
+    guess, source = np.where(known, (entry & mask).astype(np.int64) - 1, 0), known.astype(np.int64)
+    own = key ^ (text.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    order = np.argsort(own, kind="stable")
+    same = np.flatnonzero((own[order[1:]] == own[order[:-1]]) & (key[order[1:]] > 0))
+    guess[order[same + 1]] = what[order[same]]
+    source[order[same + 1]] = 2
+    return guess, source
 
 
 def _spell_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -259,39 +338,35 @@ def _spell_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.nda
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its size doesn't depend on the corpus."""
+    """Everything that scoring needs."""
 
     vocabulary: Vocabulary
     tables: list[np.ndarray]
     spelling: list[np.ndarray]
     total: int
     distinct: int
-    start: np.ndarray = field(default_factory=lambda: np.full((3, 12), 0.4))
-    spell_weights: np.ndarray = field(default_factory=lambda: np.full((4, len(_SPELL_ORDERS)), 0.3))
+    start: np.ndarray = field(default_factory=lambda: _START.copy())
+    spell_weights: np.ndarray = field(default_factory=lambda: _SPELL_START.copy())
 
 
 class Scorer:
     """Log-probabilities of texts under a model."""
 
     def __init__(self, model: Model):
-        self.m, self.coder = model, Coder(model.vocabulary)
+        self.m, self.coder = model, Coder(model.vocabulary, len(model.tables[0]))
         self.spelled: dict[bytes, float] = {}
+        self.value = (np.arange(-512, 512) >> 2).astype(np.float32) / 16  # of a table's level
 
-    def spell(self, words: list[bytes], learn: float = 0.0) -> np.ndarray:
-        """Natural log-probability of each word's bytes; with ``learn``, the weights move."""
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """Natural log-probability of each word's bytes."""
         word, bit, slots = _spell_bits(words)
         levels = [t[s] for t, s in zip(self.m.spelling, slots)]
-        known = (levels[-1] & 3).astype(np.int64)
-        stretch = [(x >> 2) * np.float32(1 / 16) for x in levels]
-        w = self.m.spell_weights
-        columns = np.ascontiguousarray(w.T, np.float32)
-        z = sum(columns[i][known] * s for i, s in enumerate(stretch))
-        sign = 1 - 2 * bit.astype(np.float32)
-        miss = np.exp(np.clip(sign * z, -30, 30))
-        if learn:
-            error = -sign * miss / (1 + miss)
-            for i, s in enumerate(stretch):
-                w[:, i] += learn * np.bincount(known, error * s, minlength=4) / np.maximum(1, np.bincount(known, minlength=4))
+        known = np.zeros(len(bit), np.int64)
+        for i, x in enumerate(levels):
+            known[(x & 3) > 0] = i + 1
+        columns = np.ascontiguousarray(self.m.spell_weights.T, np.float32)
+        z = sum(columns[i][known] * self.value[x + 512] for i, x in enumerate(levels))
+        miss = np.exp(np.clip((1 - 2 * bit.astype(np.float32)) * z, -30, 30))
         return np.bincount(word, -np.log1p(miss), minlength=len(words))
 
     def spelling_cost(self, words: set[bytes]) -> None:
@@ -303,18 +378,30 @@ class Scorer:
             part = new[i : i + 8192]
             self.spelled.update(zip(part, self.spell(part).tolist()))
 
-    def escaped(self, words: list[bytes], ranks: np.ndarray) -> float:
-        """Log-probability of escaped words: spelled, or one of the listed tokens without a
-        path, each alike; the two ways are mixed."""
-        if not words:
-            return 0.0
-        spelled = np.array(list(map(self.spelled.__getitem__, words)))
-        listed = len(self.m.vocabulary.counts) - self.m.vocabulary.escape
-        if listed < 1:
-            return float(spelled.sum())
-        spelled += math.log(1 - LISTED)
-        both = np.logaddexp(spelled, math.log(LISTED / listed))
-        return float(np.where(ranks >= 0, both, spelled).sum())
+    def repeated(self, what: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens a follower foretells, and the log-probability of that bit for each."""
+        guess, source = followers(what, text, pairs_before(what, begin), self.m.tables[_FOLLOWERS])
+        hit = (source > 0) & (guess == what)
+        at = np.arange(len(what))
+        last = np.maximum.accumulate(np.where(hit, -1, at))  # the last miss so far
+        run = np.zeros(len(what), np.int64)
+        run[1:] = at[:-1] - last[:-1]
+        run = np.minimum(run, at - begin[text])
+        kind = (source - 1) * 4 + (run > 0) + (run > 3) + (run > 15)
+        asked = np.flatnonzero(source > 0)
+        group = text[asked] * 8 + kind[asked]
+        order = np.argsort(group, kind="stable")
+        group, hits = group[order], hit[asked][order].astype(np.int64)
+        new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
+        place = np.arange(len(group))
+        first = np.maximum.accumulate(np.where(new, place, 0)) if len(group) else place
+        before = np.cumsum(hits) - hits
+        before -= before[first]
+        yes, no = _BEGIN[group % 8].T
+        p = (yes + before) / (yes + no + place - first)
+        cost = np.zeros(len(what))
+        cost[asked[order]] = np.log(np.where(hits, p, 1 - p))
+        return hit, cost
 
     def score(self, texts: list[list[bytes]], ranks: list[np.ndarray] | None = None, rate: float = RATE, keep: list | None = None) -> list[float]:
         """Natural log-probability of each text, given as its words (and their ranks).
@@ -322,50 +409,62 @@ class Scorer:
         All texts advance together, ``BLOCK_TOKENS`` tokens at a time, each with weights of
         its own. ``keep`` receives the final weights.
         """
+        if not texts:
+            return []
         v, coder = self.m.vocabulary, self.coder
         ranks = [coder.look_up(words) for words in texts] if ranks is None else ranks
         coded = [coder.tokens(words, r) for words, r in zip(texts, ranks)]
-        unknown = [[words[i] for i in c[3].tolist()] for words, c in zip(texts, coded)]
-        self.spelling_cost(set().union(*unknown))
-        extra = [self.escaped(part, r[c[3]]) for part, r, c in zip(unknown, ranks, coded)]
-        sizes = np.array([len(c[0]) for c in coded], np.int64)
+        n, sizes = len(texts), np.array([len(c[0]) for c in coded], np.int64)
+        begin, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
+        ids, before, common, what = (np.concatenate([c[k] for c in coded]) for k in range(4))
+        hit, cost = self.repeated(what, text, begin)
+        total = np.bincount(text, cost, minlength=n)
+        spelled = [(b + c[4], [words[i] for i in c[4].tolist()]) for b, c, words in zip(begin.tolist(), coded, texts)]
+        self.spelling_cost({w for _, part in spelled for w in part})
+        for i, (at, part) in enumerate(spelled):
+            if part:
+                total[i] += sum(self.spelled[w] for w, h in zip(part, hit[at].tolist()) if not h)
+        rest = np.flatnonzero(~hit)
+        sizes = np.bincount(text[rest], minlength=n)
         order = np.argsort(-sizes, kind="stable")
-        ids, before, common = (np.concatenate([coded[i][k] for i in order]) for k in range(3))
-        sizes = sizes[order]
+        moved = rest[np.argsort(np.argsort(order)[text[rest]], kind="stable")]  # longest text first
+        ids, before, common, sizes = ids[moved], before[moved], common[moved], sizes[order]
         begin = np.cumsum(sizes) - sizes
-        n = len(texts)
         weights = [np.repeat(self.m.start[k][None, :], n, axis=0).astype(np.float32).ravel() for k in range(3)]
-        total = np.zeros(n)
-        for at in range(0, int(sizes[0]) if n else 0, BLOCK_TOKENS):
+        refined, coded_total = np.zeros(n * 12, np.float32), np.zeros(n)
+        for at in range(0, int(sizes[0]), BLOCK_TOKENS):
             m = int(np.searchsorted(-sizes, -at, side="left"))  # texts longer than ``at``
             take = np.minimum(sizes[:m] - at, BLOCK_TOKENS)
             doc = np.repeat(np.arange(m), take)
             token = begin[doc] + at + np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
             of, step = coder.steps(ids[token])
             node = step >> 1
-            one = self.m.tables[0][coder.slots(before[token], of, node)]
-            two = self.m.tables[1][coder.slots(common[token], of, node)]
-            inputs = (v.stretch[node], (one >> 2) * np.float32(1 / 16), (two >> 2) * np.float32(1 / 16))
+            mixed = v.mixed[node]
+            one = self.m.tables[0][coder.slots(before[token], of, mixed)]
+            two = self.m.tables[1][coder.slots(common[token], of, mixed)]
+            inputs = (v.stretch[node], self.value[one + np.int16(512)], self.value[two + np.int16(512)])
             gate = (doc * 12)[of]
             gate += one & 3
             gate += v.gates[node]
-            z = weights[0][gate] * inputs[0] + weights[1][gate] * inputs[1] + weights[2][gate] * inputs[2]
+            z = weights[0][gate]
+            z *= inputs[0]
+            z += weights[1][gate] * inputs[1]
+            z += weights[2][gate] * inputs[2]
+            z += refined[gate]
             sign = 1 - 2 * (step & 1).astype(np.float32)
             z *= sign
             miss = np.exp(np.minimum(z, 30, out=z), out=z)
             bits = np.cumsum(v.lengths[ids[token]])[np.cumsum(take) - 1]
-            total[:m] -= np.add.reduceat(np.log1p(miss), np.concatenate([[0], bits[:-1]]), dtype=np.float64)
-            error = miss / (1 + miss)
-            error *= sign
-            error *= np.float32(-rate)
+            coded_total[:m] -= np.add.reduceat(np.log1p(miss), np.concatenate([[0], bits[:-1]]), dtype=np.float64)
+            miss /= 1 + miss
+            miss *= sign
             for k in range(3):
-                weights[k][: m * 12] += np.bincount(gate, error * inputs[k], minlength=m * 12).astype(np.float32)
+                weights[k][: m * 12] -= np.float32(rate) * np.bincount(gate, miss * inputs[k], minlength=m * 12)
+            refined[: m * 12] -= np.float32(rate) * np.bincount(gate, miss, minlength=m * 12)
         if keep is not None:
             keep += [w.reshape(n, 12) for w in weights]
-        out = [0.0] * n
-        for place, i in enumerate(order.tolist()):
-            out[i] = float(total[place]) + extra[i]
-        return out
+        total[order] += coded_total
+        return total.tolist()
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -380,40 +479,51 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
+def _slots(tokens: int, most: int) -> int:
+    """A table's slots: enough for so many tokens, from 4096 to ``most``."""
+    return min(most, 1 << max(12, (tokens - 1).bit_length()))
+
+
 def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """The model and the token counts of the usable ``docs`` (columns id and text).
 
-    Counts, contexts and spellings come from every usable text, whole; the starting weights
-    from ``TUNING_TEXTS`` of them, those of lowest id hash.
+    Counts, contexts, followers and spellings come from every usable text, whole.
     """
     spark = docs.sparkSession
     own = docs.where(usable)
     counts = stored(token_counts(own)) if counts is None else counts
-    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    least = _least_count(counts, SENT_COUNTS)
+    total, distinct, once = counts.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
+    least = _least_count(counts, VOCABULARY)
     head = counts.where((F.col("n") >= least) | (F.col("token") == F.lit(END))).orderBy(F.desc("n"), "token").toArrow()
     tokens, often = head.column("token").to_pylist(), head.column("n").to_numpy()
-    vocabulary = Vocabulary.build(tokens, often, total or 0, VOCABULARY)
+    vocabulary = Vocabulary.build(tokens, often, total or 0, once)
     most = int(often[OWN_IDS - 1]) if len(often) >= OWN_IDS else total or 0
     del head, tokens, often
     shared = spark.sparkContext.broadcast(vocabulary)
+    word_slots, match_slots = _slots(16 * (total or 1), WORD_SLOTS), _slots(2 * (total or 1), MATCH_SLOTS)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
-        tables = [np.zeros(2 * WORD_SLOTS, np.uint32) for _ in range(2)]
+        coder = Coder(shared.value, word_slots)
+        tables = [np.zeros(2 * word_slots, np.uint32) for _ in range(2)]
+        follows = np.zeros(match_slots, np.uint32)
         for _, texts in texts_of(batches, "text"):
             split = [words_of(t) for t in texts]
             coded = [coder.tokens(words, coder.look_up(words)) for words in split]
             if not coded:
                 continue
-            ids, before, common = (np.concatenate([c[k] for c in coded]) for k in range(3))
+            ids, before, common, what = (np.concatenate([c[k] for c in coded]) for k in range(4))
+            sizes = np.array([len(c[0]) for c in coded])
+            key = pairs_before(what, np.cumsum(sizes) - sizes)
+            told = np.flatnonzero((key > 0) & (what >= 0))
+            slot, check = _entry(key[told], match_slots)
+            np.maximum.at(follows, slot, check | (what[told] + 1).astype(np.uint32))
             for i in range(0, len(ids), 200_000):
                 of, step = coder.steps(ids[i : i + 200_000])
-                bit, node = (step & 1).astype(np.int64), step >> 1
+                bit, mixed = (step & 1).astype(np.int64), coder.v.mixed[step >> 1]
                 for table, context in zip(tables, (before, common)):
-                    slot = coder.slots(context[i : i + 200_000], of, node).astype(np.int64)
+                    slot = coder.slots(context[i : i + 200_000], of, mixed).astype(np.int64)
                     np.add.at(table, 2 * slot + bit, np.uint32(1))
-        for tab, table in enumerate(tables):
+        for tab, table in enumerate([*tables, follows]):
             yield from _blocks(tab, table)
 
     def spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,29 +537,10 @@ def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> t
         for tab, table in enumerate(tables):
             yield from _blocks(tab, table)
 
-    tables = _stretched(own.select("text").mapInArrow(contexts, BLOCKS), [WORD_SLOTS] * 2)
+    tables = _stretched(own.select("text").mapInArrow(contexts, BLOCKS), [word_slots, word_slots, match_slots], _FOLLOWERS)
     rare = counts.where((F.col("n") <= most) & (F.col("token") != F.lit(END))).select("token")
     spelling = _stretched(rare.mapInArrow(spellings, BLOCKS), [SPELL_SLOTS] * len(_SPELL_ORDERS))
-    model = Model(vocabulary, tables, spelling, total or 0, distinct or 0)
-    ids = own.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TUNING_TEXTS).collect()
-    if ids:
-        picked = F.broadcast(spark.createDataFrame(ids, "id long"))
-        texts = sorted(r["text"] or "" for r in own.join(picked, "id").select("text").collect())
-        tune(model, [words_of(t) for t in texts])
-    return model, counts
-
-
-def tune(model: Model, texts: list[list[bytes]], rounds: int = 4) -> None:
-    """Settles the starting weights: those that texts end with, on average, round by round."""
-    scorer = Scorer(model)
-    v = model.vocabulary
-    rare = sorted({w for t in texts for w in t if not 0 <= v.ranks.get(w, -1) < v.escape})[:20_000]
-    for learn in [0.5] * 30 + [0.1] * 10 if rare else []:
-        scorer.spell(rare, learn)
-    for _ in range(rounds):
-        kept: list[np.ndarray] = []
-        scorer.score(texts, keep=kept)
-        model.start = np.array([k.mean(axis=0, dtype=np.float64) for k in kept])
+    return Model(vocabulary, tables, spelling, total or 0, distinct or 0), counts
 
 
 SCORED = "id long, n_tokens long, n_known long, base double, logp double, n_bytes long, rest array<struct<token:binary,n:int>>"
@@ -460,7 +551,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
 
     Returns id, n_tokens, n_known, base_score, score (both log10) and bits_per_byte. Null
     text is empty: one token, the end. Ids may be null or repeated. The base score needs
-    exact counts: those of the ``SENT_COUNTS`` most frequent tokens go along with the
+    exact counts: those of the ``VOCABULARY`` most frequent tokens go along with the
     model, other tokens are looked up by a join.
     """
     spark = docs.sparkSession

@@ -107,6 +107,61 @@ def test_language_model(spark, odd, empty):
     assert all(np.isfinite(r.score) for r in language_model.score_documents(odd.selectExpr("doc_id AS id", "text"), again, none).collect())
 
 
+def test_language_model_held_out(spark):
+    """The base score and its counts from scratch; the model is better on texts it hasn't seen."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    tokens = {k: [*words(t), None] for k, t in rows.items()}
+    held = {k for k in rows if zlib.crc32(str(k).encode()) % 7 == 2}
+    counts = defaultdict(int)
+    for k in rows.keys() - held:
+        for w in tokens[k]:
+            counts[w] += 1
+    n = sum(counts.values())
+    got = {r.doc_id: r for r in registry.op3_language_model(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == rows.keys()
+    for k, r in got.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (k in held, len(tokens[k]), sum(w in counts for w in tokens[k]), n)
+        assert abs(r.base_score - sum(np.log10((counts.get(w, 0) + 1) / (n + len(counts) + 1)) for w in tokens[k])) < 1e-6 * len(tokens[k])
+    assert sum(got[k].score for k in held) > 0.9 * sum(got[k].base_score for k in held)
+
+
+def test_repetition_is_coded_in_order(spark):
+    """Followers, runs and their adaptive bits against a walk through the texts, token by token."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h{i % 3} a b c d e x{i} a b") for i in range(9)] + [(9, "a"), (10, "")], "id long, text string")
+    model, _ = language_model.train(docs, registry.id_mod("id", 7) != 2)
+    scorer, v = language_model.Scorer(model), model.vocabulary
+    split = [language_model.words_of(t) for t in ("a b c d zz yy a b c d zz yy a b c zz yy q", "", "a b", "zz yy zz yy zz yy zz")]
+    coded = [scorer.coder.tokens(w, scorer.coder.look_up(w)) for w in split]
+    what, sizes = np.concatenate([c[3] for c in coded]), np.array([len(c[3]) for c in coded])
+    begin = np.cumsum(sizes) - sizes
+    hit, cost = scorer.repeated(what, np.repeat(np.arange(len(sizes)), sizes), begin)
+    key, mask = language_model.pairs_before(what, begin), (1 << 18) - 1
+    for start, size in zip(begin, sizes):
+        own, run, seen = {}, 0, {}
+        for i in range(start, start + size):
+            guess, source = None, 0
+            if i - start > 1:
+                slot, check = language_model._entry(key[i : i + 1], len(model.tables[2]))
+                entry = int(model.tables[2][slot][0])
+                if entry & mask and entry & ~mask == int(check[0]):
+                    guess, source = (entry & mask) - 1, 1
+                pair = (what[i - 2], what[i - 1])
+                if pair in own:
+                    guess, source = own[pair], 2
+                own[pair] = what[i]
+            if source:
+                kind = (source - 1) * 4 + (run > 0) + (run > 3) + (run > 15)
+                yes, no = seen.setdefault(kind, list(language_model._BEGIN[kind]))
+                right = guess == what[i]
+                assert hit[i] == right and np.isclose(cost[i], np.log((yes if right else no) / (yes + no)))
+                seen[kind][0 if right else 1] += 1
+            else:
+                right = False
+                assert not hit[i] and cost[i] == 0
+            run = run + 1 if right else 0
+    assert v.escape == len(v.counts)
+
+
 def test_language_model_counts_are_exact(spark):
     """A hot slot keeps its share of ones, in one task or over several."""
     table = np.zeros(2 * 1024, np.uint32)
