@@ -13,10 +13,11 @@ threshold. The join has four steps:
    token and group, with the members' number and sizes. A class is a candidate for a group
    that shares one of its tokens and fits in size: rows grow with classes times groups, never
    with pairs of classes.
-3. Own groups. The candidates of each group are compared inside it. A class opens the group
-   only if its overlap with the union of the others' tokens can reach what a link needs. Only
-   links that connect something new are kept. The parts of one large group meet through the
-   class most like all, which is compared in each.
+3. Own groups. The candidates of each group are compared inside it. First bucketed token
+   counts, a lower bound of the symmetric difference, drop most. Then token sets are sent; a
+   class opens the group only if its overlap with the union of the others' tokens can reach
+   what a link needs. Only links that connect something new are kept. The parts of one large
+   group meet through the class most like all, which is compared in each.
 4. Other groups. Candidates for other groups, where these hold another component at a
    shared token, are compared with that group's candidates in the same way.
 
@@ -27,15 +28,15 @@ near copies is joined by its own groups, after which no pair of them is a candid
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, release, scratch, stable, stored, texts_of
+from docquarry.llm.common import bound_batches, release, stable, stored, texts_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -45,6 +46,10 @@ GROUP_MEMBERS, GROUP_TOKENS = 1024, 1 << 19
 SLOTS, BLOCK = 1 << 24, 1 << 16
 #: Minhash values of a class.
 VALUES = 5
+#: Buckets of the token counts that bound the symmetric difference.
+BUCKETS = 256
+#: Tokens whose counter in the sketch has so many bits are joined without a look at each other.
+HOT_LEVEL = 17
 #: Bits of the filter that picks the classes whose sets are read again.
 FILTER_BITS = 1 << 26
 
@@ -127,11 +132,16 @@ def minhashes(tokens: np.ndarray) -> list[int]:
     return ((least >> np.uint64(32)).astype(np.int64) - (1 << 31)).tolist()
 
 
-_SIGNED = "id long, class long, n int, sig array<int>, block int, counts binary"
+def histogram(tokens: np.ndarray) -> bytes:
+    """Tokens by bucket, at most 255 each: ``BUCKETS`` bytes."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+_SIGNED = "id long, class long, n int, sig array<int>, buckets binary, block int, counts binary"
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """A row a document (id, class, n, sig) and rows of sketch blocks (block, counts)."""
+    """A row a document (id, class, n, sig, buckets) and rows of sketch blocks (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, n_held, seen = np.zeros(SLOTS, np.uint32), [], 0, set()
@@ -143,16 +153,18 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             held, n_held = [], 0
 
         for batch, texts in texts_of(batches, "text"):
-            classes, sizes, sigs = [], [], []
+            classes, sizes, sigs, buckets = [], [], [], []
             for text in texts:
                 tokens = shingles(text, size)
                 sizes.append(len(tokens))
                 if not len(tokens):
                     classes.append(None)
                     sigs.append(None)
+                    buckets.append(None)
                     continue
                 classes.append(key := class_of(tokens))
                 sigs.append(None if key in seen else minhashes(tokens))
+                buckets.append(None if key in seen else histogram(tokens))
                 seen.add(key)
                 held.append(tokens)
                 n_held += len(tokens)
@@ -160,7 +172,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     flush()
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int32())), pa.array(buckets, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 _NAMES,
             )
         flush()
@@ -168,7 +180,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             part = np.minimum(sketch[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
             if part.any():
                 packed = zlib.compress(part.tobytes(), 1)
-                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))]
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([b], pa.int32()), pa.array([packed], pa.binary())], _NAMES)
 
     return docs.mapInArrow(run, _SIGNED)
@@ -210,17 +222,18 @@ def short_length(n: int, percent: int) -> int:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, sketch: bytes) -> DataFrame:
-    """token, class, n and short of the prefix tokens; once a class in a partition.
+    """token, class, n, short and hot of the prefix tokens; once a class in a partition.
 
-    ``short``: the token also counts against sets that are at least as large. Tokens are cut
-    to 40 bits here: a false meeting only costs a comparison.
+    ``short``: the token also counts against sets that are at least as large. ``hot``: very
+    many documents may have it. Tokens are cut to 40 bits here: a false meeting only costs a
+    comparison.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = np.frombuffer(shared.value, np.uint8), set()
         for _, texts in texts_of(batches, "text"):
-            classes, sizes, lengths, parts, shorts = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, bool)]
+            classes, sizes, lengths, parts, shorts, hots = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, bool)]
             for text in texts:
                 tokens = shingles(text, size)
                 if not (n := len(tokens)) or (key := class_of(tokens)) in seen:
@@ -228,18 +241,20 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: bytes) -> DataFr
                 seen.add(key)
                 rare = level[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
                 order = np.argsort((rare << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")
-                parts.append(tokens[order[: prefix_length(n, percent)]] >> np.uint64(24))
+                order = order[: prefix_length(n, percent)]
+                parts.append(tokens[order] >> np.uint64(24))
+                hots.append(rare[order] >= HOT_LEVEL)
                 shorts.append(np.arange(len(parts[-1])) < short_length(n, percent))
                 classes.append(key)
                 sizes.append(n)
                 lengths.append(len(parts[-1]))
             columns = [
                 pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), lengths)),
-                pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(shorts)),
+                pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(shorts)), pa.array(np.concatenate(hots)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "class", "n", "short"])
+            yield pa.RecordBatch.from_arrays(columns, ["token", "class", "n", "short", "hot"])
 
-    return docs.mapInArrow(run, "token long, class long, n int, short boolean")
+    return docs.mapInArrow(run, "token long, class long, n int, short boolean, hot boolean")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -318,9 +333,15 @@ def _groups(classes: DataFrame) -> DataFrame:
 
 
 def _met(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
-    """token, class, n, short, grp of the prefix tokens that two classes or more have."""
-    shared = prefixes.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    met = prefixes.join(shared, "token").dropDuplicates(["token", "class"])
+    """token, class, n, short, grp of the prefix tokens that two classes or more have.
+
+    A token's rows come together once. Hot ones, few as they stand last in the order, are
+    dealt by class as well and all kept, so none gathers in a task.
+    """
+    spread = F.when(F.col("hot"), F.col("class"))
+    same = Window.partitionBy("token", "spread")
+    marked = prefixes.withColumn("spread", spread).withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same))
+    met = marked.where("hot or low < high").select("token", "class", "n", "short").dropDuplicates(["token", "class"])
     return met.join(groups.select("class", "grp"), "class", "left").withColumn("grp", F.coalesce("grp", "class"))
 
 
@@ -391,39 +412,82 @@ def spanning(classes: np.ndarray, sets: list[np.ndarray], left: np.ndarray | Non
     return out
 
 
-def _links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Connecting links (a, b) within or between the groups of candidate ``rows``.
+def _by_pair(rows: DataFrame, schema: str, work: Callable[[bool, np.ndarray, np.ndarray, list], list]) -> DataFrame:
+    """``work`` on the candidates of each pair of groups: whether it is one group, which are on
+    the left, their classes and their last columns, binary or lists of longs, as arrays.
 
-    A task gets the rows of a pair of groups one after the other and holds one pair at a time.
+    ``rows`` has ga, gb, left, class and that column. A task gets the rows of a pair one
+    after the other and holds one pair at a time.
     """
-    sent = rows.join(_sets(docs, rows.select("class").distinct(), size), "class").select("ga", "gb", "left", "class", "tokens")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def ended() -> pa.RecordBatch:
-            classes, sets = np.concatenate([h[1] for h in held]), [t for h in held for t in h[2]]
-            side = None if key[0] == key[1] else np.concatenate([h[0] for h in held])
-            found = spanning(classes, sets, side, percent) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            left, classes = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            found = work(key, left, classes, [x for h in held for x in h[2]])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "left" else pa.int64()) for c, n in zip(found, names)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             ga, gb, left, classes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            lists = batch.column(4)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            last = batch.column(4)
+            if pa.types.is_binary(last.type):
+                arrays = [np.frombuffer(x, np.uint8) for x in last.to_pylist()]
+            else:
+                offsets, values = last.offsets.to_numpy().tolist(), last.values.to_numpy()
+                arrays = [values[i:j] for i, j in zip(offsets, offsets[1:])]
             cuts = np.flatnonzero((ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1])) + 1
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ga)]):
-                if key != (ga[i], gb[i]):
+                if key != (int(ga[i]), int(gb[i])):
                     if held:
                         yield ended()
-                    key, held = (ga[i], gb[i]), []
-                held.append((left[i:j].astype(bool), classes[i:j], [values[offsets[k] : offsets[k + 1]] for k in range(i, j)]))
+                    key, held = (int(ga[i]), int(gb[i])), []
+                held.append((left[i:j].astype(bool), classes[i:j], arrays[i:j]))
         if held:
             yield ended()
 
-    return stable(sent.repartition("ga", "gb").sortWithinPartitions("ga", "gb").mapInArrow(run, "a long, b long"))
+    return rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb").mapInArrow(run, schema)
+
+
+def near(buckets: np.ndarray, left: np.ndarray | None, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sets may link with another one (of the other side), by their buckets.
+
+    With s tokens together and d the sum of bucket differences (no more than the symmetric
+    difference), a link needs d <= s (100 - p) / (100 + p).
+    """
+    own, keep = buckets.astype(np.int16), np.zeros(len(buckets), bool)
+    for i in range(len(own)):
+        apart = np.abs(own - own[i]).sum(axis=1, dtype=np.int64)
+        close = apart * (100 + percent) <= (sizes + sizes[i]) * (100 - percent)
+        close[i] = False
+        keep[i] = (close if left is None else close & (left != left[i])).any()
+    return keep
+
+
+def _bounded(rows: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """The candidate ``rows`` that their buckets (class, buckets with the size) leave."""
+
+    def work(key: tuple[int, int], left: np.ndarray, classes: np.ndarray, held: list[np.ndarray]) -> list:
+        sizes = np.array([int.from_bytes(x[:4].tobytes(), "big") for x in held])
+        keep = near(np.array([x[4:] for x in held]), None if key[0] == key[1] else left, sizes, percent)
+        n = int(keep.sum())
+        return [[key[0]] * n, [key[1]] * n, left[keep], classes[keep]]
+
+    return _by_pair(rows.join(buckets, "class").select("ga", "gb", "left", "class", "buckets"), "ga long, gb long, left boolean, class long", work)
+
+
+def _links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Connecting links (a, b) within or between the groups of candidate ``rows``."""
+    sets = _sets(docs, rows.select("class").distinct(), size)
+
+    def work(key: tuple[int, int], left: np.ndarray, classes: np.ndarray, held: list[np.ndarray]) -> list:
+        found = spanning(classes, held, None if key[0] == key[1] else left, percent) if len(held) > 1 else []
+        return [[x[0] for x in found], [x[1] for x in found]]
+
+    return stable(_by_pair(rows.join(sets, "class").select("ga", "gb", "left", "class", "tokens"), "a long, b long", work))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,17 +507,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     classes = first.where("sig is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     groups = stored(_groups(classes))
     sketch = _sketch(first.where("block is not null").select("block", "counts"))
-    with scratch(_prefixes(own, size, percent, sketch)) as prefixes:
-        met = stored(_met(prefixes, groups))
+    met = stored(_met(_prefixes(own, size, percent, sketch), groups))
+    of_class = first.where("buckets is not null").groupBy("class").agg(F.first(F.concat(F.to_binary(F.lpad(F.hex("n"), 8, "0"), F.lit("hex")), "buckets")).alias("buckets"))
     release(docs.sparkSession)
     inside = stable(_candidates(met.withColumn("comp", F.col("class")), percent, own=True))
     pivots = groups.where("pivot is not null").join(inside.select(F.col("ga").alias("grp")).distinct(), "grp", "left_semi")
     pivots = pivots.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(True).alias("left"), F.col("pivot").alias("class"))
-    links = _links(inside.union(pivots).distinct(), own, size, percent)
+    links = _links(stable(_bounded(inside.union(pivots).distinct(), of_class, percent)), own, size, percent)
     release(docs.sparkSession)
     label = components(links)
     met = met.join(label, met["class"] == label["node"], "left").withColumn("comp", F.coalesce("label", "class")).drop("node", "label")
-    across = _links(stable(_candidates(met, percent, own=False)), own, size, percent)
+    across = _links(stable(_bounded(_candidates(met, percent, own=False), of_class, percent)), own, size, percent)
     labels = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across))
     at = documents.join(labels, documents["class"] == labels["node"], "left").select("id", "n", F.coalesce("label", "class").alias("label"))
     least = at.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
