@@ -7,6 +7,7 @@ several readings keeps them all; a date that doesn't exist is never made up.
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -22,7 +23,7 @@ MONTHS = {
 }
 _MONTH = {name: i + 1 for names in MONTHS.values() for i, name in enumerate(names.split())}
 _NAMES = "|".join(sorted(_MONTH, key=len, reverse=True))
-_UNITS = {"day": 1, "week": 7, "month": 30, "year": 365}
+_DAYS = {"day": 1, "week": 7}
 _PATTERNS = [
     ("iso", re.compile(r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)")),
     ("named", re.compile(rf"(?<!\w)(\d{{1,2}})\.?\s+(?:de\s+)?({_NAMES})\s+(?:de\s+)?(\d{{4}})(?!\d)", re.I)),
@@ -47,6 +48,19 @@ class Signal:
     readings: int
 
 
+def later(anchor: date, amount: int, unit: str) -> date | None:
+    """So many calendar units after a day: the same day of a later month or year, or that
+    month's last one where it is shorter. None beyond the calendar."""
+    try:
+        if unit in _DAYS:
+            return anchor + timedelta(days=amount * _DAYS[unit])
+        years, month = divmod(anchor.month - 1 + amount * (12 if unit == "year" else 1), 12)
+        year = anchor.year + years
+        return date(year, month + 1, min(anchor.day, monthrange(year, month + 1)[1]))
+    except (ValueError, OverflowError):
+        return None
+
+
 def _valid(make, *parts: int) -> date | None:
     try:
         return make(*parts)
@@ -73,7 +87,7 @@ def _read(kind: str, m: re.Match, anchor: date | None) -> list[tuple[str, date |
         if 1 <= parts[1] <= 12 and 1 <= parts[2] <= 30:
             found.append(("hijri", _valid(hijri_to_gregorian, *parts)))
     else:
-        return [("relative", anchor + timedelta(days=int(m[1]) * _UNITS[m[2].lower()]) if anchor else None)]
+        return [("relative", later(anchor, int(m[1]), m[2].lower()) if anchor else None)]
     return [(c, d) for c, d in found if d]
 
 
@@ -93,6 +107,19 @@ def temporal_signals(text: str, anchor: date | None = None) -> list[Signal]:
     return sorted(out, key=lambda s: (s.start, s.calendar, s.day or date.min))
 
 
+def name_runs(text: str, longest: int) -> Iterator[tuple[int, int, int, int, str, str]]:
+    """Runs of up to ``longest`` capitalised words: index of the first, number, start, end,
+    surface and key (lower case, without a closing possessive)."""
+    words = list(re.finditer(r"\w+(?:['’]s)?", text))
+    for i in range(len(words)):
+        for k in range(1, min(longest, len(words) - i) + 1):
+            if words[i + k - 1][0][0].islower():
+                break
+            run = words[i : i + k]
+            key = re.sub(r"['’]s$", "", " ".join(w[0].lower() for w in run))
+            yield i, k, run[0].start(), run[-1].end(), text[run[0].start() : run[-1].end()], key
+
+
 class PlaceFinder:
     """Places of a gazetteer in text: the longest run of words that is a name, capitalised,
     with or without a possessive. A name of several places keeps them all."""

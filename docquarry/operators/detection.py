@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.detectors import PlaceFinder, temporal_signals
+from docquarry.functions.detectors import PlaceFinder, name_runs, temporal_signals
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
 
@@ -36,12 +36,12 @@ def detect_dates(texts: DataFrame) -> DataFrame:
 def detect_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Mentions in (id, text) of the gazetteer's (name, place): a row a candidate place.
 
-    The gazetteer is broadcast up to ``MAX_NAMES`` names; a larger one is refused, to be
-    split by script or first letter.
+    Up to ``MAX_NAMES`` names the gazetteer is broadcast and a task finds the longest names
+    itself. A larger one is joined: each run of words that could be a name, by its key.
     """
     names = [(r["name"], r["place"]) for r in gazetteer.select("name", "place").limit(MAX_NAMES + 1).collect()]
     if len(names) > MAX_NAMES:
-        raise ValueError("the gazetteer is too large for one finder")
+        return _joined_places(texts, gazetteer)
     shared = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,15 +53,42 @@ def detect_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInPandas(run, PLACES)
 
 
+def _joined_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The same mentions by a join: runs of words that a name of the gazetteer equals, of
+    which those inside a longer one that starts before or with them are left out."""
+    named = gazetteer.select(F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("key"), "place").groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    longest = named.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 0
+
+    def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(row, key, *r) for row, key, text in zip(part["_row"], part["id"], part["text"]) for r in name_runs(text or "", longest)]
+            yield pd.DataFrame(rows, columns=["_row", "id", "i", "k", "char_start", "char_end", "surface", "key"])
+
+    schema = "_row long, id long, i int, k int, char_start int, char_end int, surface string, key string"
+    met = texts.select("id", "text").withColumn("_row", F.monotonically_increasing_id()).mapInPandas(runs, schema).join(named, "key")
+    # a text's few mentions, from left to right: each starts behind the end of the last taken
+    steps = F.sort_array(F.collect_list(F.struct("i", (-F.col("k")).alias("shorter"), "char_start", "char_end", "surface", "places")))
+    chosen = F.aggregate(
+        "found", F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("taken")),
+        lambda a, x: F.when(x["i"] > a["end"], F.struct((x["i"] - x["shorter"] - 1).alias("end"), F.concat(a["taken"], F.array(x["i"])).alias("taken"))).otherwise(a),
+    )
+    best = met.groupBy("_row", "id").agg(steps.alias("found")).withColumn("taken", chosen["taken"])
+    each = best.select("id", "taken", F.inline("found")).withColumn("first", F.min("shorter").over(Window.partitionBy("id", "char_start")))
+    kept = each.where(F.array_contains("taken", F.col("i")) & (F.col("shorter") == F.col("first")))
+    return kept.select("id", "char_start", "char_end", "surface", F.explode("places").alias("place"), F.size("places").alias("readings"))
+
+
 @query(
     "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'iso' AS kind, CAST(1 AS INTEGER) AS readings FROM orders "
-    "UNION ALL SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 14 AS DATE), 'relative', 1 FROM orders"
+    "UNION ALL SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 14 AS DATE), 'relative', 1 FROM orders "
+    "UNION ALL SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 5 MONTH AS DATE), 'relative', 1 FROM orders "
+    "UNION ALL SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 YEAR AS DATE), 'relative', 1 FROM orders"
 )
 def temporal_signals_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates in sentences made of all orders: one written out, one relative to it."""
+    """Dates in sentences made of all orders: one written out, three relative to it."""
     o = corpus.table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Placed on "), day, F.lit(", to be paid within 2 weeks.")).alias("text"), F.col("o_orderdate").cast("date").alias("anchor"))
+    texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Placed on "), day, F.lit(", to be paid within 2 weeks, returned within 5 months and kept in 3 years.")).alias("text"), F.col("o_orderdate").cast("date").alias("anchor"))
     return detect_dates(texts).select("id", "day", "kind", "readings")
 
 

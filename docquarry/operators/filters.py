@@ -30,7 +30,8 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.concat(F.lit(" "), F.array_join(corpus.words_in(F.col("text")), "  "), F.lit(" "))
     counts = lambda w: F.array(*(F.struct(F.lit(i).alias("keyword_id"), phrase_count(w, p).alias("n")) for i, p in corpus.KEYWORDS))
     each = F.flatten(F.transform(F.array(joined), counts))  # the words are taken apart once, not once a keyword
-    return corpus.contents(spark, sf_dir).select("hash_id", F.explode(each).alias("k")).select("hash_id", "k.keyword_id", "k.n").where("n > 0")
+    hits = corpus.texts(spark, sf_dir).select("hash_id", F.explode(each).alias("k")).select("hash_id", "k.keyword_id", "k.n").where("n > 0")
+    return hits.join(corpus.content_ids(spark, sf_dir), "hash_id", "left_semi")
 
 
 KEYWORD_SQL = corpus.KEYWORDS_SQL + r"""
@@ -57,7 +58,7 @@ def matched(spark: SparkSession, sf_dir: str, allowed: tuple[str, ...] | None =
     """Occurrences that match the given criteria."""
     c = C.Criteria(**wanted)
     return C.compile_paths(
-        c, corpus.occurrences(spark, sf_dir), corpus.contents(spark, sf_dir),
+        c, corpus.occurrences(spark, sf_dir), corpus.texts(spark, sf_dir),
         keyword_hits(spark, sf_dir) if c.keywords else None, category_hits(spark, sf_dir) if c.categories else None,
         assigned(spark, sf_dir) if c.analyst_scope != "all" else None, allowed,
     )
@@ -173,13 +174,20 @@ def criteria_page_hashes(spark, sf_dir):
     return C.page(matched(spark, sf_dir, sides=("de",)), "hash", 25, 50)
 
 
-@query(f"{_OCC}, {KEYWORD_SQL} SELECT keyword_id, phrase, CAST(count(h.hash_id) AS BIGINT) AS contents, CAST(coalesce(sum(n), 0) AS BIGINT) AS occurrences FROM kw LEFT JOIN hits h USING (keyword_id) GROUP BY keyword_id, phrase")
+@query(f"{_OCC}, {KEYWORD_SQL}, known AS (SELECT hash_id, keyword_id, CASE WHEN hash_id % 50 <> 7 THEN n END AS n FROM hits) "
+    "SELECT keyword_id, phrase AS label, CAST(count(h.hash_id) AS BIGINT) AS contents, CAST(coalesce(sum(n), 0) AS BIGINT) AS occurrences, "
+    "CAST(count(h.hash_id) - count(n) AS BIGINT) AS unknown_count_rows, (SELECT count(*) FROM contents) AS corpus_contents FROM kw LEFT JOIN known h USING (keyword_id) GROUP BY keyword_id, phrase")
 def keyword_intelligence(spark, sf_dir):
-    """All keywords with their contents and occurrences, those without any too."""
-    names = spark.createDataFrame(corpus.KEYWORDS, "keyword_id int, phrase string")
-    hits = keyword_hits(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("contents"), F.sum("n").alias("occurrences"))
+    """All keywords with their contents and occurrences, those without any too.
+
+    Counts of contents of some ids are unknown: left out of the sum and counted apart.
+    """
+    names = spark.createDataFrame(corpus.KEYWORDS, "keyword_id int, label string")
+    known = F.when(F.col("hash_id") % 50 != 7, F.col("n"))
+    hits = keyword_hits(spark, sf_dir).groupBy("keyword_id").agg(F.count("*").alias("contents"), F.sum(known).alias("occurrences"), F.count(F.when(known.isNull(), 1)).alias("unknown_count_rows"))
+    size = corpus.content_ids(spark, sf_dir).agg(F.count("*").alias("corpus_contents"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return names.join(hits, "keyword_id", "left").select("keyword_id", "phrase", zero("contents"), zero("occurrences"))
+    return names.join(hits, "keyword_id", "left").crossJoin(F.broadcast(size)).select("keyword_id", "label", zero("contents"), zero("occurrences"), zero("unknown_count_rows"), "corpus_contents")  # size: one row
 
 
 @query(
@@ -193,7 +201,7 @@ def category_analysis(spark, sf_dir):
     """Each category's members, contents, occurrences and share of contents."""
     tax = corpus.taxonomy(spark)
     hit = corpus.words(spark, sf_dir).join(F.broadcast(tax), "word").groupBy("category").agg(F.countDistinct("hash_id").alias("c"), F.sum("n").alias("n"))
-    total = corpus.contents(spark, sf_dir).agg(F.count("*").alias("total"))
+    total = corpus.content_ids(spark, sf_dir).agg(F.count("*").alias("total"))
     members = tax.groupBy("category").agg(F.count("*").alias("member_words"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
     return members.join(hit, "category", "left").crossJoin(F.broadcast(total)).select(

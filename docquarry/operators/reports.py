@@ -80,13 +80,20 @@ def next_event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("hash_id").agg(F.min(F.struct("date_from", "signal_id")).alias("n")).select("hash_id", "n.signal_id", "n.date_from")
 
 
-_BUCKET = dates.HORIZON_SQL.format(f"DATE '{AS_OF}'", "date_from")
+_BUCKET = (
+    f"CASE WHEN date_from IS NULL THEN NULL WHEN date_to < DATE '{AS_OF}' THEN (CASE WHEN text_orientation = 'future' THEN 'overdue' ELSE 'past' END) "
+    f"WHEN date_from < DATE '{AS_OF}' + 7 THEN 'week' WHEN date_from < DATE '{AS_OF}' + 30 THEN 'month' WHEN date_from < DATE '{AS_OF}' + 90 THEN 'quarter' ELSE 'later' END"
+)
+
+
+def _bucket():
+    return dates.horizon_bucket(F.col("date_from"), F.col("date_to"), F.col("text_orientation"), _ref())
 
 
 @query(f"{_SIG} SELECT signal_id, hash_id, signal_type, date_from, {_BUCKET} AS bucket FROM sig WHERE {_BUCKET} <> 'past' ORDER BY date_from, signal_id LIMIT 5000")
 def horizon_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated signals by horizon bucket, the past left out, at most 5 000."""
-    s = corpus.signals(spark, sf_dir).withColumn("bucket", dates.horizon_bucket(F.col("date_from"), _ref())).where("bucket <> 'past'")
+    s = corpus.signals(spark, sf_dir).withColumn("bucket", _bucket()).where("bucket <> 'past'")
     return s.orderBy("date_from", "signal_id").limit(5000).select("signal_id", "hash_id", "signal_type", "date_from", "bucket")
 
 
@@ -94,7 +101,7 @@ def horizon_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def horizon_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals and contents in each bucket."""
     s = corpus.signals(spark, sf_dir).where("date_from is not null")
-    return s.groupBy(dates.horizon_bucket(F.col("date_from"), _ref()).alias("bucket")).agg(F.count("*").alias("signals"), F.countDistinct("hash_id").alias("contents"))
+    return s.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("signals"), F.countDistinct("hash_id").alias("contents"))
 
 
 @query(f"{_SIG} SELECT signal_type, count(*) FILTER (WHERE date_from IS NULL) AS undated, count(date_from) AS dated FROM sig GROUP BY signal_type")
@@ -103,42 +110,52 @@ def undated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.signals(spark, sf_dir).groupBy("signal_type").agg(F.count(F.when(F.col("date_from").isNull(), 1)).alias("undated"), F.count("date_from").alias("dated"))
 
 
-@query(
-    f"{_SIG}, x AS (SELECT signal_type, confidence, {_BUCKET} AS bucket FROM sig) SELECT facet, value, n FROM ("
-    "SELECT CASE WHEN GROUPING(signal_type) = 0 THEN 'signal_type' WHEN GROUPING(confidence) = 0 THEN 'confidence' ELSE 'bucket' END AS facet, "
-    "CASE WHEN GROUPING(signal_type) = 0 THEN signal_type WHEN GROUPING(confidence) = 0 THEN confidence ELSE bucket END AS value, count(*) AS n "
-    "FROM x GROUP BY GROUPING SETS ((signal_type), (confidence), (bucket)))"
-)
+@query(f"{_SIG} SELECT resolution, count(*) AS signals FROM sig WHERE date_from IS NULL OR resolution <> 'resolved' GROUP BY resolution")
+def horizon_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose day couldn't be determined: counted, never put into a bucket."""
+    s = corpus.signals(spark, sf_dir).where("date_from is null or resolution <> 'resolved'")
+    return s.groupBy("resolution").agg(F.count("*").alias("signals"))
+
+
+#: The dimensions of the facets, and what stands for a null in each.
+FACETS = {"detector": "none", "signal_type": "none", "confidence": "unrecorded", "language": "unspecified", "calendar": "none", "resolution": "none", "method": "unrecorded"}
+
+
+@query(f"{_SIG} " + " UNION ALL ".join(f"SELECT '{d}' AS facet, coalesce({d}, '{null}') AS value, count(*) AS n FROM sig GROUP BY 2" for d, null in FACETS.items()))
 def signal_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facets in one pass of grouping sets; a null value is a facet value of its own."""
-    x = corpus.signals(spark, sf_dir).select("signal_type", "confidence", dates.horizon_bucket(F.col("date_from"), _ref()).alias("bucket"))
-    kinds = [F.col("signal_type"), F.col("confidence"), F.col("bucket")]
-    g = x.groupingSets([[k] for k in kinds], *kinds).agg(F.count("*").alias("n"), F.grouping("signal_type").alias("a"), F.grouping("confidence").alias("b"))
-    pick = lambda one, two, three: F.when(F.col("a") == 0, one).when(F.col("b") == 0, two).otherwise(three)
-    return g.select(pick(F.lit("signal_type"), F.lit("confidence"), F.lit("bucket")).alias("facet"), pick(*kinds).alias("value"), "n")
+    """All seven facets in one pass of grouping sets; a null is a value of its own."""
+    kinds = [F.coalesce(d, F.lit(null)).alias(d) for d, null in FACETS.items()]
+    x = corpus.signals(spark, sf_dir).select(*kinds)
+    g = x.groupingSets([[F.col(d)] for d in FACETS], *FACETS).agg(F.count("*").alias("n"))
+    named = F.coalesce(*(F.when(F.col(d).isNotNull(), F.lit(d)) for d in FACETS))  # the one column of the set
+    return g.select(named.alias("facet"), F.coalesce(*FACETS).alias("value"), "n")
 
 
-_RUNS = """runs AS (SELECT doc_id AS hash_id, CASE WHEN quality = 1 THEN 'v2' ELSE 'v1' END AS version, CASE WHEN toxic = 1 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'truncated' ELSE 'complete' END AS status FROM labels)"""
+_RUNS = """runs AS (SELECT doc_id AS hash_id, CASE WHEN quality = 1 THEN 'v2' WHEN doc_id % 5 > 0 THEN 'v1' END AS version,
+CASE WHEN toxic = 1 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'truncated' WHEN doc_id % 11 = 0 THEN 'no_text' ELSE 'complete' END AS status FROM labels)"""
 
 
 @query(
-    _OCC + f", {_RUNS} SELECT count(*) AS contents, count(*) FILTER (WHERE r.hash_id IS NULL) AS never, count(*) FILTER (WHERE status = 'failed') AS failed, "
-    "count(*) FILTER (WHERE status = 'truncated') AS truncated, count(*) FILTER (WHERE status <> 'failed' AND version = 'v2') AS current, count(*) FILTER (WHERE status <> 'failed' AND version <> 'v2') AS stale "
-    "FROM contents c LEFT JOIN runs r ON r.hash_id = c.hash_id"
+    _OCC + f", {_RUNS}, c AS (SELECT count(*) AS matching_contents, count(*) FILTER (WHERE r.hash_id IS NULL) AS never_analysed, count(*) FILTER (WHERE status = 'failed') AS failed, "
+    "count(*) FILTER (WHERE status <> 'failed' AND version IS DISTINCT FROM 'v2') AS stale_version, count(*) FILTER (WHERE status <> 'failed' AND version = 'v2') AS current, "
+    "count(*) FILTER (WHERE status = 'truncated' AND version = 'v2') AS current_truncated, count(*) FILTER (WHERE status = 'no_text' AND version = 'v2') AS current_no_text "
+    "FROM contents c LEFT JOIN runs r ON r.hash_id = c.hash_id) SELECT *, never_analysed + failed + stale_version AS not_measured FROM c"
 )
 def detector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a detector has come: not analysed is told from nothing found."""
+    """How far a detector's current version has come: not measured is told from empty."""
     runs = corpus.table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("hash_id"), F.when(F.col("quality") == 1, "v2").otherwise("v1").alias("version"),
-        F.when(F.col("toxic") == 1, "failed").when(F.col("doc_id") % 7 == 0, "truncated").otherwise("complete").alias("status"),
+        F.col("doc_id").alias("hash_id"), F.when(F.col("quality") == 1, "v2").when(F.col("doc_id") % 5 > 0, "v1").alias("version"),
+        F.when(F.col("toxic") == 1, "failed").when(F.col("doc_id") % 7 == 0, "truncated").when(F.col("doc_id") % 11 == 0, "no_text").otherwise("complete").alias("status"),
     )
-    j = corpus.contents(spark, sf_dir).select("hash_id").join(runs, "hash_id", "left")
+    j = corpus.content_ids(spark, sf_dir).join(runs, "hash_id", "left")
     n = lambda x: F.count(F.when(x, 1))
-    status, version = F.col("status"), F.col("version")
-    return j.agg(
-        F.count("*").alias("contents"), n(status.isNull()).alias("never"), n(status == "failed").alias("failed"), n(status == "truncated").alias("truncated"),
-        n((status != "failed") & (version == "v2")).alias("current"), n((status != "failed") & (version != "v2")).alias("stale"),
+    status, current = F.col("status"), F.col("version").eqNullSafe("v2")
+    counts = j.agg(
+        F.count("*").alias("matching_contents"), n(status.isNull()).alias("never_analysed"), n(status == "failed").alias("failed"),
+        n((status != "failed") & ~current).alias("stale_version"), n((status != "failed") & current).alias("current"),
+        n((status == "truncated") & current).alias("current_truncated"), n((status == "no_text") & current).alias("current_no_text"),
     )
+    return counts.withColumn("not_measured", F.col("never_analysed") + F.col("failed") + F.col("stale_version"))
 
 
 @query(
@@ -190,6 +207,17 @@ def change_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).orderBy("path_id").limit(5000)
 
 
+@query("SELECT doc_id AS revision_id, doc_id AS path_id, 'doc' || doc_id AS previous_value, CAST(NULL AS VARCHAR) AS current_value FROM documents WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id DESC LIMIT 5000")
+def change_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged removals whose occurrence no file has since: the previous value, and no current
+    one, which isn't an empty text."""
+    d = corpus.table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    log = d.select(F.col("doc_id").alias("revision_id"), F.col("doc_id").alias("path_id"), F.to_json(F.struct(F.concat(F.lit("doc"), "doc_id").alias("file_name"))).alias("old"), F.lit(None).cast("string").alias("new"))
+    gone = log.join(corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path_id")), "path_id", "left_anti")
+    out = gone.select("revision_id", "path_id", F.get_json_object("old", "$.file_name").alias("previous_value"), F.get_json_object("new", "$.file_name").alias("current_value"))
+    return out.orderBy(F.desc("revision_id")).limit(5000)
+
+
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' OR (o_orderdate = TIMESTAMP '1995-06-01' AND o_orderkey > 100) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after a composite cursor (date descending, then key)."""
@@ -200,11 +228,11 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
-@query("WITH w AS (SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER v AS prev_key, lead(o_orderkey) OVER v AS next_key, row_number() OVER v AS position FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT * FROM w WHERE o_custkey % 10 = 0")
+@query("WITH w AS (SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER v AS prev_key, lead(o_orderkey) OVER v AS next_key, row_number() OVER v AS position FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT * FROM w")
 def neighbour_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's neighbours and position in its customer's view."""
     v = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = corpus.table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
+    o = corpus.table(spark, sf_dir, "orders")
     return o.select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(v).alias("prev_key"), F.lead("o_orderkey").over(v).alias("next_key"), F.row_number().over(v).cast("long").alias("position"))
 
 
@@ -220,12 +248,12 @@ def position_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREE = "tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part)"
 
 
-@query(f"WITH RECURSIVE {_TREE}, up AS (SELECT id AS node, id, parent, 0 AS depth FROM tree WHERE id % 100 = 7 UNION ALL SELECT u.node, t.id, t.parent, u.depth + 1 FROM up u JOIN tree t ON t.id = u.parent WHERE u.depth < 20) SELECT node, id AS ancestor, depth FROM up WHERE depth > 0")
+@query(f"WITH RECURSIVE {_TREE}, up AS (SELECT id AS node, id, parent, 0 AS depth FROM tree UNION ALL SELECT u.node, t.id, t.parent, u.depth + 1 FROM up u JOIN tree t ON t.id = u.parent WHERE u.depth < 20) SELECT node, id AS ancestor, depth FROM up WHERE depth > 0")
 def lineage_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of some nodes, at most twenty steps up (a recursive query)."""
+    """Ancestors of all nodes, at most twenty steps up (a recursive query)."""
     _tree(spark, sf_dir)
     return spark.sql(
-        "WITH RECURSIVE up AS (SELECT id AS node, id, parent, 0 AS depth FROM docquarry_tree WHERE id % 100 = 7 UNION ALL "
+        "WITH RECURSIVE up AS (SELECT id AS node, id, parent, 0 AS depth FROM docquarry_tree UNION ALL "
         "SELECT u.node, t.id, t.parent, u.depth + 1 FROM up u JOIN docquarry_tree t ON t.id = u.parent WHERE u.depth < 20) SELECT node, id AS ancestor, depth FROM up WHERE depth > 0"
     )
 

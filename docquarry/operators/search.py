@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docquarry.plans.criteria import whole_word
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
+from docquarry.sources.shared import shared_dir
 
 _OCC = f"WITH {corpus.SQL}"
 #: BM25's saturation and length weight; the field weights and bonuses of ranking.
@@ -24,8 +25,8 @@ def bm25(words: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """hash_id and score of the contents that hold any of the terms.
 
     Only the terms' rows are joined; lengths and the corpus size are aggregates. The inverse
-    document frequency is negative for terms in more than half of the contents; the sum is
-    not less than 0.
+    document frequency is negative for terms in more than half of the contents, and so can
+    the score be. Unknown counts are left out of lengths and scores.
     """
     lengths = words.groupBy("hash_id").agg(F.sum("n").alias("len"))
     size = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
@@ -34,13 +35,13 @@ def bm25(words: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     j = hits.join(F.broadcast(df), "word").join(lengths, "hash_id").crossJoin(F.broadcast(size))  # as many rows as terms; one row
     idf = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return j.groupBy("hash_id").agg(F.greatest(F.sum(idf * tf), F.lit(0.0)).alias("score"))
+    return j.groupBy("hash_id").agg(F.sum(idf * tf).alias("score"))
 
 
 @query(
     _OCC + ", len AS (SELECT hash_id, sum(n) AS l FROM words GROUP BY hash_id), size AS (SELECT count(*) AS total, avg(l) AS mean FROM len), "
     f"hit AS (SELECT * FROM words WHERE word IN ({_LIST})), df AS (SELECT word, count(*) AS df FROM hit GROUP BY word), "
-    f"s AS (SELECT hash_id, greatest(sum(ln((total - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * l / mean))), 0.0) AS score FROM hit JOIN df USING (word) JOIN len USING (hash_id) CROSS JOIN size GROUP BY hash_id) "
+    f"s AS (SELECT hash_id, sum(ln((total - df + 0.5) / (df + 0.5)) * n * {K1 + 1} / (n + {K1} * (1 - {B} + {B} * l / mean))) AS score FROM hit JOIN df USING (word) JOIN len USING (hash_id) CROSS JOIN size GROUP BY hash_id) "
     "SELECT hash_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, hash_id LIMIT 50"
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def autocomplete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matching_lines(texts: DataFrame, test: Column) -> DataFrame:
     """hash_id, line number from 1, the line and its neighbours, for the lines that pass
-    ``test`` (a predicate of the column line). Lines stay in their row's task."""
+    ``test`` (a predicate of the column line). Other lines never leave their row's task."""
     lines = F.split("text", "\n", -1)
     each = texts.select("hash_id", lines.alias("ls"), F.posexplode(lines).alias("i", "line")).where(test)
     at = lambda k: F.get("ls", F.col("i") + k)
@@ -97,7 +98,8 @@ def matching_lines(texts: DataFrame, test: Column) -> DataFrame:
 )
 def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a word, numbered, with the lines around them."""
-    return matching_lines(corpus.contents(spark, sf_dir), whole_word(F.col("line"), "license"))
+    found = matching_lines(corpus.texts(spark, sf_dir), whole_word(F.col("line"), "license"))
+    return found.join(corpus.content_ids(spark, sf_dir), "hash_id", "left_semi")
 
 
 def close_matches(words: DataFrame, wanted: str, cutoff: float = 0.6) -> DataFrame:
@@ -181,11 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is checkpointed, so the plan doesn't grow and lost executors cost one round.
     """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-"))
+    shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
     while True:

@@ -154,7 +154,7 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most telling words of each content."""
     w = corpus.words(spark, sf_dir)
     df = w.groupBy("word").agg(F.count("*").alias("df"))
-    total = corpus.contents(spark, sf_dir).agg(F.count("*").alias("total"))
+    total = corpus.content_ids(spark, sf_dir).agg(F.count("*").alias("total"))
     score = F.round(measures.tf_idf(F.col("n"), F.col("total"), F.col("df")), 6)
     s = w.join(df, "word").crossJoin(F.broadcast(total)).select("hash_id", "word", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("hash_id").orderBy(F.desc("score"), "word"))
@@ -228,9 +228,9 @@ def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_OCC + r", seq AS (SELECT hash_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM contents), g AS (SELECT array_to_string(list_slice(w, i, i + 1), ' ') AS bigram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM seq)) SELECT bigram, count(*) AS n FROM g GROUP BY bigram ORDER BY n DESC, bigram LIMIT 100")
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent word pairs."""
-    w = corpus.contents(spark, sf_dir).select(corpus.words_in(F.col("text")).alias("w"))
-    shifted = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    g = w.select(F.explode(shifted).alias("bigram")).where("bigram is not null")
+    w = corpus.words_in(F.col("text"))
+    shifted = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    g = corpus.contents(spark, sf_dir, shifted.alias("w")).select(F.explode("w").alias("bigram")).where("bigram is not null")
     return g.groupBy("bigram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bigram").limit(100)
 
 

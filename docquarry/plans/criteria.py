@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,18 +167,20 @@ def whole_word(column: Column, phrase: str, case_sensitive: bool = False) -> Col
     return column.rlike(rf"{flag}(^|[^\p{{L}}\p{{N}}_]){quoted}([^\p{{L}}\p{{N}}_]|$)")
 
 
-def compile_expression(tree: tuple, fields_: list[Column], words: bool, case_sensitive: bool) -> Column:
-    """The predicate of an expression: a term may stand in any of the fields."""
+def terms_of(tree: tuple) -> list[str]:
+    """The distinct terms of an expression, in order."""
+    found = [tree[1]] if tree[0] == "term" else [t for x in tree[1:] for t in terms_of(x)]
+    return list(dict.fromkeys(found))
+
+
+def compile_expression(tree: tuple, test: Callable[[str], Column]) -> Column:
+    """The predicate of an expression, given that of a term."""
     kind = tree[0]
     if kind == "term":
-        test = whole_word if words else literal
-        hit = F.lit(False)
-        for f in fields_:
-            hit = hit | F.coalesce(test(f, tree[1], case_sensitive), F.lit(False))
-        return hit
+        return test(tree[1])
     if kind == "not":
-        return ~compile_expression(tree[1], fields_, words, case_sensitive)
-    left, right = (compile_expression(x, fields_, words, case_sensitive) for x in tree[1:])
+        return ~compile_expression(tree[1], test)
+    left, right = (compile_expression(x, test) for x in tree[1:])
     return left & right if kind == "and" else left | right
 
 
@@ -193,8 +197,8 @@ def compile_paths(
 ) -> DataFrame:
     """The occurrences that match.
 
-    ``paths``: occurrences; ``texts``: (hash_id, text); ``keyword_hits``: (hash_id,
-    keyword_id); ``category_hits``: (hash_id, category); ``assigned``: (path_id) filed by
+    ``paths``: occurrences; ``texts``: (hash_id, text), of which only flags are joined, made
+    where the text is read; ``keyword_hits``: (hash_id, keyword_id); ``category_hits``: (hash_id, category); ``assigned``: (path_id) filed by
     analysts. ``allowed_sources`` is the reader's access: None for all, empty for nothing.
     """
     out = paths.where(among("source", allowed_sources))
@@ -204,15 +208,16 @@ def compile_paths(
         out = out.where(F.col("file_date") >= F.lit(criteria.date_from).cast("date"))
     if criteria.date_to:
         out = out.where(F.col("file_date") <= F.lit(criteria.date_to).cast("date"))
-    content = F.lit(True)
-    names = [F.col("file_name"), F.col("file_type"), F.col("source"), F.col("side")]
     if criteria.text.strip() or criteria.phrases:
-        out = out.join(texts, "hash_id")
-        if criteria.text.strip():
-            content = content & compile_expression(parse_expression(criteria.text), [F.col("text"), *names], criteria.whole_word, criteria.case_sensitive)
-        for p in criteria.phrases:
-            content = content & whole_word(F.col("text"), p, criteria.case_sensitive)
-        out = out.where(content).drop("text")
+        tree = parse_expression(criteria.text) if criteria.text.strip() else None
+        terms, test = terms_of(tree) if tree else [], whole_word if criteria.whole_word else literal
+        said = lambda column, term: F.coalesce(test(column, term, criteria.case_sensitive), F.lit(False))
+        phrases = reduce(lambda a, p: a & F.coalesce(whole_word(F.col("text"), p, criteria.case_sensitive), F.lit(False)), criteria.phrases, F.lit(True))
+        flags = texts.select("hash_id", *(said(F.col("text"), t).alias(f"_term{i}") for i, t in enumerate(terms)), phrases.alias("_phrases"))
+        names = [F.col("file_name"), F.col("file_type"), F.col("source"), F.col("side")]
+        anywhere = lambda t: reduce(lambda a, f: a | said(f, t), names, F.col(f"_term{terms.index(t)}"))
+        content = F.col("_phrases") & compile_expression(tree, anywhere) if tree else F.col("_phrases")
+        out = out.join(flags, "hash_id").where(content).select(*out.columns)
     if criteria.keywords:
         wanted = keyword_hits.where(F.col("keyword_id").isin(*criteria.keywords))
         if criteria.keyword_logic == "AND":

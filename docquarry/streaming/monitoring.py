@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.dates import imminent
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
 
@@ -83,21 +84,92 @@ def rule_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("signal_type").agg(F.countDistinct("hash_id").alias("subjects"), F.max(confidence_rank(F.col("confidence"))).alias("best"), urgent.alias("urgent"))
 
 
-def priority(confidence: Column, day: Column, as_of: Column) -> Column:
-    """high: confident and within the week from ``as_of``; medium: either; else low."""
-    sure = F.coalesce(confidence == "high", F.lit(False))
-    near = F.coalesce((day >= as_of) & (day < F.date_add(as_of, 7)), F.lit(False))
-    return F.when(sure & near, "high").when(sure | near, "medium").otherwise("low")
+def priority(matches: DataFrame, as_of: Column, *keys: str) -> DataFrame:
+    """The priority of each group of matches, by ``keys``, with what it is derived from.
+
+    high: some match is both of high confidence and imminent; medium: some is of high or
+    medium confidence; else low. What isn't recorded raises nothing.
+    """
+    rank = confidence_rank(F.col("confidence"))
+    urgent = F.bool_or((rank == 3) & imminent(F.col("date_from"), F.col("date_to"), as_of))
+    named = F.when(F.col("high_and_imminent"), "high").when(F.col("best") >= 2, "medium").otherwise("low")
+    facts = matches.groupBy(*keys).agg(urgent.alias("high_and_imminent"), F.max(rank).alias("best"), F.count(F.when(rank == 0, 1)).alias("unrecorded"), F.min("date_from").alias("earliest"))
+    return facts.select(*keys, named.alias("priority"), "high_and_imminent", "unrecorded", "earliest")
 
 
-_PRIORITY = f"CASE WHEN coalesce(confidence = 'high', false) AND coalesce(date_from >= DATE '{AS_OF}' AND date_from < DATE '{AS_OF}' + INTERVAL 7 DAY, false) THEN 'high' WHEN coalesce(confidence = 'high', false) OR coalesce(date_from >= DATE '{AS_OF}' AND date_from < DATE '{AS_OF}' + INTERVAL 7 DAY, false) THEN 'medium' ELSE 'low' END"
+_IMMINENT = f"(date_from IS NOT NULL AND coalesce(date_to, date_from) >= DATE '{AS_OF}' AND date_from < DATE '{AS_OF}' + 7)"
+_PRIORITY = f"CASE WHEN bool_or(confidence = 'high' AND {_IMMINENT}) THEN 'high' WHEN bool_or(confidence IN ('high', 'medium')) THEN 'medium' ELSE 'low' END"
 
 
-@query(f"{_SIG} SELECT {_PRIORITY} AS priority, count(*) AS signals, count(DISTINCT hash_id) AS contents FROM sig GROUP BY 1")
+@query(f"{_SIG} SELECT hash_id, {_PRIORITY} AS priority, coalesce(bool_or(confidence = 'high' AND {_IMMINENT}), false) AS high_and_imminent, count(*) FILTER (WHERE confidence IS NULL) AS unrecorded, min(date_from) AS earliest FROM sig GROUP BY hash_id")
 def priority_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals by priority."""
-    p = priority(F.col("confidence"), F.col("date_from"), F.lit(AS_OF).cast("date"))
-    return corpus.signals(spark, sf_dir).groupBy(p.alias("priority")).agg(F.count("*").alias("signals"), F.countDistinct("hash_id").alias("contents"))
+    """Each content's priority and what it is derived from."""
+    return priority(corpus.signals(spark, sf_dir), F.lit(AS_OF).cast("date"), "hash_id")
+
+
+#: Why a pending match isn't delivered yet, in the order in which it is asked.
+HOLDS = ("suppressed", "threshold", "cooldown", "digest_interval")
+
+
+@dataclass(frozen=True)
+class Delivery:
+    """How a rule's pending matches are told: enough of them, not too often, at once or as a
+    digest. Hours and minutes count back from the time of the run."""
+
+    threshold: int = 1
+    window_hours: int | None = None
+    cooldown_minutes: int = 0
+    digest_hours: int = 0
+    cap: int = 50
+
+    def expire(self, pending: DataFrame, now: Column) -> DataFrame:
+        """``pending`` (group, hash_id, matched_at) with state ``expired`` where it is older than the window."""
+        old = F.lit(False) if self.window_hours is None else F.col("matched_at") < now - F.make_dt_interval(hours=F.lit(self.window_hours))
+        return pending.withColumn("state", F.when(old, "expired").otherwise("pending"))
+
+    def decide(self, pending: DataFrame, sent: DataFrame, suppressed: DataFrame, now: Column) -> DataFrame:
+        """group, waiting, hold (the first reason that applies, else null) and due.
+
+        ``sent``: (group, sent_at) earlier notifications; ``suppressed``: (group) muted ones.
+        """
+        waiting = self.expire(pending, now).where("state = 'pending'").groupBy("group").agg(F.count("*").alias("waiting"))
+        last = sent.groupBy("group").agg(F.max("sent_at").alias("last"))
+        muted = suppressed.select("group", F.lit(True).alias("muted")).distinct()
+        at = waiting.join(last, "group", "left").join(muted, "group", "left")
+        since = lambda **span: F.coalesce(F.col("last") > now - F.make_dt_interval(**span), F.lit(False))
+        hold = (
+            F.when(F.col("muted"), HOLDS[0]).when(F.col("waiting") < self.threshold, HOLDS[1])
+            .when(since(mins=F.lit(self.cooldown_minutes)), HOLDS[2]).when(since(hours=F.lit(self.digest_hours)), HOLDS[3])
+        )
+        due = F.when(hold.isNull(), F.least("waiting", F.lit(self.cap))).otherwise(0)
+        return at.select("group", "waiting", hold.alias("hold"), due.alias("due"), F.when(hold.isNull(), F.col("waiting") > self.cap).otherwise(False).alias("overflow"))
+
+
+_NOW = "2024-01-20 00:00:00"
+_PENDING = f"pend AS (SELECT hash_id % 40 AS grp, hash_id, ts AS matched_at FROM sig WHERE signal_type = 'purchase' AND ts <= TIMESTAMP '{_NOW}')"
+
+
+@query(
+    f"{_SIG}, {_PENDING}, live AS (SELECT grp, count(*) AS waiting FROM pend WHERE matched_at >= TIMESTAMP '{_NOW}' - INTERVAL 240 HOUR GROUP BY grp), "
+    "sent AS (SELECT hash_id % 40 AS grp, max(ts) AS last FROM sig WHERE signal_type = 'signup' AND hash_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1), "
+    f"h AS (SELECT l.grp, waiting, CASE WHEN l.grp % 9 = 4 THEN 'suppressed' WHEN waiting < 3 THEN 'threshold' WHEN last > TIMESTAMP '{_NOW}' - INTERVAL 90 MINUTE THEN 'cooldown' "
+    f"WHEN last > TIMESTAMP '{_NOW}' - INTERVAL 12 HOUR THEN 'digest_interval' END AS hold FROM live l LEFT JOIN sent s USING (grp)) "
+    'SELECT grp AS "group", waiting, hold, CASE WHEN hold IS NULL THEN least(waiting, 20) ELSE 0 END AS due, hold IS NULL AND waiting > 20 AS overflow FROM h'
+)
+def rule_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which groups of a rule's pending matches are told now, and why the others wait."""
+    s = corpus.signals(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") <= F.lit(_NOW).cast("timestamp")).withColumn("group", F.col("hash_id") % 40)
+    pending = s.where("signal_type = 'purchase'").select("group", "hash_id", F.col("ts").alias("matched_at"))
+    sent = s.where("signal_type = 'signup' and hash_id % 3 = 0").select("group", F.col("ts").alias("sent_at"))
+    muted = s.select("group").where("group % 9 = 4").distinct()
+    return Delivery(3, 240, 90, 12, 20).decide(pending, sent, muted, F.lit(_NOW).cast("timestamp"))
+
+
+@query(f"{_SIG}, {_PENDING} SELECT CASE WHEN matched_at < TIMESTAMP '{_NOW}' - INTERVAL 240 HOUR THEN 'expired' ELSE 'pending' END AS state, count(*) AS matches, count(DISTINCT hash_id) AS contents FROM pend GROUP BY 1")
+def rule_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending matches that a rule's window has left behind."""
+    s = corpus.signals(spark, sf_dir).withColumn("matched_at", F.col("ts").cast("timestamp")).where("signal_type = 'purchase'").where(F.col("matched_at") <= F.lit(_NOW).cast("timestamp"))
+    return Delivery(window_hours=240).expire(s, F.lit(_NOW).cast("timestamp")).groupBy("state").agg(F.count("*").alias("matches"), F.countDistinct("hash_id").alias("contents"))
 
 
 @dataclass(frozen=True)
@@ -198,6 +270,45 @@ def scenario_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes(scenario.decide(s.where(F.col("date_from") < F.lit(_EARLY).cast("date"))), scenario.decide(s))
 
 
+def dry_run(scenario: Scenario, signals: DataFrame, recorded: DataFrame) -> DataFrame:
+    """One row of what an evaluation would do, writing nothing: contents, contents by outcome
+    as a map, and how many would change."""
+    new = scenario.decide(signals)
+    counts = new.groupBy("outcomes").agg(F.count("*").alias("n"))
+    by = counts.agg(F.sum("n").alias("contents"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("outcomes", "n")))).alias("by_outcome"))  # as many entries as outcomes
+    return by.crossJoin(F.broadcast(changes(recorded, new, scenario.default).agg(F.count("*").alias("changed"))))  # one row
+
+
+@query(
+    f"{_SIG}, {_FLAGS}, {_FLAGS_EARLY}, n AS (SELECT hash_id, {_FIRST} AS outcomes FROM f), o AS (SELECT hash_id, {_FIRST} AS previous FROM g), "
+    "c AS (SELECT count(*) AS changed FROM n FULL JOIN o ON n.hash_id = o.hash_id WHERE previous IS DISTINCT FROM coalesce(outcomes, 'none')), k AS (SELECT outcomes, count(*) AS m FROM n GROUP BY 1) "
+    "SELECT CAST((SELECT sum(m) FROM k) AS BIGINT) AS contents, (SELECT string_agg(outcomes || '=' || m, ',' ORDER BY outcomes) FROM k) AS by_outcome, changed FROM c"
+)
+def scenario_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an evaluation would change, as one row."""
+    s, scenario = corpus.signals(spark, sf_dir), Scenario(_CONDITIONS, _CASES)
+    report = dry_run(scenario, s, scenario.decide(s.where(F.col("date_from") < F.lit(_EARLY).cast("date"))))
+    shown = F.array_join(F.transform(F.map_entries("by_outcome"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return report.select("contents", shown.alias("by_outcome"), "changed")
+
+
+@query(
+    f"{_SIG}, {_FLAGS}, {_FLAGS_EARLY}, n AS (SELECT hash_id, {_FIRST} AS outcomes FROM f), o AS (SELECT hash_id, {_FIRST} AS previous FROM g), "
+    f"c AS (SELECT n.hash_id, outcomes, previous FROM n LEFT JOIN o USING (hash_id) WHERE previous IS DISTINCT FROM outcomes), p AS (SELECT hash_id, {_PRIORITY} AS priority FROM sig GROUP BY hash_id) "
+    "SELECT hash_id, outcomes, previous AS previous_outcomes, CASE WHEN previous IS NULL THEN 'baseline' ELSE 'recorded' END AS delivery, CASE WHEN previous IS NOT NULL THEN priority END AS priority FROM c JOIN p USING (hash_id) ORDER BY hash_id DESC LIMIT 5000"
+)
+def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded outcomes, newest contents first, at most 5 000: a first one is a baseline and
+    has no priority."""
+    s, scenario = corpus.signals(spark, sf_dir), Scenario(_CONDITIONS, _CASES)
+    old = scenario.decide(s.where(F.col("date_from") < F.lit(_EARLY).cast("date"))).withColumnRenamed("outcomes", "previous_outcomes")
+    told = scenario.decide(s).join(old, "hash_id", "left").where(~F.col("previous_outcomes").eqNullSafe(F.col("outcomes")))
+    first = F.col("previous_outcomes").isNull()
+    ranked = told.join(priority(s, F.lit(AS_OF).cast("date"), "hash_id"), "hash_id")
+    out = ranked.select("hash_id", "outcomes", "previous_outcomes", F.when(first, "baseline").otherwise("recorded").alias("delivery"), F.when(~first, F.col("priority")).alias("priority"))
+    return out.orderBy(F.desc("hash_id")).limit(5000)
+
+
 def ledger_stream(rule: Rule, signals: DataFrame, ledger_path: str, checkpoint: str):
     """A stream of signals into a rule's ledger, batch by batch, each subject once."""
 
