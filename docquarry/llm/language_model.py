@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -226,13 +227,10 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary, slots: int = WORD_SLOTS):
         self.v = vocabulary
         self.shift = np.uint32(32 - (slots.bit_length() - 1))
-        often = [w for w, i in vocabulary.ranks.items() if i < 8192]
-        self.quick = {w: vocabulary.ranks[w] for w in often}.get  # small enough for the processor's cache
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 where it has none."""
-        get = self.v.ranks.get
-        return np.array([get(w, -1) if i is None else i for w, i in zip(words, map(self.quick, words))], np.int64)
+        return np.fromiter(map(self.v.ranks.get, words, repeat(-1)), np.int64, len(words))
 
     def tokens(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ids with the end, the two context classes of each, what each is (its id, or a hash
@@ -243,9 +241,9 @@ class Coder:
         classes = v.classes[ids]
         escapes = np.flatnonzero(ids == v.escape)
         spelled = [words[i] for i in escapes.tolist()]
-        classes[escapes] = [ending(w) for w in spelled]
+        classes[escapes] = np.fromiter(map(ending, spelled), np.uint32, len(spelled))
         what = ids.copy()
-        what[escapes] = [-1 - zlib.crc32(w) for w in spelled]
+        what[escapes] = ~np.fromiter(map(zlib.crc32, spelled), np.int64, len(spelled))
         before = np.empty(len(ids), np.uint32)
         before[0] = OWN_IDS + ENDINGS
         before[1:] = classes[:-1]
@@ -373,9 +371,9 @@ class Scorer:
         """Has the cost of these words at hand."""
         if len(self.spelled) > 300_000:
             self.spelled.clear()
-        new = sorted(w for w in words if w not in self.spelled)
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+        new = [w for w in words if w not in self.spelled]
+        for i in range(0, len(new), 1024):
+            part = new[i : i + 1024]
             self.spelled.update(zip(part, self.spell(part).tolist()))
 
     def repeated(self, what: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -517,12 +515,14 @@ def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> t
             told = np.flatnonzero((key > 0) & (what >= 0))
             slot, check = _entry(key[told], match_slots)
             np.maximum.at(follows, slot, check | (what[told] + 1).astype(np.uint32))
-            for i in range(0, len(ids), 200_000):
-                of, step = coder.steps(ids[i : i + 200_000])
-                bit, mixed = (step & 1).astype(np.int64), coder.v.mixed[step >> 1]
+            for i in range(0, len(ids), 16_384):  # so that a step's arrays stay in the cache
+                of, step = coder.steps(ids[i : i + 16_384])
+                bit, mixed = step & 1, coder.v.mixed[step >> 1]
                 for table, context in zip(tables, (before, common)):
-                    slot = coder.slots(context[i : i + 200_000], of, mixed).astype(np.int64)
-                    np.add.at(table, 2 * slot + bit, np.uint32(1))
+                    slot = coder.slots(context[i : i + 16_384], of, mixed)
+                    slot <<= np.uint32(1)
+                    slot += bit
+                    np.add.at(table, slot.astype(np.int64), np.uint32(1))
         for tab, table in enumerate([*tables, follows]):
             yield from _blocks(tab, table)
 
@@ -530,8 +530,8 @@ def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> t
         tables = [np.zeros(2 * SPELL_SLOTS, np.uint32) for _ in _SPELL_ORDERS]
         for batch in batches:
             words = batch.column(0).to_pylist()
-            for i in range(0, len(words), 4096):
-                _, bit, slots = _spell_bits(words[i : i + 4096])
+            for i in range(0, len(words), 1024):
+                _, bit, slots = _spell_bits(words[i : i + 1024])
                 for table, slot in zip(tables, slots):
                     np.add.at(table, 2 * slot.astype(np.int64) + bit, np.uint32(1))
         for tab, table in enumerate(tables):
