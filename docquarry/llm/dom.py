@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Names of elements by the role that HTML gives them.
@@ -31,7 +32,8 @@ SIBLINGS = {
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
 }
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+#: Outside quotes a tag holds no other tag's start, so each look ahead is short.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -67,12 +69,17 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def parse(text: str) -> Page:
-    """The page's block tree. Open elements end where HTML lets them; nothing is an error."""
+    """The page's block tree. Open elements end where HTML lets them; nothing is an error.
+
+    Time is in proportion to the text: what is looked for upwards or ahead is known to be
+    there first.
+    """
     page = Page([Node("#root", -1, 0, "")])
     nodes, pieces = page.nodes, page.pieces
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node, is a node's own
     block, links, at = 0, 0, 0
     scan, n = _TAG.search, len(text)
+    is_open, unclosed = Counter(), set()  # open elements by name; raw ones without an end tag from here on
 
     def words(raw: str) -> None:
         if raw and not raw.isspace():
@@ -91,6 +98,7 @@ def parse(text: str) -> Page:
         nonlocal links, block
         for _ in range(count):
             tag = stack.pop()[0]
+            is_open[tag] -= 1
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in INLINE:
@@ -103,6 +111,8 @@ def parse(text: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not is_open[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     close(len(stack) - depth)
@@ -115,22 +125,25 @@ def parse(text: str) -> Page:
                 block += 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at) if not m[3].endswith("/") else None
+            end = None
+            if not m[3].endswith("/") and tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             if end:
                 at = end.end()
-            elif tag in TO_END and not m[3].endswith("/"):
-                at = n
+            elif not m[3].endswith("/"):
+                unclosed.add(tag)
+                at = n if tag in TO_END else at
             continue
-        if m[3].endswith("/") and (tag in FOREIGN or any(open_[0] in FOREIGN for open_ in stack)):
+        if m[3].endswith("/") and (tag in FOREIGN or any(is_open[x] for x in FOREIGN)):
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and is_open["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     close(len(stack) - depth)
                     break
                 if stack[depth][0] not in INLINE:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(is_open[x] for x in SIBLINGS[tag][0]):
             same, limit = SIBLINGS[tag]
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in limit:
@@ -144,6 +157,7 @@ def parse(text: str) -> Page:
         if not inline:
             block += 1
         parent = stack[-1][1]
+        is_open[tag] += 1
         if inline and not ("class" in m[3] or "id=" in m[3]):
             stack.append((tag, parent, False))
             continue

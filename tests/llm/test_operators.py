@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -248,6 +249,14 @@ def test_html_keeps_what_is_not_raw():
     assert text('<div><svg><path d="m"/><text>two</text></svg><svg/>three</div>').split() == ["two", "three"]
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a x="', "<!", "<iframe>", "<template>", "<b></i>", "<div><li></li>", "</p>", "<svg/>", "<p x=\"<>\" ", "&#"])
+def test_html_parser_is_linear(unit):
+    """A megabyte of what is never closed, in seconds."""
+    began = time.process_time()
+    page = dom.parse("<p>first</p>" + unit * (1_000_000 // len(unit)) + "<p>last</p>")
+    assert time.process_time() - began < 20 and page.pieces[0][2] == "first"
+
+
 def test_html_odd_input(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>a &amp; b<br>c"), (2, "u", "<"), (3, "u", "<article><p>" + "long words, here. " * 20_000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "'t' AS text")
