@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, texts_of
+from docquarry.llm.common import bound_batches, stored, texts_of
 
-#: Patterns the automaton may hold, in characters. A larger benchmark is refused before it
-#: is collected: split it by item and run once a part.
-MAX_PATTERN_CHARS = 256_000_000
+#: Characters of benchmark text behind one automaton (its patterns hold ten times as many). A
+#: larger benchmark is split by item; its parts are scanned for one after the other.
+MAX_ITEM_CHARS = 25_000_000
 
 #: Lower-cases A-Z and turns every ASCII character that isn't a letter or digit into a space.
 _FOLD = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)).lower()
@@ -44,6 +44,17 @@ def windows_of(words: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open ranges in order, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
 class WindowMatcher:
     """The automaton over all windows of all items."""
 
@@ -80,13 +91,7 @@ class WindowMatcher:
                 first -= flat.count(" ", begin, at)
             at = begin
             ranges.append((first, first + count))
-        merged: list[list[int]] = []
-        for lo, hi in sorted(ranges):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        return len(words), [(lo, hi) for lo, hi in merged], items
+        return len(words), merged(ranges), items
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -97,14 +102,17 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, i
     return [{"start": places[lo][0], "end": places[hi - 1][1]} for lo, hi in ranges]
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[str, str]]:
-    """The items on the driver, after a check of their total size."""
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """(i, t): the items, in parts of about ``MAX_ITEM_CHARS`` characters."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chars = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
-    if chars > MAX_PATTERN_CHARS // 10:
-        raise ValueError(f"{chars} characters of benchmark text; split the items and run once a part")
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), text.alias("t")).collect()
-    return [(r["i"], r["t"]) for r in rows]
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), text.alias("t"))
+    n = -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // MAX_ITEM_CHARS)
+    return [items] if n < 2 else [items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
+
+
+def benchmark_items(part: DataFrame) -> list[tuple[str, str]]:
+    """A part's items on the driver; ``benchmark_parts`` has bounded it."""
+    return [(r["i"], r["t"]) for r in part.collect()]
 
 
 def scan_documents(
@@ -115,38 +123,63 @@ def scan_documents(
     Null and empty texts have no words and no hits; repeated rows are scanned each; a null
     id stays null; columns besides id and text aren't read. Items without words match
     nothing; items sharing a window are all reported. No shuffle: a map over the documents
-    with the automaton's patterns broadcast (bounded by ``MAX_PATTERN_CHARS``).
+    with the automaton's patterns broadcast, bounded by ``MAX_ITEM_CHARS``. Documents pass
+    once for each part of a benchmark beyond that, kept in between with what was found.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    items = spark.sparkContext.broadcast(benchmark_items(benchmark))
+    parts = benchmark_parts(benchmark)
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = found.select("*", F.array().cast("array<int>").alias("ranges"), F.array().cast("array<string>").alias("item_ids"))
+    for k, part in enumerate(parts):
+        found = _scan_part(found, part, window, last=k == len(parts) - 1)
+        if k < len(parts) - 1:
+            found = stored(found)
+    return found
+
+
+def _scan_part(docs: DataFrame, part: DataFrame, window: int, last: bool) -> DataFrame:
+    """``docs`` (id, text, ranges, item_ids) with what one automaton finds; at the ``last``
+    the result of all."""
+    items = docs.sparkSession.sparkContext.broadcast(benchmark_items(part))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = WindowMatcher(items.value, window)
         for batch, texts in texts_of(batches, "text"):
-            n_words, n_hit, found, spans = [], [], [], []
-            for text in texts:
-                n, ranges, ids = matcher.scan(text)
-                n_words.append(n)
-                n_hit.append(sum(hi - lo for lo, hi in ranges))
-                found.append(sorted(ids))
-                spans.append(original_spans(text, ranges))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                    pa.array(found, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                ["id", "n_words", "n_hit", "item_ids", "spans"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, SCAN)
-
-
-def contains_benchmark(spark: SparkSession, benchmark: DataFrame, window: int = 10) -> Callable[[Column], Column]:
-    """Whether a text column holds any window of any item. Null text doesn't."""
-    bound_batches(spark)
-    items = spark.sparkContext.broadcast(benchmark_items(benchmark))
+            counts, ranges, owners = [], [], []
+            for text, before, ids in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                n, found, more = matcher.scan(text)
+                counts.append(n)
+                ranges.append(merged([*zip(before[::2], before[1::2]), *found]) if before else found)
+                owners.append(sorted({*ids, *more}))
+            of_items = pa.array(owners, pa.list_(pa.string()))
+            if not last:
+                flat = pa.array([[x for r in rs for x in r] for rs in ranges], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat, of_items], ["id", "text", "ranges", "item_ids"])
+                continue
+            hit = pa.array([sum(hi - lo for lo, hi in rs) for rs in ranges], pa.int64())
+            spans = pa.array([original_spans(t, rs) for t, rs in zip(texts, ranges)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), hit, of_items, spans], ["id", "n_words", "n_hit", "item_ids", "spans"])
+
+    return docs.mapInArrow(scan, SCAN if last else "id long, text string, ranges array<int>, item_ids array<string>")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of any item. A null text holds none.
+
+    A map; for a benchmark in several parts, one for each, what is left kept in between.
+    """
+    bound_batches(docs.sparkSession)
+    parts = benchmark_parts(benchmark)
+    for k, part in enumerate(parts):
+        docs = docs.where(~_holds(docs.sparkSession, part, window)(F.col(text_col)))
+        if k < len(parts) - 1:
+            docs = stored(docs)
+    return docs
+
+
+def _holds(spark: SparkSession, part: DataFrame, window: int) -> Callable[[Column], Column]:
+    items = spark.sparkContext.broadcast(benchmark_items(part))
 
     @F.pandas_udf("boolean")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -28,9 +28,9 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 #: Bytes of a stem.
 STEM = 6
-#: Features the model may use, and how clearly they must stand out among the positives.
-MAX_FEATURES = 200
-LEAST_G = 20.0
+#: Features the model may use, and how clearly they must set positives and unlabelled apart.
+MAX_FEATURES = 2_000
+LEAST_G = 10.83
 #: Everything in ASCII but letters, digits and the apostrophe parts words; A-Z is lower-cased.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() or b == 39 else 32 for b in range(256)).lower()
 
@@ -65,39 +65,52 @@ class ToxicityModel:
 
 
 def _select(counts: DataFrame, n_p: int, n_u: int, limit: int) -> list[bytes]:
-    """The features that the positives hold more often, by the likelihood-ratio statistic G.
+    """The features that set positives and unlabelled texts apart, by the likelihood ratio G.
 
-    ``counts`` has feature, p, u. At least ``LEAST_G`` and three positives; ties by name.
+    ``counts`` has feature, p, u. Either may hold them more often; at least ``LEAST_G`` and
+    five texts; ties by name.
     """
     p, u = F.col("p"), F.col("u")
     share = (p + u) / (n_p + n_u)
     cell = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     g = 2 * (cell(p, n_p * share) + cell(n_p - p, n_p * (1 - share)) + cell(u, n_u * share) + cell(n_u - u, n_u * (1 - share)))
-    kept = counts.where((p >= 3) & (p * n_u > u * n_p)).withColumn("g", g).where(F.col("g") >= LEAST_G)
+    kept = counts.where(p + u >= 5).withColumn("g", g).where(F.col("g") >= LEAST_G)
     return [bytes(r["feature"]) for r in kept.orderBy(F.desc("g"), "feature").limit(limit).collect()]
 
 
-def fit(xp: np.ndarray, xu: np.ndarray, names: list[bytes], prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> ToxicityModel:
+def fit(positive: list[list[int]], unlabelled: list[list[int]], names: list[bytes], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
     """Minimises the non-negative risk with the logistic loss, by Adam over the whole sample.
 
-    ``xp`` and ``xu`` have a row a text and a column for each of ``names``. Without
-    positives or unlabelled texts the model is constant, the prior.
+    ``positive`` and ``unlabelled`` have, for each text, the indices of the ``names`` it
+    holds. Without positives or unlabelled texts the model is constant, the prior.
     """
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    if not len(xp) or not len(xu):
+    if not positive or not unlabelled:
         return ToxicityModel({}, math.log(prior / (1 - prior)))
-    xp, xu = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) for x in (xp, xu))
+    sides = []
+    for texts in (positive, unlabelled):
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        sides.append((row, np.fromiter((i for t in texts for i in t), np.int64, len(row)), len(texts)))
     w = np.zeros(len(names) + 1)
     w[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+    def margins(side: tuple) -> np.ndarray:
+        row, column, n = side
+        return np.bincount(row, w[column], minlength=n) + w[-1]
+
+    def mean_gradient(side: tuple, by: np.ndarray) -> np.ndarray:
+        row, column, n = side
+        return np.append(np.bincount(column, by[row], minlength=len(names)), by.sum()) / n
+
     for step in range(1, steps + 1):
-        zp, zu = xp @ w, xu @ w
+        zp, zu = margins(sides[0]), margins(sides[1])
         # the logistic losses are log(1 + e^-z) for the positive class, log(1 + e^z) for the negative
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_negative = sigmoid(zu) @ xu / len(xu) - prior * (sigmoid(zp) @ xp) / len(xp)
+        grad_negative = mean_gradient(sides[1], sigmoid(zu)) - prior * mean_gradient(sides[0], sigmoid(zp))
         if negative >= 0:
-            grad = prior * ((sigmoid(zp) - 1) @ xp) / len(xp) + grad_negative
+            grad = prior * mean_gradient(sides[0], sigmoid(zp) - 1) + grad_negative
         else:
             grad = -grad_negative
         grad[:-1] += decay * w[:-1]
@@ -121,7 +134,8 @@ def train(
 
     ``usable`` says, from the column ``id``, which documents may be learned from. Only
     labels of 1 are used as labels; ``prior`` defaults to their share among the usable
-    labels. Null labels and ids are ignored; a document labelled more than once is
+    labels, which is right where texts were chosen for labelling without regard to toxicity:
+    else give it. Null labels and ids are ignored; a document labelled more than once is
     positive if any label is.
     """
     bound_batches(docs.sparkSession)
@@ -134,9 +148,8 @@ def train(
     chosen = _lowest(marks.where("toxic = 1").select("id"), max_positive).withColumn("kind", F.lit(1))
     chosen = chosen.unionByName(_lowest(own.select("id").where(usable), max_unlabelled).withColumn("kind", F.lit(0)))
     ids = chosen.collect()  # bounded by max_positive + max_unlabelled
-    nothing = np.zeros((0, 0))
     if not ids:
-        return fit(nothing, nothing, [], prior)
+        return fit([], [], [], prior)
     picked = docs.sparkSession.createDataFrame(ids, chosen.schema)
     sample = stored(own.join(F.broadcast(picked), "id").select("id", "kind", "text"))
 
@@ -165,13 +178,7 @@ def train(
     sets: tuple[list, list] = ([], [])
     for kind, _, have in found:
         sets[kind].append(have)
-    matrices = []
-    for one in (sets[1], sets[0]):
-        x = np.zeros((len(one), len(names)), dtype=np.float32)
-        for i, have in enumerate(one):
-            x[i, have] = 1
-        matrices.append(x)
-    return fit(*matrices, names, float(prior))
+    return fit(sets[1], sets[0], names, float(prior))
 
 
 def scorer(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:

@@ -277,6 +277,17 @@ def test_decontamination_spans(spark):
     assert got[1].item_ids == ["7"] and got[1].n_hit == 10 and got[2].item_ids == ["9"]
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    """A benchmark beyond one automaton gives the same in several."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(repr, decontamination.scan_documents(docs, bench).collect()))
+    clean = {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontamination, "MAX_ITEM_CHARS", 3000)
+    assert len(decontamination.benchmark_parts(bench)) > 2
+    assert sorted(map(repr, decontamination.scan_documents(docs, bench).collect())) == whole
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == clean
+
+
 def test_decontamination_odd_input(spark, odd, empty):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     got = decontamination.scan_documents(odd, bench).collect()

@@ -22,7 +22,7 @@ def test_stages(spark):
     assert set(safe) <= set(single) <= set(clean) <= set(start) and len(clean) > 0.8 * len(start)
     want = {key for key, _, least in brute(sorted(clean.items())) if key == least}
     assert set(single) == want
-    items = decontamination.benchmark_items(read_table(spark, SF, "benchmark"))
+    items = [x for part in decontamination.benchmark_parts(read_table(spark, SF, "benchmark")) for x in decontamination.benchmark_items(part)]
     windows = {w for _, t in items for w in decontamination.windows_of(decontamination.words_of(t), 10)}
     dirty = lambda t: any(f" {w.decode()} " in f" {b' '.join(decontamination.words_of(t)).decode()} " for w in windows)
     assert set(safe) == {k for k, t in single.items() if not dirty(t)}
