@@ -37,8 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without any benchmark window."""
-    holds = decontamination.contains_benchmark(spark, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.where(~holds(F.col("text")))
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
