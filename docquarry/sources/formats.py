@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import csv
 import email
 import email.policy
@@ -9,10 +10,12 @@ import gzip
 import html
 import io
 import json
+import lzma
 import re
 import sqlite3
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
@@ -114,20 +117,148 @@ def _plain_html(text: str) -> str:
     return html.unescape(re.sub(r"<[^>]+>", "", text))
 
 
+def _table(data: bytes) -> str:
+    """Rows of delimited text, cells parted by tabs; the delimiter is told from a sample."""
+    text = decode(data)
+    try:
+        dialect = csv.Sniffer().sniff(text[:8192], ",;\t|")
+    except csv.Error:
+        dialect = csv.excel
+    return "\n".join("\t".join(r) for r in csv.reader(io.StringIO(text), dialect))
+
+
 def _xml_text(data: bytes) -> str:
     return "\n".join(t.strip() for t in ElementTree.fromstring(data).itertext() if t.strip())
 
 
-def _office(data: bytes, wanted: str, breaks: tuple[str, ...]) -> str:
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+
+
+def _flow(element: ElementTree.Element, breaks: frozenset[str], only: frozenset[str] | None) -> Iterator[str]:
+    """The text of an element in document order, what follows its children too; a line ends
+    behind each element of ``breaks``. ``only``: elements whose own text counts, else all."""
+    name = _local(element)
+    if name in ("script", "style", "head", "instrText", "delText"):
+        return
+    if element.text and (only is None or name in only):
+        yield element.text
+    for child in element:
+        if _local(child) in ("tab", "s"):
+            yield "\t" if _local(child) == "tab" else " " * int(next((v for k, v in child.attrib.items() if k.endswith("}c")), 1))
+        elif _local(child) in ("br", "cr", "line-break"):
+            yield "\n"
+        yield from _flow(child, breaks, only)
+        if child.tail and (only is None or name in only):
+            yield child.tail
+    if name in breaks:
+        yield "\n"
+
+
+def _parts(z: zipfile.ZipFile, wanted: str) -> list[str]:
+    """Members that match, in the order of their numbers."""
+    return sorted((n for n in z.namelist() if re.fullmatch(wanted, n)), key=lambda n: (len(n), n))
+
+
+def _office(data: bytes, wanted: str, breaks: str, only: str | None = None) -> str:
+    """The running text of an office file's or e-book's parts."""
+    kept = frozenset(only.split()) if only else None
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        pages = ["".join(_flow(ElementTree.fromstring(_limited(z, n)), frozenset(breaks.split()), kept)) for n in _parts(z, wanted)]
+    return re.sub(r"[ \t]*\n\s*", "\n", "\n".join(pages)).strip()
+
+
+def _sheet(data: bytes) -> str:
+    """Rows of a workbook's sheets, cells parted by tabs in their columns: shared and inline
+    strings, truth values, numbers and formulas' last values."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted((n for n in z.namelist() if re.fullmatch(wanted, n)), key=lambda n: (len(n), n)):
-            for part in ElementTree.fromstring(z.read(name)).iter():
-                if part.text and part.tag.rpartition("}")[2] in ("t", "p", "h", "span", "v", "a"):
-                    out.append(part.text)
-                if part.tag.rpartition("}")[2] in breaks:
+        of = lambda element, name: [x for x in element.iter() if _local(x) == name]
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in of(si, "t")) for si in of(ElementTree.fromstring(_limited(z, "xl/sharedStrings.xml")), "si")]
+        for name in _parts(z, r"xl/worksheets/sheet\d+\.xml"):
+            for row in of(ElementTree.fromstring(_limited(z, name)), "row"):
+                cells: list[str] = []
+                for c in of(row, "c"):
+                    column = column_number(re.sub(r"\d", "", c.get("r", ""))) or len(cells) + 1
+                    cells += [""] * (column - 1 - len(cells))
+                    value = "".join(v.text or "" for v in of(c, "v"))
+                    kind = c.get("t", "n")
+                    if kind == "s":
+                        value = shared[int(value)] if value.isdigit() and int(value) < len(shared) else ""
+                    elif kind == "inlineStr":
+                        value = "".join(t.text or "" for t in of(c, "t"))
+                    elif kind == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    cells.append(value)
+                out.append("\t".join(cells).rstrip("\t"))
+    return "\n".join(x for x in out if x)
+
+
+def column_letter(number: int) -> str:
+    """A spreadsheet column's name: 1 is A, 27 is AA."""
+    name = ""
+    while number > 0:
+        number, rest = divmod(number - 1, 26)
+        name = chr(65 + rest) + name
+    return name
+
+
+def column_number(name: str) -> int:
+    """The reverse of ``column_letter``; 0 for no letters."""
+    out = 0
+    for c in name.upper():
+        out = 26 * out + ord(c) - 64
+    return out
+
+
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    """A literal PDF string without its parentheses, escapes undone."""
+    put = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1] in b"\r\n" else _ESCAPES.get(m[1], m[1])
+    data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", put, raw, flags=re.S)
+    return data.decode("utf-16", "replace") if data.startswith((b"\xfe\xff", b"\xff\xfe")) else data.decode("cp1252", "replace")
+
+
+def _pdf(data: bytes) -> str:
+    """The text layer of a PDF with plain or deflated content streams and simple encodings.
+
+    Encrypted files, and those whose pages show glyph numbers only, fail: that they have no
+    readable text layer isn't an empty text.
+    """
+    if re.search(rb"/Encrypt\s", data):
+        raise ValueError("encrypted")
+    out, shown = [], 0
+    if b"endstream" not in data:
+        raise ValueError("no content")
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        body = m[1]
+        try:
+            body = zlib.decompressobj().decompress(body, MAX_BYTES)
+        except zlib.error:
+            if b"/Filter" in data[max(0, m.start() - 300) : m.start()].rpartition(b"obj")[2]:
+                continue
+        for block in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
+            for piece in re.finditer(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<([0-9A-Fa-f\s]+)>|(-?\d+(?:\.\d+)?)(?=[^\[\]]*\]\s*TJ)|\b(T\*|(?:Td|TD|Tm)\b)|(')", block, re.S):
+                token = piece[0]
+                if token.startswith(b"("):
+                    out.append(_pdf_string(token[1:-1]))
+                    shown += 1
+                elif piece[1]:
+                    shown += 1
+                elif piece[2]:
+                    if float(piece[2]) < -180:  # a wide step back between glyphs stands for a space
+                        out.append(" ")
+                elif out and not out[-1].endswith("\n"):
                     out.append("\n")
-    return re.sub(r"\n+", "\n", "".join(out)).strip()
+            out.append("\n")
+    text = re.sub(r"[ \t]*\n\s*", "\n", "".join(out)).strip()
+    if shown and not text:
+        raise ValueError("the text layer has glyph numbers only")
+    return text
 
 
 def _mail(data: bytes) -> str:
@@ -163,12 +294,13 @@ def _database(data: bytes, rows: int = 20) -> str:
 
 
 READERS: dict[str, Callable[[bytes], str]] = {
-    "text": decode, "csv": lambda d: "\n".join("\t".join(r) for r in csv.reader(io.StringIO(decode(d)))),
+    "text": decode, "csv": _table,
     "json": lambda d: json.dumps(json.loads(decode(d)), ensure_ascii=False, indent=1), "xml": _xml_text, "html": lambda d: _plain_html(decode(d)),
     "eml": _mail, "ics": lambda d: _calendar(decode(d)), "rtf": lambda d: _rtf(decode(d)), "sqlite": _database,
-    "docx": lambda d: _office(d, r"word/document\.xml", ("p",)), "xlsx": lambda d: _office(d, r"xl/(sharedStrings|worksheets/sheet\d+)\.xml", ("si", "row")),
-    "pptx": lambda d: _office(d, r"ppt/slides/slide\d+\.xml", ("p",)), "odt": lambda d: _office(d, r"content\.xml", ("p", "h")),
-    "ods": lambda d: _office(d, r"content\.xml", ("p", "table-row")), "odp": lambda d: _office(d, r"content\.xml", ("p",)), "epub": lambda d: _office(d, r".*\.x?html", ("p", "h1", "h2")),
+    "docx": lambda d: _office(d, r"word/(document|footnotes|endnotes|header\d*|footer\d*)\.xml", "p", "t"), "xlsx": _sheet,
+    "pptx": lambda d: _office(d, r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml", "p", "t"), "odt": lambda d: _office(d, r"content\.xml", "p h"),
+    "ods": lambda d: _office(d, r"content\.xml", "p table-row"), "odp": lambda d: _office(d, r"content\.xml", "p"), "pdf": _pdf,
+    "epub": lambda d: _office(d, r".*\.x?html?", "p h1 h2 h3 h4 h5 h6 li div tr blockquote title"),
 }
 
 
@@ -176,50 +308,69 @@ class UnsafeArchive(ValueError):
     """An archive beyond the limits, or with names that leave its folder."""
 
 
-def members(data: bytes, kind: str, name: str = "") -> Iterator[tuple[str, bytes]]:
-    """An archive's files, name and content, under the limits."""
-    total = count = 0
+@dataclass
+class Budget:
+    """What may still be unpacked, over all levels of one file."""
+
+    files: int = MAX_FILES
+    bytes: int = MAX_BYTES
+
+    def take(self, size: int) -> None:
+        self.files, self.bytes = self.files - 1, self.bytes - size
+        if self.files < 0 or self.bytes < 0:
+            raise UnsafeArchive("too many files or too large")
+
+
+def _limited(z: zipfile.ZipFile, name: str, most: int = MAX_BYTES) -> bytes:
+    """A member's content; what it really holds is bounded, whatever its header says."""
+    with z.open(name) as f:
+        out = f.read(most + 1)
+    if len(out) > most or len(out) > MAX_RATIO * max(1024, z.getinfo(name).compress_size):
+        raise UnsafeArchive("too large or packed too tightly")
+    return out
+
+
+def members(data: bytes, kind: str, name: str = "", budget: Budget | None = None) -> Iterator[tuple[str, bytes]]:
+    """An archive's files, name and content, within the budget."""
+    budget = Budget() if budget is None else budget
 
-    def checked(path: str, size: int, packed: int) -> None:
-        nonlocal total, count
-        count, total = count + 1, total + size
+    def checked(path: str, content: bytes) -> tuple[str, bytes]:
         if path.startswith("/") or ".." in path.replace("\\", "/").split("/"):
             raise UnsafeArchive(f"{path!r} leaves the archive")
-        if count > MAX_FILES or total > MAX_BYTES or packed and size > MAX_RATIO * packed:
-            raise UnsafeArchive("too many files, too large or packed too tightly")
+        budget.take(len(content))
+        return path, content
 
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
                 if not info.is_dir():
-                    checked(info.filename, info.file_size, info.compress_size)
-                    yield info.filename, z.read(info)
+                    yield checked(info.filename, _limited(z, info.filename, budget.bytes))
     elif kind == "tar":
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for info in t:
                 if info.isfile():
-                    checked(info.name, info.size, 0)
-                    yield info.name, t.extractfile(info).read()
-    elif kind == "gzip":
-        with gzip.open(io.BytesIO(data)) as g:
-            inner = g.read(min(MAX_BYTES, MAX_RATIO * max(1, len(data))) + 1)
-        checked(name.removesuffix(".gz") or "content", len(inner), len(data))
-        yield name.removesuffix(".gz") or "content", inner
+                    yield checked(info.name, t.extractfile(info).read(budget.bytes + 1))
+    else:
+        with {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](io.BytesIO(data)) as g:
+            inner = g.read(min(budget.bytes, MAX_RATIO * max(1024, len(data))) + 1)
+        if len(inner) > MAX_RATIO * max(1024, len(data)):
+            raise UnsafeArchive("packed too tightly")
+        yield checked(re.sub(r"\.(gz|bz2|xz)$", "", name) or "content", inner)
 
 
-def read(data: bytes, name: str, depth: int = 0) -> Iterator[tuple[str, str, str, str]]:
+def read(data: bytes, name: str, depth: int = 0, budget: Budget | None = None) -> Iterator[tuple[str, str, str, str]]:
     """Path, kind, status and text of a file, and of what an archive or mailbox holds.
 
     Status: complete, unsupported, or failed with the reason; a failure isn't an empty text.
     """
-    found = identify(data, name)
+    found, budget = identify(data, name), Budget() if budget is None else budget
     try:
-        if found.family == "archive" and found.kind in ("zip", "tar", "gzip"):
+        if found.family == "archive" and found.kind in ("zip", "tar", "gzip", "bzip2", "xz"):
             if depth >= MAX_DEPTH:
                 raise UnsafeArchive("nested too deeply")
             yield name, found.kind, "complete", ""
-            for inner, content in members(data, found.kind, name.rpartition("/")[2]):
-                yield from read(content, f"{name}::{inner}", depth + 1)
+            for inner, content in members(data, found.kind, name.rpartition("/")[2], budget):
+                yield from read(content, f"{name}::{inner}", depth + 1, budget)
         elif found.kind == "mbox":
             for i, part in enumerate(re.split(rb"(?m)^From .*\r?\n", data)[1:]):
                 yield f"{name}::{i}", "eml", "complete", _mail(part)
