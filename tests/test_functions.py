@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import dates, measures
 from docquarry.functions.detectors import PlaceFinder, later, sentence_at, temporal_signals
-from docquarry.operators import detection
+from docquarry.operators import detection, library
 from docquarry.plans.criteria import Criteria, CriteriaError, literal, parse_expression, whole_word
 from docquarry.sources import files, formats
 
@@ -187,3 +187,18 @@ def test_snapshots(spark):
     assert sorted(map(tuple, files.register(known, found).collect())) == [("h1", 1, "a"), ("h2", 2, "c")]
     marks = spark.createDataFrame([("r", 5)], "reader string, last_id long")
     assert files.merge_watermark(marks, spark.createDataFrame([("r", 3), ("s", 1)], marks.schema)).count() == 2
+
+
+def test_cursors():
+    key = (3, "2024-01-01", None)
+    assert library.decode_cursor(library.encode_cursor(*key), 3) == key
+    for wrong in ("%%", "e30", library.encode_cursor(1)):
+        with pytest.raises(ValueError):
+            library.decode_cursor(wrong, 3)
+
+
+def test_normal_forms(spark):
+    df = spark.createDataFrame([("\ufb01ne  \uff21\uff22\tx",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(library.normal_text("t")).collect()] == ["fine ab x", None, ""]
+    assert df.select(library.search_tokens(F.lit("Don't a - b_c \u05e9\u05dc\u05d5\u05dd ' 5"))).first()[0] == ["don't", "a", "b_c", "\u05e9\u05dc\u05d5\u05dd", "5"]
+    assert df.select(library.first_page(F.lit("one\ftwo"))).first()[0] == "one"
