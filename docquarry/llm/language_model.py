@@ -24,6 +24,7 @@ score are complete at any size.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -98,12 +99,25 @@ def _count_batches(held: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + 50_000], pa.binary()), pa.array(counts[i : i + 50_000], pa.int64())], ["token", "n"])
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers in the narrowest of 1, 2 and 4 bytes that holds them all, compressed."""
+    most = int(numbers.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return struct.pack("<BI", width, len(numbers)) + pa.compress(numbers.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The reverse of ``pack``."""
+    width, n = struct.unpack_from("<BI", packed)
+    return np.frombuffer(pa.decompress(packed[5:], width * n, "zstd", asbytes=True), f"<u{width}")
+
+
 def _blocks(tab: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A table as compressed pieces of ``_CHUNK`` numbers, empty ones left out."""
     for b in range(0, len(table), _CHUNK):
         part = table[b : b + _CHUNK]
         if part.any():
-            packed = zlib.compress(part.astype(np.uint32).tobytes(), 1)
+            packed = pack(part)
             yield pa.RecordBatch.from_arrays([pa.array([tab], pa.int32()), pa.array([b // _CHUNK], pa.int32()), pa.array([packed], pa.binary())], ["tab", "block", "counts"])
 
 
@@ -115,9 +129,9 @@ def _stretched(blocks: DataFrame, sizes: list[int], greatest: int = -1) -> list[
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for tab, b, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                part = np.frombuffer(zlib.decompress(packed), np.uint32)
+                part = unpack(packed)
                 if (tab, b) not in sums:
-                    sums[tab, b] = part.copy() if tab == greatest else part.astype(np.uint64)
+                    sums[tab, b] = part.astype(np.uint32 if tab == greatest else np.uint64)
                 elif tab == greatest:
                     np.maximum(sums[tab, b], part, out=sums[tab, b])
                 else:
