@@ -179,9 +179,11 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the least node connected) from edges (a, b), by spreading labels.
+    """node and label (the least node connected) from edges (a, b).
 
-    Each round is checkpointed, so the plan doesn't grow and lost executors cost one round.
+    Labels spread along edges and jump to their labels' labels, so rounds grow with the
+    logarithm of the longest path. Each round is checkpointed: the plan doesn't grow and lost
+    executors cost one round.
     """
     shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
@@ -189,8 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new")).checkpoint()
-        labels = spread.select("node", F.col("new").alias("label"))
-        if spread.where("new <> label").isEmpty():
+        to = spread.select(F.col("node").alias("at"), F.col("new").alias("further"))
+        jumped = spread.join(to, F.col("new") == F.col("at")).select("node", F.col("label").alias("old"), F.least("new", "further").alias("label")).checkpoint()
+        labels = jumped.select("node", "label")
+        if jumped.where("old <> label").isEmpty():
             return labels
 
 

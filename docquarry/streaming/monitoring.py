@@ -310,17 +310,19 @@ def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_stream(rule: Rule, signals: DataFrame, ledger_path: str, checkpoint: str):
-    """A stream of signals into a rule's ledger, batch by batch, each subject once."""
-
-    def take(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(ledger_path)
-        except Exception as gone:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(gone):
-                raise
-            known = None
-        evaluate(rule, batch, known).write.mode("append").parquet(ledger_path)
+    """A stream of signals into a rule's ledger, batch by batch, each subject once.
+
+    A batch owns one partition of the ledger and looks for its subjects in those of earlier
+    batches, of which it reads the ids only. A batch that is run again writes the same rows
+    over its own, the first one its baseline.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        known = None
+        if number:
+            ledger = batch.sparkSession.read.schema("hash_id long, batch long").parquet(ledger_path)
+            known = ledger.where(F.col("batch") < number)
+        evaluate(rule, batch, known).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return signals.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 

@@ -29,6 +29,9 @@ def test_streams(spark, tmp_path):
     _signals(spark, [(3, 1, "a", "high"), (4, 2, "a", "high")]).write.mode("append").parquet(source)
     stream()
     assert sorted((r.hash_id, r.state) for r in spark.read.parquet(ledger).collect()) == [(1, "baseline"), (2, "pending")]
+    ledger_stream(Rule(("a",)), spark.readStream.schema(SCHEMA).parquet(source), ledger, str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination()
+    again = sorted((r.hash_id, r.state) for r in spark.read.parquet(ledger).where("batch = 0").collect())
+    assert again == [(1, "baseline"), (2, "baseline")]  # all that is there now comes in one first batch
     events = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "event_type string, value double").selectExpr("TIMESTAMP'2024-01-01 00:10:00' AS ts", "*")
     events.write.parquet(str(tmp_path / "ev"))
     counted = windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")))
