@@ -14,6 +14,7 @@ the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import unicodedata
 import zlib
@@ -133,18 +134,40 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: The steps of a tokenizer file under which words can be told one by one.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def chunkable(definition: str) -> bool:
+    """Whether a tokenizer file has the steps that ``ChunkedTokenizer`` relies on."""
+    told = json.loads(definition)
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = told.get("model") or {}
+    return (
+        (told.get("normalizer") or {}).get("normalizers") == _NORMAL_FORM and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": _WORD_PATTERN} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+        and not told.get("truncation") and not told.get("padding")
+        and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in told.get("added_tokens") or [])
+    )
+
+
 class ChunkedTokenizer:
     """Token ids by a tokenizer file, remembered for each run between white space.
 
     Holds for tokenizers that drop white space and never join across it, lower-case, and
-    part a run of letters from ASCII punctuation behind it. Such a run of letters is one
-    word of the byte-level model; anything else takes the tokenizer's whole way.
+    part a run of letters from ASCII punctuation behind it; ``chunkable`` looks for these in
+    the file, and texts take the tokenizer's whole way without them. Such a run of letters
+    is one word of the byte-level model; anything else takes the whole way by itself.
     """
 
     def __init__(self, definition: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.chunkable = chunkable(definition)
         self.word_ids = self.tokenizer.model.tokenize
         self.characters = _byte_characters()
         self.chunks: dict[str, bytes] = {}
@@ -190,6 +213,8 @@ class ChunkedTokenizer:
         Most lookups end in a small table of the commonest chunks, which stays in the
         processor's cache.
         """
+        if not self.chunkable:
+            return map(self._any, texts)
         split = [self.split(t) for t in texts]
         if not self.common:
             often = [c for c, _ in Counter(c for x in split for c in x).most_common(COMMON_ENTRIES)]

@@ -562,6 +562,19 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_tokens_are_the_tokenizers_own():
+    """Word by word where the file allows it, else whole: the ids are the plain tokenizer's."""
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World's end. 12 <|endoftext|> na\u00efve \u0130\u03a3 don't!!", "", "  \u00a0x\x1cy ", LONG[:2000]]
+    for name, chunked in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        definition = open(registry.tokenizer_path(name), encoding="utf-8").read()
+        assert packing.chunkable(definition) == chunked
+        plain = Tokenizer.from_str(definition)
+        found = list(packing.ChunkedTokenizer(definition).encode_batch(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_plan_uses_every_piece(counts):
