@@ -1,9 +1,12 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import difflib
+
 import duckdb
 import pytest
 
 from docquarry import catalog
+from docquarry.sources import corpus
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,3 +34,11 @@ def test_query(spark, duck, name):
         want = duck.sql(catalog.ORACLE_SQL[name])
         assert sorted(found.columns) == sorted(want.columns)
         assert _rows(found.columns, [tuple(r) for r in rows]) == _rows(want.columns, want.fetchall())
+
+
+def test_fuzzy_matches_are_the_best(spark, duck):
+    """Against the ratio of every word."""
+    words = [r[0] for r in duck.sql(f"WITH {corpus.SQL} SELECT DISTINCT word FROM words").fetchall()]
+    ratio = lambda w: difflib.SequenceMatcher(None, w, "licence").ratio()
+    want = sorted(((-ratio(w), w) for w in words if ratio(w) >= 0.6))[:20]
+    assert [(-r.ratio, r.word) for r in catalog.QUERIES["fuzzy_close_matches"](spark, SF).collect()] == want
