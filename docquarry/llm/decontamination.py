@@ -9,6 +9,7 @@ document and are mapped back to character offsets of its original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -94,6 +95,17 @@ class WindowMatcher:
         return len(words), merged(ranges), items
 
 
+_HELD: dict[str, WindowMatcher] = {}
+
+
+def _held(key: str, items: list[tuple[str, str]], window: int) -> WindowMatcher:
+    """One automaton a Python worker, so that the next task needn't build it again."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = WindowMatcher(items, window)
+    return _HELD[key]
+
+
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Word ranges as character offsets of the unchanged text."""
     if not ranges:
@@ -141,10 +153,10 @@ def scan_documents(
 def _scan_part(docs: DataFrame, part: DataFrame, window: int, last: bool) -> DataFrame:
     """``docs`` (id, text, ranges, item_ids) with what one automaton finds; at the ``last``
     the result of all."""
-    items = docs.sparkSession.sparkContext.broadcast(benchmark_items(part))
+    items, key = docs.sparkSession.sparkContext.broadcast(benchmark_items(part)), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = WindowMatcher(items.value, window)
+        matcher = _held(key, items.value, window)
         for batch, texts in texts_of(batches, "text"):
             counts, ranges, owners = [], [], []
             for text, before, ids in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -179,11 +191,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
 
 
 def _holds(spark: SparkSession, part: DataFrame, window: int) -> Callable[[Column], Column]:
-    items = spark.sparkContext.broadcast(benchmark_items(part))
+    items, key = spark.sparkContext.broadcast(benchmark_items(part)), uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = WindowMatcher(items.value, window)
+        matcher = _held(key, items.value, window)
         for texts in parts:
             yield pd.Series([bool(matcher.scan(t or "")[1]) for t in texts], dtype="bool")
 

@@ -121,7 +121,6 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls)}
 
 
-
 def _rank_sql(name: str, edges: str, seeds: str) -> str:
     """CTEs of personalised PageRank over an edge CTE (src, dst, links); the last is ``name``."""
     d, out = url_filter.DAMPING, []
