@@ -147,7 +147,7 @@ WITH p AS (
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), j AS (SELECT *, CASE {_RULE_CASES} END AS hit FROM p
 ), k AS (SELECT *, split_part(hit, ' ', 1) AS action, split_part(hit, ' ', 2) AS rule FROM j
-), links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS t FROM p
+), links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS t FROM p
 ), pairs AS (SELECT src, translate(regexp_extract(CASE WHEN starts_with(t, '//') THEN 'http:' || t ELSE t END, '(?s)^.*?://([^/?#]*)', 1), {_AZ}) AS dst FROM links
 ), e AS (SELECT src, dst, count(*) AS links FROM pairs WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), b AS (SELECT dst AS src, src AS dst, links FROM e
