@@ -25,6 +25,8 @@ def test_measures(spark):
     want = 2 * (100 * math.log(100 / (10_000 * 150 / 30_000)) + 50 * math.log(50 / (20_000 * 150 / 30_000)))
     assert abs(first["g"] - want) < 1e-9 and abs(want - 100 * math.log(2)) < 1e-9
     assert first["s"] == 1 and second["g"] is None
+    levels = spark.createDataFrame([(15.13,), (15.0,), (6.63,), (3.84,), (3.0,), (None,)], "g double").select(measures.significance(F.col("g"))).collect()
+    assert [r[0] for r in levels] == ["p<0.0001", "p<0.001", "p<0.01", "p<0.05", "none", None]
 
 
 def test_calendars():
