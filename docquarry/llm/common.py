@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
 import uuid
@@ -53,22 +52,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def scratch(df: DataFrame) -> Iterator[DataFrame]:
-    """``stored`` for a while: the table is removed at the end of the block, in which all
-    that reads it must have been kept elsewhere."""
-    table = stored(df)
-    path = table.inputFiles()
-    try:
-        yield table
-    finally:
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
-        release(df.sparkSession)
-
-
 def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage, upon which Spark removes the shuffle files of
     finished steps from the executors' disks."""
