@@ -89,15 +89,15 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash_id, word and its count in the content, null where that is unknown.
 
     As a test of unknown counts, those of words of five or ten letters are unknown in
-    contents of some ids. The table is in the order of its words, so one word's rows stand
-    together and are found by the files' statistics.
+    contents of some ids. A word's rows stand together in one file, in order, so they are
+    found by the files' statistics.
     """
 
     def build() -> DataFrame:
         own = texts(spark, sf_dir).select("hash_id", F.explode(words_in(F.col("text"))).alias("word"))
         counted = own.join(content_ids(spark, sf_dir), "hash_id", "left_semi").groupBy("hash_id", "word").agg(F.count("*").alias("n"))
         known = F.when((F.col("hash_id") % 50 != 7) | (F.length("word") % 5 != 0), F.col("n"))
-        return counted.select("hash_id", "word", known.alias("n")).repartitionByRange("word").sortWithinPartitions("word", "hash_id")
+        return counted.select("hash_id", "word", known.alias("n")).repartition("word").sortWithinPartitions("word", "hash_id")
 
     return kept(spark, sf_dir, "words", build)
 
