@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, html_extraction, language_model, media, packing, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, decontamination, golay_dedup, html_extraction, language_model, media, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -118,7 +118,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components under links of two bits."""
+    found = golay_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls, op11_simhash)}
 
 
 def _rank_sql(name: str, edges: str, seeds: str) -> str:
