@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, decontamination, golay_dedup, html_extraction, language_model, media, packing, sharding, similarity_join, toxicity, url_filter
+from docquarry.llm import chat, collocations, decontamination, golay_dedup, html_extraction, language_model, media, packing, sharding, similarity_join, toxicity, url_filter
 from docquarry.llm.common import id_mod, read_table
 
 SHARDS = 16
@@ -124,7 +124,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls, op11_simhash)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of each language over all documents."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents", "lang", "text"))
+
+
+QUERIES = {q.__name__: q for q in (op1_toxicity, op2_chat, op3_language_model, op4_sharding, op5_html, op6_decontamination, op7_similarity_join, op8_media, op9_packing, op10_urls, op11_simhash, op12_collocations)}
 
 
 def _rank_sql(name: str, edges: str, seeds: str) -> str:
@@ -203,5 +208,31 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0)
        CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
        coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+""",
+    "op12_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang
+), g AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM p CROSS JOIN (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE len(w) >= m)
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase
+), c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, c.k), ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, c.k + 1, c.m), ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM c)) GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN parts ON parts.lang = b.lang AND parts.phrase = b.phrase
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
 """,
 }
