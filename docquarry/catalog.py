@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.operators import detection, filters, keyness, library, reports, search, signals, statistics  # noqa: F401
+from docquarry.operators import detection, filters, fulltext, keyness, library, reports, search, signals, statistics  # noqa: F401
 from docquarry.streaming import monitoring  # noqa: F401
 from docquarry.plans.registry import ORACLE_SQL, QUERIES
 
