@@ -24,7 +24,7 @@ from docquarry.functions import stems, tokens
 from docquarry.plans.criteria import CriteriaError, parse_expression
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
-from docquarry.sources.shared import kept
+from docquarry.sources.shared import kept, staged
 
 #: Tokens that a search names in its filter; more of them are joined instead.
 NAMED_TOKENS = 2000
@@ -50,7 +50,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         own = tokenized(corpus.texts(spark, sf_dir).select("hash_id", "text")).join(corpus.content_ids(spark, sf_dir), "hash_id", "left_semi")
-        rows = own.select("hash_id", F.posexplode("tokens").alias("position", "t")).select("hash_id", "position", "t.start", "t.token", "t.kind")
+        rows = staged(own).select("hash_id", F.posexplode("tokens").alias("position", "t")).select("hash_id", "position", "t.start", "t.token", "t.kind")
         return rows.repartitionByRange("token", "hash_id").sortWithinPartitions("token", "hash_id", "position")
 
     return kept(spark, sf_dir, "postings", build)
@@ -63,7 +63,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
         each = postings(spark, sf_dir).groupBy("token", "kind", "hash_id").agg(F.count("*").alias("n"))
         own = each.groupBy("token", "kind").agg(F.count("*").alias("contents"), F.sum("n").alias("occurrences"))
         made = stems.with_stem(own).withColumn("stem", F.when(F.col("kind") == _WORD, F.col("stem")).otherwise(F.col("token")))
-        return made.repartitionByRange("stem").sortWithinPartitions("stem", "token")
+        return staged(made).repartitionByRange("stem").sortWithinPartitions("stem", "token")
 
     return kept(spark, sf_dir, "vocabulary", build)
 

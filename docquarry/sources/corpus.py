@@ -5,7 +5,7 @@ content in a source and side (its language). An occurrence (path) is one documen
 Only digests of texts are shuffled to find equal ones, never the texts: what a query wants
 of a text (words, a flag, its lines) is taken from it where it is read.
 
-Occurrences and word rows are kept tables: built by the first query that asks for them, as
+Occurrences, word rows and signals are kept tables: built by the first query that asks for them, as
 an ingest would, and read by all later ones. A word row's count is null where it is unknown.
 
 ``SQL`` holds the same tables as common table expressions for the checks.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.sources.shared import kept
+from docquarry.sources.shared import kept, staged
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -89,15 +89,19 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash_id, word and its count in the content, null where that is unknown.
 
     As a test of unknown counts, those of words of five or ten letters are unknown in
-    contents of some ids. A word's rows stand together in one file, in order, so they are
-    found by the files' statistics.
+    contents of some ids. Rows stand in the order of the words, so a word is found by the
+    files' statistics; ranges are cut inside a common word too, which then no task gathers.
     """
 
     def build() -> DataFrame:
-        own = texts(spark, sf_dir).select("hash_id", F.explode(words_in(F.col("text"))).alias("word"))
-        counted = own.join(content_ids(spark, sf_dir), "hash_id", "left_semi").groupBy("hash_id", "word").agg(F.count("*").alias("n"))
+        # words are counted in their row, so what moves is a row a content, then one a word
+        row = texts(spark, sf_dir).select("hash_id", F.array_sort(words_in(F.col("text"))).alias("w")).where("size(w) > 0")
+        begins = row.withColumn("at", F.expr("filter(sequence(0, size(w) - 1), i -> i = 0 or w[i] <> w[i - 1])"))
+        counted = begins.select("hash_id", F.expr("transform(at, (a, i) -> struct(w[a] AS word, cast(coalesce(get(at, i + 1), size(w)) - a AS bigint) AS n))").alias("counted"))
+        own = staged(counted.join(content_ids(spark, sf_dir), "hash_id", "left_semi"))
         known = F.when((F.col("hash_id") % 50 != 7) | (F.length("word") % 5 != 0), F.col("n"))
-        return counted.select("hash_id", "word", known.alias("n")).repartition("word").sortWithinPartitions("word", "hash_id")
+        rows = own.select("hash_id", F.inline("counted")).select("hash_id", "word", known.alias("n"))
+        return rows.repartitionByRange("word", "hash_id").sortWithinPartitions("word", "hash_id")
 
     return kept(spark, sf_dir, "words", build)
 
@@ -110,8 +114,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals from the event table, with every column that a detector records.
 
     Dates are ranges; one of eleven has none. Confidence, language and orientation are null
-    where they weren't recorded. A place stands for each signal's user.
+    where they weren't recorded. A place stands for each signal's user. A kept table.
     """
+    return kept(spark, sf_dir, "signals", lambda: _signals(spark, sf_dir), ("events",))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     dated = k % 11 != 0
     pick = lambda values, by: F.get(F.array(*(F.lit(x) for x in values)), F.pmod(by, F.lit(len(values) + 1)).cast("int"))  # noqa: E731  one remainder more: null
