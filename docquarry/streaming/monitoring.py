@@ -107,71 +107,6 @@ def priority_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priority(corpus.signals(spark, sf_dir), F.lit(AS_OF).cast("date"), "hash_id")
 
 
-#: Why a pending match isn't delivered yet, in the order in which it is asked.
-HOLDS = ("suppressed", "threshold", "cooldown", "digest_interval")
-
-
-@dataclass(frozen=True)
-class Delivery:
-    """How a rule's pending matches are told: enough of them, not too often, at once or as a
-    digest. Hours and minutes count back from the time of the run."""
-
-    threshold: int = 1
-    window_hours: int | None = None
-    cooldown_minutes: int = 0
-    digest_hours: int = 0
-    cap: int = 50
-
-    def expire(self, pending: DataFrame, now: Column) -> DataFrame:
-        """``pending`` (group, hash_id, matched_at) with state ``expired`` where it is older than the window."""
-        old = F.lit(False) if self.window_hours is None else F.col("matched_at") < now - F.make_dt_interval(hours=F.lit(self.window_hours))
-        return pending.withColumn("state", F.when(old, "expired").otherwise("pending"))
-
-    def decide(self, pending: DataFrame, sent: DataFrame, suppressed: DataFrame, now: Column) -> DataFrame:
-        """group, waiting, hold (the first reason that applies, else null) and due.
-
-        ``sent``: (group, sent_at) earlier notifications; ``suppressed``: (group) muted ones.
-        """
-        waiting = self.expire(pending, now).where("state = 'pending'").groupBy("group").agg(F.count("*").alias("waiting"))
-        last = sent.groupBy("group").agg(F.max("sent_at").alias("last"))
-        muted = suppressed.select("group", F.lit(True).alias("muted")).distinct()
-        at = waiting.join(last, "group", "left").join(muted, "group", "left")
-        since = lambda **span: F.coalesce(F.col("last") > now - F.make_dt_interval(**span), F.lit(False))
-        hold = (
-            F.when(F.col("muted"), HOLDS[0]).when(F.col("waiting") < self.threshold, HOLDS[1])
-            .when(since(mins=F.lit(self.cooldown_minutes)), HOLDS[2]).when(since(hours=F.lit(self.digest_hours)), HOLDS[3])
-        )
-        due = F.when(hold.isNull(), F.least("waiting", F.lit(self.cap))).otherwise(0)
-        return at.select("group", "waiting", hold.alias("hold"), due.alias("due"), F.when(hold.isNull(), F.col("waiting") > self.cap).otherwise(False).alias("overflow"))
-
-
-_NOW = "2024-01-20 00:00:00"
-_PENDING = f"pend AS (SELECT hash_id % 40 AS grp, hash_id, ts AS matched_at FROM sig WHERE signal_type = 'purchase' AND ts <= TIMESTAMP '{_NOW}')"
-
-
-@query(
-    f"{_SIG}, {_PENDING}, live AS (SELECT grp, count(*) AS waiting FROM pend WHERE matched_at >= TIMESTAMP '{_NOW}' - INTERVAL 240 HOUR GROUP BY grp), "
-    "sent AS (SELECT hash_id % 40 AS grp, max(ts) AS last FROM sig WHERE signal_type = 'signup' AND hash_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1), "
-    f"h AS (SELECT l.grp, waiting, CASE WHEN l.grp % 9 = 4 THEN 'suppressed' WHEN waiting < 3 THEN 'threshold' WHEN last > TIMESTAMP '{_NOW}' - INTERVAL 90 MINUTE THEN 'cooldown' "
-    f"WHEN last > TIMESTAMP '{_NOW}' - INTERVAL 12 HOUR THEN 'digest_interval' END AS hold FROM live l LEFT JOIN sent s USING (grp)) "
-    'SELECT grp AS "group", waiting, hold, CASE WHEN hold IS NULL THEN least(waiting, 20) ELSE 0 END AS due, hold IS NULL AND waiting > 20 AS overflow FROM h'
-)
-def rule_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which groups of a rule's pending matches are told now, and why the others wait."""
-    s = corpus.signals(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") <= F.lit(_NOW).cast("timestamp")).withColumn("group", F.col("hash_id") % 40)
-    pending = s.where("signal_type = 'purchase'").select("group", "hash_id", F.col("ts").alias("matched_at"))
-    sent = s.where("signal_type = 'signup' and hash_id % 3 = 0").select("group", F.col("ts").alias("sent_at"))
-    muted = s.select("group").where("group % 9 = 4").distinct()
-    return Delivery(3, 240, 90, 12, 20).decide(pending, sent, muted, F.lit(_NOW).cast("timestamp"))
-
-
-@query(f"{_SIG}, {_PENDING} SELECT CASE WHEN matched_at < TIMESTAMP '{_NOW}' - INTERVAL 240 HOUR THEN 'expired' ELSE 'pending' END AS state, count(*) AS matches, count(DISTINCT hash_id) AS contents FROM pend GROUP BY 1")
-def rule_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending matches that a rule's window has left behind."""
-    s = corpus.signals(spark, sf_dir).withColumn("matched_at", F.col("ts").cast("timestamp")).where("signal_type = 'purchase'").where(F.col("matched_at") <= F.lit(_NOW).cast("timestamp"))
-    return Delivery(window_hours=240).expire(s, F.lit(_NOW).cast("timestamp")).groupBy("state").agg(F.count("*").alias("matches"), F.countDistinct("hash_id").alias("contents"))
-
-
 @dataclass(frozen=True)
 class Case:
     """Holds when all, some and none of the named conditions hold; gives an outcome."""
