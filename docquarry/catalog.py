@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docquarry.operators import detection, filters, fulltext, keyness, library, reports, search, signals, statistics  # noqa: F401
-from docquarry.streaming import monitoring, rules  # noqa: F401
+from docquarry.streaming import monitoring, outcomes, rules  # noqa: F401
 from docquarry.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,9 +137,10 @@ class Snapshots:
         made = self._written(rows, keys, buckets)
         return self._commit(Manifest(known.version + 1 if known else 1, keys, buckets, rows.schema.json(), made, note))
 
-    def upsert(self, rows: DataFrame, deleted: DataFrame | None = None, note: str = "") -> Manifest:
+    def upsert(self, rows: DataFrame, deleted: DataFrame | None = None, note: str = "", always: bool = False) -> Manifest:
         """The next version has ``rows`` instead of those with their keys, and none with the keys
-        of ``deleted``. Both are read more than once."""
+        of ``deleted``. Both are read more than once. Without any there is no new version,
+        unless ``always``."""
         known = self.manifest()
         if known is None:
             raise ValueError(f"no table at {self.path}")
@@ -147,7 +148,7 @@ class Snapshots:
         gone = rows.select(*keys) if deleted is None else rows.select(*keys).unionByName(deleted.select(*keys))
         touched = [r[0] for r in gone.select(self._bucket(keys, known.buckets).alias("b")).distinct().collect()]  # as many as buckets at most
         if not touched:
-            return known
+            return self._commit(replace(known, version=known.version + 1, note=note)) if always else known
         match = [F.col(f"_own.{k}").eqNullSafe(F.col(f"_gone.{k}")) for k in keys]
         stays = self._rows(known, touched).alias("_own").join(gone.distinct().alias("_gone"), match, "left_anti")
         made = self._written(stays.unionByName(rows.select(*stays.columns)), keys, known.buckets)

@@ -227,23 +227,6 @@ def scenario_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("contents", shown.alias("by_outcome"), "changed")
 
 
-@query(
-    f"{_SIG}, {_FLAGS}, {_FLAGS_EARLY}, n AS (SELECT hash_id, {_FIRST} AS outcomes FROM f), o AS (SELECT hash_id, {_FIRST} AS previous FROM g), "
-    f"c AS (SELECT n.hash_id, outcomes, previous FROM n LEFT JOIN o USING (hash_id) WHERE previous IS DISTINCT FROM outcomes), p AS (SELECT hash_id, {_PRIORITY} AS priority FROM sig GROUP BY hash_id) "
-    "SELECT hash_id, outcomes, previous AS previous_outcomes, CASE WHEN previous IS NULL THEN 'baseline' ELSE 'recorded' END AS delivery, CASE WHEN previous IS NOT NULL THEN priority END AS priority FROM c JOIN p USING (hash_id) ORDER BY hash_id DESC LIMIT 5000"
-)
-def scenario_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded outcomes, newest contents first, at most 5 000: a first one is a baseline and
-    has no priority."""
-    s, scenario = corpus.signals(spark, sf_dir), Scenario(_CONDITIONS, _CASES)
-    old = scenario.decide(s.where(F.col("date_from") < F.lit(_EARLY).cast("date"))).withColumnRenamed("outcomes", "previous_outcomes")
-    told = scenario.decide(s).join(old, "hash_id", "left").where(~F.col("previous_outcomes").eqNullSafe(F.col("outcomes")))
-    first = F.col("previous_outcomes").isNull()
-    ranked = told.join(priority(s, F.lit(AS_OF).cast("date"), "hash_id"), "hash_id")
-    out = ranked.select("hash_id", "outcomes", "previous_outcomes", F.when(first, "baseline").otherwise("recorded").alias("delivery"), F.when(~first, F.col("priority")).alias("priority"))
-    return out.orderBy(F.desc("hash_id")).limit(5000)
-
-
 def ledger_stream(rule: Rule, signals: DataFrame, ledger_path: str, checkpoint: str):
     """A stream of signals into a rule's ledger, batch by batch, each subject once.
 
