@@ -32,8 +32,9 @@ SIBLINGS = {
     "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
 }
 
-#: Outside quotes a tag holds no other tag's start, so each look ahead is short.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>""", re.S)
+#: A quote counts behind an equals sign only; any other is a character of a tag. Outside of
+#: quotes a tag holds no other tag's start, so each look ahead is short.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>=]++|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 

@@ -249,6 +249,19 @@ def test_html_keeps_what_is_not_raw():
     assert text('<div><svg><path d="m"/><text>two</text></svg><svg/>three</div>').split() == ["two", "three"]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>First words here.</p>", "First words here."), ('<p class="a"">First words.</p>', "First words."), ('<a title = "x > y">told</a>', "told"), ("<div data-x='{\"a\":\">\"}'>in</div>", "in"),
+        ('<p title="open>words</p>', "words"), ("<p it's>a</p>", "a"), ('<p a="x"b="y">c</p>', "c"), ('<a onclick=f("x")>go</a>', "go"),
+    ],
+)
+def test_html_stray_quotes(html, text):
+    """A quote is one behind an equals sign; no tag is left in the text for it."""
+    tree = dom.parse(html)
+    assert dom.text_of(tree, [True] * len(tree.nodes)) == text
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<a '", '<a x="', "<!", "<iframe>", "<template>", "<b></i>", "<div><li></li>", "</p>", "<svg/>", "<p x=\"<>\" ", "&#"])
 def test_html_parser_is_linear(unit):
     """A megabyte of what is never closed, in seconds."""
