@@ -12,9 +12,10 @@ are bit counts in hashed tables, gathered over all training texts.
 Predictions are mixed in the logistic domain. The weights are gated by how well the context
 is known and how deep the bit stands. While a text is coded its own copy of the weights
 follows the coding error, block by block, and a refinement of the mixed prediction, by gate,
-follows it too; so each text is scored alike wherever it stands in the input. Starting
-weights are fixed values: nothing is fitted on a sample. The total is a proper code length
-of the tokens; bits per byte come with it.
+follows it too; so each text is scored alike wherever it stands in the input. All weights
+start alike. Those of spelled words don't follow a text, for a word's cost is kept for all
+texts: they are learned online over a share of the distinct training words, in each task,
+and averaged. The total is a proper code length of the tokens; bits per byte come with it.
 
 Tables grow with the training tokens up to what a worker can hold: ``VOCABULARY`` words with
 a path (all others are spelled), ``WORD_SLOTS`` and ``MATCH_SLOTS``. Counts behind the base
@@ -56,17 +57,13 @@ _FOLLOWERS, _RANK_BITS = 2, 18
 #: Hits and misses that each predictor of repetition begins with: for followers from training
 #: and from the text, by the run of hits before (0, 1 to 3, 4 to 15, more).
 _BEGIN = np.array([[0.6, 2.0], [2.0, 0.7], [6.0, 0.5], [30.0, 0.5], [0.8, 1.6], [2.0, 0.7], [6.0, 0.5], [30.0, 0.5]])
-#: Starting weights by gate (three depths of the node, each by how well the
-#: previous word is known there) of the inputs node alone, previous word and common word, and
-#: of the spelling contexts by the longest one known. Settled on held-out texts once.
-_START = np.array(
-    [
-        [0.40, 0.40, 0.45, 1.30, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40, 0.40],
-        [0.40, 0.15, 0.15, -0.15, 0.40, 0.25, 0.40, 0.40, 0.40, 0.35, 0.35, 0.40],
-        [0.20, -0.20, -0.25, 0.05, 0.50, 0.50, 0.45, 0.55, 0.30, 0.45, 0.50, 0.50],
-    ]
-)
-_SPELL_START = np.array([[0.30, 0.30, 0.30, 0.30], [0.55, 0.30, 0.30, 0.30], [0.55, 0.35, 0.30, 0.30], [0.05, 0.55, 0.50, 0.30], [0.00, 0.30, 0.50, 0.30]])
+#: Inputs of the mixer of words (node alone, previous word, common word) and its gates: three
+#: depths of the node, each by how well the previous word is known there. Every weight of a text
+#: starts alike.
+_INPUTS, _GATES = 3, 12
+#: One in so many distinct training words stays out of the spelling tables: these words settle
+#: the spelling weights, in steps of so many words and this size, going over them so often.
+TUNING_SHARE, TUNING_STEP, TUNING_RATE, TUNING_ROUNDS = 16, 64, 0.05, 3
 
 BLOCKS = "tab int, block int, counts binary"
 
@@ -357,8 +354,40 @@ class Model:
     spelling: list[np.ndarray]
     total: int
     distinct: int
-    start: np.ndarray = field(default_factory=lambda: _START.copy())
-    spell_weights: np.ndarray = field(default_factory=lambda: _SPELL_START.copy())
+    start: np.ndarray = field(default_factory=lambda: np.full((_INPUTS, _GATES), 1 / _INPUTS))
+    spell_weights: np.ndarray = field(default_factory=lambda: mean_of_known())
+
+
+def mean_of_known() -> np.ndarray:
+    """Spelling weights by the longest order known: the mean of the orders up to that one."""
+    gates = np.arange(len(_SPELL_ORDERS) + 1)[:, None]
+    return np.where(np.arange(len(_SPELL_ORDERS)) < gates, 1 / np.maximum(gates, 1), 0.0)
+
+
+def _known_orders(levels: list[np.ndarray]) -> np.ndarray:
+    """For each bit how many orders there are up to the longest one that is known."""
+    known = np.zeros(len(levels[0]), np.int64)
+    for i, x in enumerate(levels):
+        known[(x & 3) > 0] = i + 1
+    return known
+
+
+def tuned_spelling(words: list[bytes], tables: list[np.ndarray], rounds: int = TUNING_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Spelling weights learned online from words that the tables don't hold, and bits by gate."""
+    weights, seen = mean_of_known(), np.zeros(len(_SPELL_ORDERS) + 1)
+    value = (np.arange(-512, 512) >> 2) / 16
+    for _ in range(rounds):
+        for at in range(0, len(words), TUNING_STEP):
+            _, bit, slots = _spell_bits(words[at : at + TUNING_STEP])
+            levels = [t[s] for t, s in zip(tables, slots)]
+            known, inputs = _known_orders(levels), [value[x + 512] for x in levels]
+            z = sum(weights[known, i] * x for i, x in enumerate(inputs))
+            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - bit
+            bits = np.bincount(known, minlength=len(weights))
+            for i, x in enumerate(inputs):
+                weights[:, i] -= TUNING_RATE * np.bincount(known, error * x, minlength=len(weights)) / np.maximum(bits, 1)
+            seen += bits
+    return weights, seen
 
 
 class Scorer:
@@ -373,9 +402,7 @@ class Scorer:
         """Natural log-probability of each word's bytes."""
         word, bit, slots = _spell_bits(words)
         levels = [t[s] for t, s in zip(self.m.spelling, slots)]
-        known = np.zeros(len(bit), np.int64)
-        for i, x in enumerate(levels):
-            known[(x & 3) > 0] = i + 1
+        known = _known_orders(levels)
         columns = np.ascontiguousarray(self.m.spell_weights.T, np.float32)
         z = sum(columns[i][known] * self.value[x + 512] for i, x in enumerate(levels))
         miss = np.exp(np.clip((1 - 2 * bit.astype(np.float32)) * z, -30, 30))
@@ -553,8 +580,33 @@ def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> t
 
     tables = _stretched(own.select("text").mapInArrow(contexts, BLOCKS), [word_slots, word_slots, match_slots], _FOLLOWERS)
     rare = counts.where((F.col("n") <= most) & (F.col("token") != F.lit(END))).select("token")
-    spelling = _stretched(rare.mapInArrow(spellings, BLOCKS), [SPELL_SLOTS] * len(_SPELL_ORDERS))
-    return Model(vocabulary, tables, spelling, total or 0, distinct or 0), counts
+    aside = F.crc32("token") % TUNING_SHARE == 0
+    spelling = _stretched(rare.where(~aside).mapInArrow(spellings, BLOCKS), [SPELL_SLOTS] * len(_SPELL_ORDERS))
+    given = spark.sparkContext.broadcast(spelling)
+
+    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _grouped(batches, 20_000):
+            weights, bits = tuned_spelling(words, given.value)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([bits.tolist()], pa.list_(pa.float64()))], ["weights", "bits"])
+
+    parts = rare.where(aside).mapInArrow(tune, "weights array<double>, bits array<double>")
+    each = [(F.col("weights")[g * len(_SPELL_ORDERS) + i], F.col("bits")[g]) for g in range(len(_SPELL_ORDERS) + 1) for i in range(len(_SPELL_ORDERS))]
+    means = parts.agg(*(F.sum(w * b) / F.nullif(F.sum(b), F.lit(0.0)) for w, b in each)).first()
+    mean = mean_of_known()
+    weights = np.array([m if x is None else x for x, m in zip(means, mean.ravel())]).reshape(mean.shape)
+    return Model(vocabulary, tables, spelling, total or 0, distinct or 0, spell_weights=weights), counts
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[bytes]]:
+    """The values of the first column, ``size`` at a time."""
+    held: list[bytes] = []
+    for batch in batches:
+        held += batch.column(0).to_pylist()
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
 
 
 SCORED = "id long, n_tokens long, n_known long, base double, logp double, n_bytes long, rest array<struct<token:binary,n:int>>"

@@ -649,7 +649,7 @@ def test_urls_chain_converges(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = registry.QUERIES[name](spark, SF)
     want = con.sql(registry.ORACLE_SQL[name])
@@ -663,3 +663,24 @@ def test_chat_contract_row(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and row.loss_chars == len(said)
+
+
+def test_spelling_weights_are_learned_from_words_aside():
+    """Weights stay those of the mean where nothing is known, and code like words in fewer bits."""
+    words = [f"{a}{b}{c}".encode() for a in ("con", "per", "trans") for b in ("form", "port", "mit", "fer") for c in ("ed", "ing", "s", "")]
+    tables = [np.zeros((language_model.SPELL_SLOTS, 2), np.int64) for _ in language_model._SPELL_ORDERS]
+    for bit, slots in [language_model._spell_bits(words[::2])[1:]]:
+        for table, slot in zip(tables, slots):
+            np.add.at(table, (slot.astype(np.int64), bit.astype(np.int64)), 1)
+    levels = [language_model.level_of(t[:, 0], t[:, 1]) for t in tables]
+    weights, bits = language_model.tuned_spelling(words[1::2], levels, rounds=20)
+    assert weights.shape == (5, 4) and bits.sum() == 20 * sum(8 * (len(w) + 1) for w in words[1::2])
+    assert (weights[bits == 0] == language_model.mean_of_known()[bits == 0]).all()
+
+    def cost(weights):
+        model = language_model.Model(language_model.Vocabulary.build([b"\n"], np.array([1]), 1, 0), [np.zeros(1, np.int16)] * 3, levels, 1, 1, spell_weights=weights)
+        return -language_model.Scorer(model).spell(words[1::2]).sum()
+
+    assert cost(weights) < cost(language_model.mean_of_known())
+    none, _ = language_model.tuned_spelling([], levels)
+    assert (none == language_model.mean_of_known()).all()
