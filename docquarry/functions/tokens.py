@@ -25,6 +25,8 @@ ENTITIES = {
 }
 #: Fixed value: a word, besides letters, digits and underscores the Hebrew, Arabic, Cyrillic and Han blocks.
 WORD = r"[\w֐-׿؀-ۿЀ-ӿ一-鿿'-]+"
+#: The same for engines whose ``\\w`` has Latin letters only.
+PLAIN_WORD = WORD.replace(r"\w", r"\p{L}\p{N}_")
 
 _FIND = [(kind, re.compile(pattern, re.IGNORECASE)) for kind, pattern in ENTITIES.items()]
 _WORD = re.compile(WORD)

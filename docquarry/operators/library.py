@@ -242,14 +242,6 @@ def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "documents").select("doc_id", F.length(page).cast("long").alias("chars"), F.md5(page).alias("digest"))
 
 
-@query("WITH runs AS (SELECT doc_id AS hash_id, CASE WHEN quality = 1 THEN 'v2' ELSE 'v1' END AS version FROM labels) SELECT c.doc_id AS hash_id FROM documents c LEFT JOIN runs r ON r.hash_id = c.doc_id AND version = 'v2' WHERE r.hash_id IS NULL AND c.doc_id > 100 ORDER BY 1 LIMIT 200")
-def redetection_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next batch of contents that the current detector version hasn't measured, after a key."""
-    current = corpus.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("hash_id"))
-    stale = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hash_id")).where("hash_id > 100").join(current, "hash_id", "left_anti")
-    return stale.orderBy("hash_id").limit(200)
-
-
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id < 5000 AND event_type IN ('purchase', 'error') ORDER BY event_id DESC LIMIT 50")
 def audit_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the log before an id."""

@@ -185,39 +185,6 @@ def latest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.desc("path_id")).limit(5000).select("path_id", "file_date", (F.col("path_id") > F.col("last_id")).alias("is_new"), recent.alias("recent"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) - INTERVAL 14 DAY FROM orders) ORDER BY o_orderkey LIMIT 5000")
-def change_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was added from the watermark's day on; rows of that day are shown again."""
-    o = corpus.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    mark = o.agg(F.date_sub(F.max("o_orderdate").cast("date"), 14).alias("mark"))
-    out = o.crossJoin(F.broadcast(mark)).where(F.col("o_orderdate").cast("date") >= F.col("mark"))  # one row
-    return out.orderBy("o_orderkey").limit(5000).select("o_orderkey", "o_orderdate")
-
-
-_OLD_NEW = "SELECT doc_id AS path_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS old_value, CASE WHEN doc_id % 3 = 1 THEN lang ELSE source END AS new_value FROM documents"
-
-
-@query(f"SELECT path_id, old_value, new_value FROM ({_OLD_NEW}) WHERE old_value IS DISTINCT FROM new_value ORDER BY path_id LIMIT 5000")
-def change_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisions whose logged old and new values differ, nulls told apart."""
-    d = corpus.table(spark, sf_dir, "documents")
-    pick = lambda k, a, b: F.when(F.col("doc_id") % 3 == k, F.col(a)).otherwise(F.col(b))
-    log = d.select(F.col("doc_id").alias("path_id"), F.to_json(F.struct(pick(0, "lang", "source").alias("v"))).alias("old"), F.to_json(F.struct(pick(1, "lang", "source").alias("v"))).alias("new"))
-    out = log.select("path_id", F.get_json_object("old", "$.v").alias("old_value"), F.get_json_object("new", "$.v").alias("new_value"))
-    return out.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).orderBy("path_id").limit(5000)
-
-
-@query("SELECT doc_id AS revision_id, doc_id AS path_id, 'doc' || doc_id AS previous_value, CAST(NULL AS VARCHAR) AS current_value FROM documents WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id DESC LIMIT 5000")
-def change_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logged removals whose occurrence no file has since: the previous value, and no current
-    one, which isn't an empty text."""
-    d = corpus.table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    log = d.select(F.col("doc_id").alias("revision_id"), F.col("doc_id").alias("path_id"), F.to_json(F.struct(F.concat(F.lit("doc"), "doc_id").alias("file_name"))).alias("old"), F.lit(None).cast("string").alias("new"))
-    gone = log.join(corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path_id")), "path_id", "left_anti")
-    out = gone.select("revision_id", "path_id", F.get_json_object("old", "$.file_name").alias("previous_value"), F.get_json_object("new", "$.file_name").alias("current_value"))
-    return out.orderBy(F.desc("revision_id")).limit(5000)
-
-
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' OR (o_orderdate = TIMESTAMP '1995-06-01' AND o_orderkey > 100) ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page after a composite cursor (date descending, then key)."""

@@ -161,21 +161,6 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", rank.cast("long")).where("rank <= 3")
 
 
-@query(
-    _OCC + ", f AS (SELECT word, count(*) AS f FROM words GROUP BY word HAVING count(*) >= 20), b AS (SELECT x.word AS word, y.word AS other, count(*) AS f FROM words x JOIN words y ON x.hash_id = y.hash_id AND x.word < y.word WHERE x.word IN ('the', 'idiot', 'la', 'der') AND y.word IN (SELECT word FROM f) GROUP BY 1, 2) "
-    "SELECT b.word, b.other, b.f AS together, round(14 + log2(2.0 * b.f / (fx.f + fy.f)), 6) AS log_dice FROM b JOIN f fx ON fx.word = b.word JOIN f fy ON fy.word = b.other"
-)
-def log_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How strongly a few stated words go together with other words, by contents."""
-    w = corpus.words(spark, sf_dir).select("hash_id", "word")
-    f = w.groupBy("word").agg(F.count("*").alias("f")).where("f >= 20")
-    own = w.where(F.col("word").isin("the", "idiot", "la", "der"))
-    other = w.join(f.select("word"), "word", "left_semi").select("hash_id", F.col("word").alias("other"))
-    both = own.join(other, "hash_id").where("word < other").groupBy("word", "other").agg(F.count("*").alias("together"))
-    out = both.join(f.toDF("word", "fx"), "word").join(f.toDF("other", "fy"), "other")
-    return out.select("word", "other", "together", F.round(measures.log_dice(F.col("together"), F.col("fx"), F.col("fy")), 6).alias("log_dice"))
-
-
 @query(
     "WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS same, count(*) FILTER (WHERE quality = 1) AS q, count(*) FILTER (WHERE toxic = 1) AS x FROM labels), "
     "p AS (SELECT n, same * 1.0 / n AS po, (q * 1.0 / n) * (x * 1.0 / n) + (1 - q * 1.0 / n) * (1 - x * 1.0 / n) AS pe FROM t WHERE n > 0) "
