@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.operators import changes, detection, filters, fulltext, keyness, keywords, library, reports, search, signals, statistics  # noqa: F401
+from docquarry.operators import changes, closeness, detection, filters, fulltext, keyness, keywords, library, reports, search, signals, statistics  # noqa: F401
 from docquarry.streaming import monitoring, outcomes, rules  # noqa: F401
 from docquarry.plans.registry import ORACLE_SQL, QUERIES
 

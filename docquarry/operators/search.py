@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,34 +99,6 @@ def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(corpus.content_ids(spark, sf_dir), "hash_id", "left_semi")
 
 
-def close_matches(words: DataFrame, wanted: str, cutoff: float = 0.6) -> DataFrame:
-    """word and ratio of the words similar to ``wanted`` by matching blocks.
-
-    Lengths bound the ratio from above, so most words never reach Python.
-    """
-    n = len(wanted)
-    size = F.length("word")
-    near = words.where(2.0 * F.least(size, F.lit(n)) / (size + n) >= cutoff)
-
-    @F.pandas_udf("double")
-    def ratio(word: pd.Series) -> pd.Series:
-        match = difflib.SequenceMatcher(None, b=wanted)
-        out = []
-        for w in word:
-            match.set_seq1(w)
-            out.append(match.ratio() if match.quick_ratio() >= cutoff else 0.0)
-        return pd.Series(out, dtype="float64")
-
-    return near.select("word", ratio("word").alias("ratio")).where(F.col("ratio") >= cutoff)
-
-
-@query()
-def fuzzy_close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty words most like a misspelt one."""
-    found = close_matches(corpus.words(spark, sf_dir).select("word").distinct(), "licence")
-    return found.orderBy(F.desc("ratio"), "word").limit(20)
-
-
 SYNONYMS = {"error": ("failure", "fault"), "license": ("licence",), "idiot": ("moron",)}
 
 
