@@ -34,6 +34,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ _BEGIN = np.array([[0.6, 2.0], [2.0, 0.7], [6.0, 0.5], [30.0, 0.5], [0.8, 1.6],
 _INPUTS, _GATES = 3, 12
 #: One in so many distinct training words stays out of the spelling tables: these words settle
 #: the spelling weights, in steps of so many words and this size, going over them so often.
-TUNING_SHARE, TUNING_STEP, TUNING_RATE, TUNING_ROUNDS = 16, 64, 0.05, 3
+TUNING_SHARE, TUNING_STEP, TUNING_RATE, TUNING_ROUNDS = 64, 64, 0.1, 2
 
 BLOCKS = "tab int, block int, counts binary"
 
@@ -629,6 +630,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         model = shared.value
         scorer, v = Scorer(model), model.vocabulary
         logs = np.log10((v.counts + 1) / room)
+        scored: dict[bytes, float] = {}  # copies in a task are scored once
         for batch, texts in texts_of(batches, "text"):
             split = [words_of(t) for t in texts]
             ranks = [scorer.coder.look_up(words) for words in split]
@@ -639,7 +641,12 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
                 base.append(float(logs[seen].sum() + logs[0]))
                 others = Counter([words[i] for i in np.flatnonzero(r < 0).tolist()]) if len(seen) < len(words) else {}
                 rest.append([{"token": w, "n": n} for w, n in others.items()])
-            logp = scorer.score(split, ranks)
+            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
+            new = [i for i in {k: i for i, k in enumerate(keys)}.values() if keys[i] not in scored]
+            scored.update(zip([keys[i] for i in new], scorer.score([split[i] for i in new], [ranks[i] for i in new])))
+            logp = [scored[k] for k in keys]
+            if len(scored) > 100_000:
+                scored.clear()
             kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [
