@@ -26,9 +26,10 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -411,7 +412,7 @@ class Scorer:
 
     def spelling_cost(self, words: set[bytes]) -> None:
         """Has the cost of these words at hand."""
-        if len(self.spelled) > 300_000:
+        if len(self.spelled) > 400_000:
             self.spelled.clear()
         new = [w for w in words if w not in self.spelled]
         for i in range(0, len(new), 1024):
@@ -610,6 +611,20 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[byte
         yield held
 
 
+class _Worker:
+    """The scorer of a worker: the costs of words that one task has spelled serve the next."""
+
+    name: str = ""
+    scorer: Scorer | None = None
+
+    @classmethod
+    def of(cls, name: str, model: Callable[[], Model]) -> Scorer:
+        if cls.name != name:
+            cls.name, cls.scorer = name, None
+            cls.scorer = Scorer(model())
+        return cls.scorer
+
+
 SCORED = "id long, n_tokens long, n_known long, base double, logp double, n_bytes long, rest array<struct<token:binary,n:int>>"
 
 
@@ -623,12 +638,12 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     room = model.total + model.distinct + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer, v = Scorer(model), model.vocabulary
+        scorer = _Worker.of(name, lambda: shared.value)
+        v = scorer.m.vocabulary
         logs = np.log10((v.counts + 1) / room)
         scored: dict[bytes, float] = {}  # copies in a task are scored once
         for batch, texts in texts_of(batches, "text"):
