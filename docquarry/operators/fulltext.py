@@ -166,7 +166,7 @@ def near(spark: SparkSession, sf_dir: str, one: str, other: str, within: int) ->
 # --- the same in SQL
 
 
-def _cut(source: str, text: str, pattern: str, extra: str, flags: str, start: str = "0") -> str:
+def cut_sql(source: str, text: str, pattern: str, extra: str, flags: str, start: str = "0") -> str:
     """Of a source: its columns ``extra``, and start and text of each match of a pattern."""
     marked = f"string_split(regexp_replace({text}, {literal(pattern)}, chr(1) || '\\0' || chr(1), '{flags}'), chr(1))"
     return (
@@ -180,7 +180,7 @@ def literal(text: str) -> str:
 
 
 _FOUND = " UNION ALL ".join(
-    f"SELECT hash_id, {rank} AS rank, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(part) AS BIGINT) AS e FROM ({_cut('src', 't', pattern, 'hash_id', 'gi')})"
+    f"SELECT hash_id, {rank} AS rank, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(part) AS BIGINT) AS e FROM ({cut_sql('src', 't', pattern, 'hash_id', 'gi')})"
     for rank, (kind, pattern) in enumerate(tokens.ENTITIES.items())
 )
 POSTINGS_SQL = rf"""
@@ -199,7 +199,7 @@ src AS (SELECT hash_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x
   SELECT hash_id, coalesce(lag(e) OVER (PARTITION BY hash_id ORDER BY s), 0) AS gs, s AS ge FROM ent
   UNION ALL SELECT src.hash_id, coalesce(max(e), 0), length(any_value(t)) FROM src LEFT JOIN ent ON ent.hash_id = src.hash_id GROUP BY src.hash_id
 ), gaps AS (SELECT hash_id, gs, substring(t, gs + 1, ge - gs) AS g FROM edges JOIN src USING (hash_id) WHERE ge > gs
-), plain AS ({_cut("gaps", "g", tokens.PLAIN_WORD, "hash_id, gs", "g", "gs")}
+), plain AS ({cut_sql("gaps", "g", tokens.PLAIN_WORD, "hash_id, gs", "g", "gs")}
 ), toks AS (
   SELECT hash_id, CAST(s AS INTEGER) AS start, lower(part) AS token, 'word' AS kind FROM plain WHERE length(part) > 1 OR regexp_matches(part, '^[\p{{L}}\p{{N}}]$')
   UNION ALL SELECT hash_id, CAST(s AS INTEGER), lower(substring(t, s + 1, e - s)), kind FROM ent JOIN src USING (hash_id)
