@@ -18,14 +18,14 @@ TERMS = ("idiot", "license", "the")
 _LIST = ", ".join(f"'{t}'" for t in TERMS)
 
 
-def bm25(words: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+def bm25(words: DataFrame, lengths: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """hash_id and score of the contents that hold any of the terms.
 
-    Only the terms' rows are joined; lengths and the corpus size are aggregates. The inverse
+    Only the terms' rows are joined; the corpus size is an aggregate of the contents' lengths. The inverse
     document frequency is negative for terms in more than half of the contents, and so can
     the score be. Unknown counts are left out of lengths and scores.
     """
-    lengths = words.groupBy("hash_id").agg(F.sum("n").alias("len"))
+    lengths = lengths.select("hash_id", F.col("tokens").alias("len"))
     size = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("mean"))
     hits = words.where(F.col("word").isin(*terms))
     df = hits.groupBy("word").agg(F.count("*").alias("df"))
@@ -43,7 +43,7 @@ def bm25(words: DataFrame, terms: tuple[str, ...]) -> DataFrame:
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best contents for three terms."""
-    s = bm25(corpus.words(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
+    s = bm25(corpus.words(spark, sf_dir), corpus.lengths(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
     return s.orderBy(F.desc("score"), "hash_id").limit(50)
 
 

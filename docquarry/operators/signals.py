@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.dates import overlaps
@@ -65,17 +65,17 @@ def at_places(signals: DataFrame, places: DataFrame, keys: tuple[str, ...]) -> D
 
 
 def page(found: DataFrame, *order: Column, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of ``found`` with ``total``, the exact number of all: an aggregate of one row."""
+    """A page of ``found`` with ``total``, the exact number of all: an aggregate of one row. Both
+    read the kept table; neither moves more than a page or a count from each task."""
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
 def capped(found: DataFrame, *order: Column, limit: int) -> DataFrame:
     """The first rows of a capped report, with ``truncated``: whether there were more. One row
-    more than the limit is looked at, never all."""
-    some = found.orderBy(*order).limit(limit + 1)
-    more = some.agg((F.count("*") > limit).alias("truncated"))
-    return some.limit(limit).crossJoin(F.broadcast(more))  # one row
+    more than the limit is looked at, never all, and the input is planned once."""
+    some = found.orderBy(*order).limit(limit + 1).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1))) > limit)
+    return some.orderBy(*order).limit(limit)
 
 
 @query(f"{_SIG} SELECT signal_id, confidence, language FROM sig WHERE (confidence IN ('high') OR confidence IS NULL) AND (language IN ('fa') OR language IS NULL) AND (text_orientation IN ('past') OR text_orientation IS NULL)")
@@ -92,12 +92,12 @@ def signal_evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.signals(spark, sf_dir).where(f.where()).select("signal_id", "surface")
 
 
-@query(f"{_SIG} SELECT signal_id, place_id FROM sig WHERE place_id IN (SELECT n_nationkey FROM nation WHERE lower(n_name) IN ('france', 'japan')) AND method IN ('gazetteer')")
+@query(f"{_SIG} SELECT signal_id, place_id FROM sig WHERE place_id IN (SELECT n_nationkey FROM nation WHERE lower(n_name) IN ('nation_3', 'nation_7')) AND method IN ('gazetteer')")
 def signal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals that stand for one of two places."""
     places = corpus.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("place_id"), F.lower("n_name").alias("place_key"))
     found = corpus.signals(spark, sf_dir).where(SignalFilter(methods=("gazetteer",)).where())
-    return at_places(found, places, ("france", "japan")).select("signal_id", "place_id")
+    return at_places(found, places, ("nation_3", "nation_7")).select("signal_id", "place_id")
 
 
 @query(f"{_SIG} SELECT signal_id, date_from, date_to FROM sig WHERE date_to >= DATE '2024-01-09' AND date_from <= DATE '2024-01-11' AND resolution IN ('resolved', 'ambiguous')")

@@ -252,5 +252,5 @@ def comprehensive_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("file_date").alias("first_ingest"), F.max("file_date").alias("last_ingest"), F.countDistinct("hash_id", "source", "side").alias("contexts"),
     )
     met = keyword_hits(spark, sf_dir).agg(F.countDistinct("keyword_id").alias("keywords_met"))
-    tokens = corpus.words(spark, sf_dir).agg(F.sum("n").alias("tokens"))
+    tokens = corpus.lengths(spark, sf_dir).agg(F.sum("tokens").alias("tokens"))
     return whole.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(tokens))  # one row each

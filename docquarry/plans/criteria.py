@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 MAX_TEXT, MAX_PHRASES, MAX_IDS = 2000, 50, 1000
 SCOPES = ("all", "uncategorized", "categorized")
 LOGICS = ("AND", "OR", "NOT")
+STATUSES = ("Read", "Unread")
 
 
 class CriteriaError(ValueError):
@@ -51,6 +52,8 @@ class Criteria:
             raise CriteriaError("text or phrases too long")
         if self.keyword_logic not in LOGICS or self.analyst_scope not in SCOPES or self.unit not in ("hash", "path"):
             raise CriteriaError("unknown logic, scope or unit")
+        if any(x not in STATUSES for x in self.file_statuses or ()):
+            raise CriteriaError(f"a status is one of {STATUSES}")
         if any(k <= 0 for k in self.keywords) or len(self.keywords) > MAX_IDS:
             raise CriteriaError("keyword ids are positive and at most 1000")
         object.__setattr__(self, "keywords", tuple(sorted(set(self.keywords))))

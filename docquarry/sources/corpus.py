@@ -106,6 +106,13 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "words", build)
 
 
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hash_id, tokens (of known counts) and unknown (word rows without a count) of each content
+    that has words; a kept table, so that sizes don't take a pass over all word rows."""
+    own = lambda: words(spark, sf_dir).groupBy("hash_id").agg(F.sum("n").alias("tokens"), F.count(F.when(F.col("n").isNull(), 1)).alias("unknown"))
+    return kept(spark, sf_dir, "lengths", own)
+
+
 #: What the test signals say of themselves, picked by the event's id.
 _LANGUAGES, _CALENDARS = ("en", "fa", "ar"), ("gregorian", "hijri", "jalali")
 
