@@ -45,6 +45,8 @@ from docquarry.llm.common import bound_batches, stored, texts_of
 END = b"\n"
 #: Words of the Huffman tree at most.
 VOCABULARY = 1 << 17
+#: Further words whose counts go along when texts are scored, by hash; the others are joined.
+COUNTED = 1 << 20
 #: Slots of a word-context table, of the table of followers and of a spelling table, at most.
 WORD_SLOTS, MATCH_SLOTS, SPELL_SLOTS = 1 << 22, 1 << 22, 1 << 20
 #: Ids below these keep their identity as the previous word and as the last common word.
@@ -611,6 +613,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[byte
         yield held
 
 
+def _counts_of(words: list[bytes], hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of the words whose hash is among the sorted ``hashes``, else 0."""
+    if not words or not len(hashes):
+        return np.zeros(len(words), np.int64)
+    own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return np.where(hashes[at] == own, counts[at], 0)
+
+
 class _Worker:
     """The scorer of a worker: the costs of words that one task has spelled serve the next."""
 
@@ -634,11 +645,15 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     Returns id, n_tokens, n_known, base_score, score (both log10) and bits_per_byte. Null
     text is empty: one token, the end. Ids may be null or repeated. The base score needs
     exact counts: those of the ``VOCABULARY`` most frequent tokens go along with the
-    model, other tokens are looked up by a join.
+    model, those of ``COUNTED`` more as 64-bit hashes, other tokens are looked up by a join.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    often = counts.where(F.col("n") >= _least_count(counts, COUNTED)).select(F.xxhash64("token").alias("h"), "n").toArrow()  # COUNTED rows at most
+    order = np.argsort(often["h"].to_numpy())
+    further = spark.sparkContext.broadcast((often["h"].to_numpy()[order], often["n"].to_numpy()[order]))
+    del often, order
     room = model.total + model.distinct + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -649,13 +664,20 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         for batch, texts in texts_of(batches, "text"):
             split = [words_of(t) for t in texts]
             ranks = [scorer.coder.look_up(words) for words in split]
-            known, base, rest = [], [], []
-            for words, r in zip(split, ranks):
+            known, base, others = np.zeros(len(split), np.int64), np.zeros(len(split)), []
+            for i, (words, r) in enumerate(zip(split, ranks)):
                 seen = r[r >= 0]
-                known.append(len(seen) + int(v.counts[0] > 0))
-                base.append(float(logs[seen].sum() + logs[0]))
-                others = Counter([words[i] for i in np.flatnonzero(r < 0).tolist()]) if len(seen) < len(words) else {}
-                rest.append([{"token": w, "n": n} for w, n in others.items()])
+                known[i] = len(seen) + int(v.counts[0] > 0)
+                base[i] = logs[seen].sum() + logs[0]
+                others.append(Counter([words[k] for k in np.flatnonzero(r < 0).tolist()]) if len(seen) < len(words) else {})
+            rest, at = [], 0
+            met = _counts_of([w for own in others for w in own], *further.value)
+            for i, own in enumerate(others):
+                here, k = met[at : at + len(own)], np.fromiter(own.values(), np.int64, len(own))
+                at += len(own)
+                base[i] += (k * np.log10((here + 1) / room))[here > 0].sum()
+                known[i] += k[here > 0].sum()
+                rest.append([{"token": w, "n": n} for (w, n), c in zip(own.items(), here.tolist()) if not c])
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
             new = [i for i in {k: i for i, k in enumerate(keys)}.values() if keys[i] not in scored]
             scored.update(zip([keys[i] for i in new], scorer.score([split[i] for i in new], [ranks[i] for i in new])))

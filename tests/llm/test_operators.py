@@ -684,3 +684,24 @@ def test_spelling_weights_are_learned_from_words_aside():
     assert cost(weights) < cost(language_model.mean_of_known())
     none, _ = language_model.tuned_spelling([], levels)
     assert (none == language_model.mean_of_known()).all()
+
+
+def test_language_model_counts_from_every_source(spark, monkeypatch):
+    """Counts of words with a path, of those sent as hashes, of joined ones and of unknown ones."""
+    monkeypatch.setattr(language_model, "VOCABULARY", 40)
+    monkeypatch.setattr(language_model, "COUNTED", 400)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "text")
+    model, counts = language_model.train(docs, registry.id_mod("id", 7) != 2)
+    rows = {r.id: words(r.text) for r in docs.collect()}
+    count = defaultdict(int)
+    for key, own in rows.items():
+        if zlib.crc32(str(key).encode()) % 7 != 2:
+            for w in [*own, "\n"]:
+                count[w] += 1
+    total, distinct = sum(count.values()), len(count)
+    for r in language_model.score_documents(docs, model, counts).collect():
+        own = [*rows[r.id], "\n"]
+        assert r.n_known == sum(count.get(w, 0) > 0 for w in own)
+        assert r.base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (total + distinct + 1)) for w in own), rel=1e-9)
+    kinds = sorted(count.values(), reverse=True)
+    assert kinds[39] > kinds[400] > kinds[-1] == 1
