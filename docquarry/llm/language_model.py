@@ -664,20 +664,18 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         for batch, texts in texts_of(batches, "text"):
             split = [words_of(t) for t in texts]
             ranks = [scorer.coder.look_up(words) for words in split]
-            known, base, others = np.zeros(len(split), np.int64), np.zeros(len(split)), []
-            for i, (words, r) in enumerate(zip(split, ranks)):
-                seen = r[r >= 0]
-                known[i] = len(seen) + int(v.counts[0] > 0)
-                base[i] = logs[seen].sum() + logs[0]
-                others.append(Counter([words[k] for k in np.flatnonzero(r < 0).tolist()]) if len(seen) < len(words) else {})
-            rest, at = [], 0
-            met = _counts_of([w for own in others for w in own], *further.value)
-            for i, own in enumerate(others):
-                here, k = met[at : at + len(own)], np.fromiter(own.values(), np.int64, len(own))
-                at += len(own)
-                base[i] += (k * np.log10((here + 1) / room))[here > 0].sum()
-                known[i] += k[here > 0].sum()
-                rest.append([{"token": w, "n": n} for (w, n), c in zip(own.items(), here.tolist()) if not c])
+            n, flat = len(split), np.concatenate(ranks) if ranks else np.empty(0, np.int64)
+            doc, seen = np.repeat(np.arange(n), [len(r) for r in ranks]), flat >= 0
+            known = np.bincount(doc[seen], minlength=n) + int(v.counts[0] > 0)
+            base = np.bincount(doc[seen], logs[flat[seen]], minlength=n) + logs[0]
+            others = [Counter([words[k] for k in np.flatnonzero(r < 0).tolist()]) for words, r in zip(split, ranks)]
+            spelled, times = [w for own in others for w in own], np.array([k for own in others for k in own.values()], np.int64)
+            met, doc = _counts_of(spelled, *further.value), np.repeat(np.arange(n), [len(own) for own in others])
+            base += np.bincount(doc, np.where(met > 0, times * np.log10((met + 1) / room), 0.0), minlength=n)
+            known += np.bincount(doc, np.where(met > 0, times, 0), minlength=n).astype(np.int64)
+            rest = [[] for _ in range(n)]
+            for i in np.flatnonzero(met == 0).tolist():
+                rest[doc[i]].append({"token": spelled[i], "n": int(times[i])})
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
             new = [i for i in {k: i for i, k in enumerate(keys)}.values() if keys[i] not in scored]
             scored.update(zip([keys[i] for i in new], scorer.score([split[i] for i in new], [ranks[i] for i in new])))
