@@ -45,8 +45,6 @@ from docquarry.llm.common import bound_batches, stored, texts_of
 END = b"\n"
 #: Words of the Huffman tree at most.
 VOCABULARY = 1 << 17
-#: Further words whose counts go along when texts are scored, by hash; the others are joined.
-COUNTED = 1 << 20
 #: Slots of a word-context table, of the table of followers and of a spelling table, at most.
 WORD_SLOTS, MATCH_SLOTS, SPELL_SLOTS = 1 << 22, 1 << 22, 1 << 20
 #: Ids below these keep their identity as the previous word and as the last common word.
@@ -613,15 +611,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[byte
         yield held
 
 
-def _counts_of(words: list[bytes], hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The counts of the words whose hash is among the sorted ``hashes``, else 0."""
-    if not words or not len(hashes):
-        return np.zeros(len(words), np.int64)
-    own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
-    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    return np.where(hashes[at] == own, counts[at], 0)
-
-
 class _Worker:
     """The scorer of a worker: the costs of words that one task has spelled serve the next."""
 
@@ -645,15 +634,11 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     Returns id, n_tokens, n_known, base_score, score (both log10) and bits_per_byte. Null
     text is empty: one token, the end. Ids may be null or repeated. The base score needs
     exact counts: those of the ``VOCABULARY`` most frequent tokens go along with the
-    model, those of ``COUNTED`` more as 64-bit hashes, other tokens are looked up by a join.
+    model, other tokens are looked up by a join.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    often = counts.where(F.col("n") >= _least_count(counts, COUNTED)).select(F.xxhash64("token").alias("h"), "n").toArrow()  # COUNTED rows at most
-    order = np.argsort(often["h"].to_numpy())
-    further = spark.sparkContext.broadcast((often["h"].to_numpy()[order], often["n"].to_numpy()[order]))
-    del often, order
     room = model.total + model.distinct + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -669,13 +654,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
             known = np.bincount(doc[seen], minlength=n) + int(v.counts[0] > 0)
             base = np.bincount(doc[seen], logs[flat[seen]], minlength=n) + logs[0]
             others = [Counter([words[k] for k in np.flatnonzero(r < 0).tolist()]) for words, r in zip(split, ranks)]
-            spelled, times = [w for own in others for w in own], np.array([k for own in others for k in own.values()], np.int64)
-            met, doc = _counts_of(spelled, *further.value), np.repeat(np.arange(n), [len(own) for own in others])
-            base += np.bincount(doc, np.where(met > 0, times * np.log10((met + 1) / room), 0.0), minlength=n)
-            known += np.bincount(doc, np.where(met > 0, times, 0), minlength=n).astype(np.int64)
-            rest = [[] for _ in range(n)]
-            for i in np.flatnonzero(met == 0).tolist():
-                rest[doc[i]].append({"token": spelled[i], "n": int(times[i])})
+            rest = [[{"token": w, "n": k} for w, k in own.items()] for own in others]
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
             new = [i for i in {k: i for i, k in enumerate(keys)}.values() if keys[i] not in scored]
             scored.update(zip([keys[i] for i in new], scorer.score([split[i] for i in new], [ranks[i] for i in new])))

@@ -687,9 +687,8 @@ def test_spelling_weights_are_learned_from_words_aside():
 
 
 def test_language_model_counts_from_every_source(spark, monkeypatch):
-    """Counts of words with a path, of those sent as hashes, of joined ones and of unknown ones."""
+    """Counts of words with a path, of joined ones and of unknown ones."""
     monkeypatch.setattr(language_model, "VOCABULARY", 40)
-    monkeypatch.setattr(language_model, "COUNTED", 400)
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id AS id", "text")
     model, counts = language_model.train(docs, registry.id_mod("id", 7) != 2)
     rows = {r.id: words(r.text) for r in docs.collect()}
