@@ -1,6 +1,7 @@
 """Each operator against brute force, round trips or held-out rows, and on awkward input."""
 
 import hashlib
+import itertools
 import re
 import struct
 import time
@@ -541,6 +542,20 @@ def test_media_tables_against_all_pairs(spark):
     assert got <= want and sum(label[a] == label[b] for a, b in want) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("cell", [256, 8])
+def test_media_values_of_many_images_join_all(spark, monkeypatch, cell):
+    """Images meet in every value that they share, however many others have it."""
+    monkeypatch.setattr(media, "CELL", cell, raising=False)
+    rng = np.random.default_rng(5)
+    shared, rows = rng.integers(0, 256, (2, 32), np.uint8), []
+    for k in range(40):
+        corners = np.zeros(5, media.CORNER)
+        corners["bits"] = np.concatenate([shared, rng.integers(0, 256, (3, 32), np.uint8)])
+        rows.append((k, 5, corners.tobytes()))
+    described = spark.createDataFrame(rows, "class long, n_corners int, corners binary")
+    assert sorted((r.a, r.b) for r in media.alike(described).collect()) == list(itertools.combinations(range(40), 2))
+
+
 def test_media_odd_input(spark):
     same = images.encode_png(images.render(np.ones(64, np.float32)))
     rows = [(1, None), (2, b""), (3, b"junk"), (4, b"junk"), (None, same), (6, same)]
