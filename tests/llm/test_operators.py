@@ -412,6 +412,19 @@ def test_prefix_bounds(n, m):
             assert n - both < similarity_join.prefix_length(n, 80) and m - both < similarity_join.short_length(m, 80)
 
 
+# --- language model, in parts
+
+
+def test_language_model_levels():
+    """What a level tells, and how many orders are known, by their plain definitions."""
+    levels = np.arange(-512, 512, dtype=np.int16)
+    assert language_model.value_of(levels).tolist() == [(x >> 2) / 16 for x in levels.tolist()]
+    rng = np.random.default_rng(3)
+    each = [rng.integers(-512, 512, 300).astype(np.int16) & np.int16(~3) | rng.integers(0, 2, 300).astype(np.int16) for _ in range(4)]
+    want = [max([i + 1 for i in range(4) if each[i][k] & 3], default=0) for k in range(300)]
+    assert language_model._known_orders(each).tolist() == want
+
+
 # --- media
 
 
