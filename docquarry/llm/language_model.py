@@ -13,7 +13,7 @@ Predictions are mixed in the logistic domain. The weights are gated by how well
 is known and how deep the bit stands. While a text is coded its own copy of the weights
 follows the coding error, block by block, and a refinement of the mixed prediction, by gate,
 follows it too; so each text is scored alike wherever it stands in the input. All weights
-start alike. Those of spelled words don't follow a text, for a word's cost is kept for all
+start alike. Those of spelled words don't follow a text, for a byte's cost is kept for all
 texts: they are learned online over a share of the distinct training words, in each task,
 and averaged. The total is a proper code length of the tokens; bits per byte come with it.
 
@@ -28,18 +28,18 @@ import math
 import struct
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, stored, texts_of
+from docquarry.llm.common import bound_batches, stored
 
 #: Stands for the end of a text among the tokens; no word is a newline.
 END = b"\n"
@@ -54,6 +54,9 @@ OWN_IDS, COMMON_IDS, ENDINGS = 1024, 256, 512
 #: Tokens between two updates of a text's weights, and the step of an update.
 BLOCK_TOKENS, RATE = 32, 0.004
 _CHUNK = 1 << 16
+#: A task counts equal words, contexts and byte windows together: so many bytes of words, pairs
+#: of a context and a token, and spelled words at a time. Costs of windows that a worker keeps.
+_WORD_BYTES, _PAIRS, _SPELLED, _KEPT = 32 << 20, 1 << 21, 50_000, 1 << 19
 _SPELL_ORDERS = (1, 2, 3, 5)
 _MIX = np.uint32(0x9E3779B1)
 #: Where the table of followers stands among the tables; bits of a follower in an entry.
@@ -77,27 +80,71 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+@dataclass
+class Words:
+    """The words of texts, as ``words_of`` has them: the distinct ones, the place of each text
+    word among them, text after text, and how many words each text has."""
+
+    distinct: pa.Array
+    place: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        flat, sizes = split_words(texts)
+        coded = flat.dictionary_encode()
+        return cls(coded.dictionary, coded.indices.to_numpy().astype(np.int64), sizes)
+
+    def only(self, rows: list[int]) -> Words:
+        """The words of some of the texts, in the order of all."""
+        taken = np.zeros(len(self.sizes), bool)
+        taken[rows] = True
+        return Words(self.distinct, self.place[np.repeat(taken, self.sizes)], self.sizes[taken])
+
+    def listed(self) -> list[bytes]:
+        """The distinct words."""
+        return as_list(self.distinct)
+
+
+def as_list(column: pa.Array) -> list[bytes]:
+    """An Arrow column as a list; several times faster than its ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after the other, and how many each text has; null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    word = pc.binary_length(flat).to_numpy() > 0  # white space at either end splits off an empty one
+    words = flat.cast(pa.large_binary() if pa.types.is_large_string(flat.type) else pa.binary()).filter(pa.array(word))
+    return words, np.diff(np.concatenate([[0], np.cumsum(word)])[bounds])
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token and n over all texts of ``docs`` (column text), ends included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for _, texts in texts_of(batches, "text"):
-            held[END] += len(texts)
-            for text in texts:
-                held.update(words_of(text))
-            if len(held) > 600_000:
-                yield from _count_batches(held)
-                held = Counter()
-        yield from _count_batches(held)
+        held: list[pa.Array] = []
+        ends = size = 0
+        for batch in batches:
+            held.append(split_words(batch.column(0))[0])
+            ends, size = ends + batch.num_rows, size + held[-1].nbytes
+            if size > _WORD_BYTES:
+                yield from _count_batches(held, ends)
+                held, ends, size = [], 0, 0
+        yield from _count_batches(held, ends)
 
     return docs.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _count_batches(held: Counter) -> Iterator[pa.RecordBatch]:
-    tokens, counts = list(held), list(held.values())
-    for i in range(0, len(tokens), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[i : i + 50_000], pa.binary()), pa.array(counts[i : i + 50_000], pa.int64())], ["token", "n"])
+def _count_batches(held: list[pa.Array], ends: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["token", "n"])
+    counted = pa.chunked_array(held).value_counts()
+    for i in range(0, len(counted), 50_000):
+        tokens, counts = counted.slice(i, 50_000).flatten()
+        yield pa.RecordBatch.from_arrays([tokens.cast(pa.binary()), counts], ["token", "n"])
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -253,25 +300,33 @@ class Coder:
         return np.fromiter(map(self.v.ranks.get, words, repeat(-1)), np.int64, len(words))
 
     def tokens(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Ids with the end, the two context classes of each, what each is (its id, or a hash
-        below zero where it is an escape), and where escapes are."""
+        """``coded`` for one text, all words of which are listed."""
+        return self.coded(words, ranks, np.arange(len(words)), np.array([len(words)]))
+
+    def coded(self, distinct: list[bytes], ranks: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of texts with their ends, the two context classes of each, what each is (its
+        id, or a hash below zero where it is an escape), and where words are. Of the texts'
+        words ``place`` tells which of the distinct ones, with these ranks, each is."""
         v = self.v
-        ids = np.zeros(len(words) + 1, np.int64)
-        ids[:-1] = np.where(ranks < 0, v.escape, ranks)
-        classes = v.classes[ids]
-        escapes = np.flatnonzero(ids == v.escape)
-        spelled = [words[i] for i in escapes.tolist()]
-        classes[escapes] = np.fromiter(map(ending, spelled), np.uint32, len(spelled))
-        what = ids.copy()
-        what[escapes] = ~np.fromiter(map(zlib.crc32, spelled), np.int64, len(spelled))
+        own, rare = np.where(ranks < 0, v.escape, ranks), np.flatnonzero(ranks < 0)
+        own_class, own_what = v.classes[own], own.copy()
+        spelled = [distinct[i] for i in rare.tolist()]
+        own_class[rare] = np.fromiter(map(ending, spelled), np.uint32, len(spelled))
+        own_what[rare] = ~np.fromiter(map(zlib.crc32, spelled), np.int64, len(spelled))
+        ends = np.cumsum(sizes + 1) - 1
+        is_word = np.ones(len(place) + len(sizes), bool)
+        is_word[ends] = False
+        at = np.flatnonzero(is_word)
+        ids, what = np.zeros(len(is_word), np.int64), np.zeros(len(is_word), np.int64)
+        ids[at], what[at] = own[place], own_what[place]
         before = np.empty(len(ids), np.uint32)
-        before[0] = OWN_IDS + ENDINGS
-        before[1:] = classes[:-1]
-        at = np.where(ids < COMMON_IDS, np.arange(1, len(ids) + 1), 0)
-        last = np.zeros(len(ids), np.int64)
-        last[1:] = np.maximum.accumulate(at)[:-1]
-        common = np.where(last > 0, ids[np.maximum(last, 1) - 1], COMMON_IDS).astype(np.uint32)
-        return ids, before, common + np.uint32(4096), what, escapes
+        before[at + 1] = own_class[place]
+        begin = ends - sizes
+        before[begin] = OWN_IDS + ENDINGS
+        last = np.zeros(len(ids), np.int64)  # one more than the place of the last common word
+        last[1:] = np.maximum.accumulate(np.where(ids < COMMON_IDS, np.arange(1, len(ids) + 1), 0))[:-1]
+        common = np.where(last > np.repeat(begin, sizes + 1), ids[np.maximum(last, 1) - 1], COMMON_IDS).astype(np.uint32)
+        return ids, before, common + np.uint32(4096), what, at
 
     def steps(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each bit of the tokens: which token, and 2 * node + bit."""
@@ -291,6 +346,30 @@ class Coder:
         out >>= self.shift
         return out
 
+    def count(self, table: np.ndarray, pairs: np.ndarray) -> None:
+        """Adds the bits of tokens in their contexts to a table; equal ``paired`` ones are
+        counted first, and their bits added at once."""
+        pairs, times = _counted(pairs)
+        for i in range(0, len(pairs), 16_384):  # so that a step's arrays stay in the cache
+            part = pairs[i : i + 16_384]
+            of, step = self.steps((part & np.uint32((1 << _RANK_BITS) - 1)).astype(np.int64))
+            slot = self.slots(part >> np.uint32(_RANK_BITS), of, self.v.mixed[(step >> 1).astype(np.int64)])
+            slot <<= np.uint32(1)
+            slot += step & 1
+            np.add.at(table, slot.astype(np.int64), times[i : i + 16_384][of])
+
+
+def paired(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A context class, below 2^13, and a token's id, below 2^18, as one number."""
+    return (context << np.uint32(_RANK_BITS)) | ids.astype(np.uint32)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
+
 
 def pairs_before(what: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A hash of the two tokens before each one, in texts that start at ``begin``; 0 where
@@ -324,34 +403,59 @@ def followers(what: np.ndarray, text: np.ndarray, key: np.ndarray, table: np.nda
     known = ((entry & ~mask) == check) & (entry & mask > 0) & (key > 0)
     guess, source = np.where(known, (entry & mask).astype(np.int64) - 1, 0), known.astype(np.int64)
     own = key ^ (text.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    order = np.argsort(own, kind="stable")
+    order = _order(own)
     same = np.flatnonzero((own[order[1:]] == own[order[:-1]]) & (key[order[1:]] > 0))
     guess[order[same + 1]] = what[order[same]]
     source[order[same + 1]] = 2
     return guess, source
 
 
-def _spell_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For words spelled with a closing space: word and bit of each step, slots by order."""
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes, equal ones together: by their upper bits with the
+    place below, which sorts faster; by the whole ones if unequal hashes share the upper bits."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    mixed = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (mixed & low).astype(np.int64)
+    found = keys[order]
+    if (((found[1:] ^ found[:-1]) <= low) & (found[1:] != found[:-1])).any():
+        return np.argsort(keys, kind="stable")
+    return order
+
+
+def _windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For words spelled with a closing space: how many bytes each has, and each byte with the
+    five before it in its word, the byte itself lowest; zeros before the word begins."""
+    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    windows = flat.astype(np.uint64)
+    for back in range(1, max(_SPELL_ORDERS) + 1):
+        windows[back:] |= np.where(place[back:] >= back, flat[:-back], 0).astype(np.uint64) << np.uint64(8 * back)
+    return lengths, windows
+
+
+def _window_bits(windows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The eight bits of each window's last byte, and their slots by order."""
     k = np.arange(8, dtype=np.uint32)
-    wide = flat.astype(np.uint32)[:, None]
+    wide = (windows & np.uint64(255)).astype(np.uint32)[:, None]
     node = (np.uint32(1) << k) | (wide >> (np.uint32(8) - k))
     bit = (wide >> (np.uint32(7) - k)) & np.uint32(1)
-    slots, context = [], np.zeros(len(flat), np.uint32)
+    node *= np.uint32(0x85EBCA6B)
+    slots, context = [], np.zeros(len(windows), np.uint32)
     for back in range(1, max(_SPELL_ORDERS) + 1):
-        shifted = np.zeros(len(flat), np.uint32)
-        shifted[back:] = flat[:-back]
-        context = (context + np.where(place >= back, shifted, 0) + np.uint32(1)) * np.uint32(0x2C1B3C6D)
+        context = (context + ((windows >> np.uint64(8 * back)) & np.uint64(255)).astype(np.uint32) + np.uint32(1)) * np.uint32(0x2C1B3C6D)
         context ^= context >> np.uint32(15)
         if back in _SPELL_ORDERS:
-            h = (context[:, None] + np.uint32(back)) ^ (node * np.uint32(0x85EBCA6B))
+            h = (context[:, None] + np.uint32(back)) ^ node
             h ^= h >> np.uint32(13)
             slots.append(((h * _MIX) >> np.uint32(32 - (SPELL_SLOTS.bit_length() - 1))).ravel())
-    return np.repeat(word, 8), bit.ravel(), slots
+    return bit.ravel(), slots
+
+
+def _spell_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For words spelled with a closing space: word and bit of each step, slots by order."""
+    lengths, windows = _windows(words)
+    return np.repeat(np.arange(len(words)), 8 * lengths), *_window_bits(windows)
 
 
 @dataclass
@@ -404,26 +508,36 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m, self.coder = model, Coder(model.vocabulary, len(model.tables[0]))
-        self.spelled: dict[bytes, float] = {}
+        self.kept = np.full(_KEPT, -1, np.int64).view(np.uint64), np.zeros(_KEPT)  # windows by their hash, and their costs
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """Natural log-probability of each word's bytes."""
-        word, bit, slots = _spell_bits(words)
+        lengths, windows = _windows(words)
+        return np.add.reduceat(self.window_costs(windows), np.cumsum(lengths) - lengths) if words else np.zeros(0)
+
+    def window_costs(self, windows: np.ndarray) -> np.ndarray:
+        """Natural log-probability of the last byte of each window. It depends on the window
+        alone, so those met lately are looked up, and of the others each distinct one is coded."""
+        held, costs = self.kept
+        slot = ((windows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (_KEPT.bit_length() - 1))).astype(np.int64)
+        out, other = costs[slot], np.flatnonzero(held[slot] != windows)
+        if len(other):
+            new, which = np.unique(windows[other], return_inverse=True)
+            coded = np.concatenate([self.coded_windows(new[i : i + 4096]) for i in range(0, len(new), 4096)])
+            out[other] = coded[which]
+            held[slot[other]] = windows[other]
+            costs[slot[other]] = out[other]
+        return out
+
+    def coded_windows(self, windows: np.ndarray) -> np.ndarray:
+        """``window_costs`` bit by bit."""
+        bit, slots = _window_bits(windows)
         levels = [t[s.astype(np.int64)] for t, s in zip(self.m.spelling, slots)]
         known = _known_orders(levels)
         columns = np.ascontiguousarray(self.m.spell_weights.T, np.float32)
         z = sum(columns[i][known] * value_of(x) for i, x in enumerate(levels))
         miss = np.exp(np.minimum((1 - 2 * bit.astype(np.float32)) * z, 30))
-        return np.bincount(word, -np.log(miss + 1), minlength=len(words))
-
-    def spelling_cost(self, words: set[bytes]) -> None:
-        """Has the cost of these words at hand."""
-        if len(self.spelled) > 400_000:
-            self.spelled.clear()
-        new = [w for w in words if w not in self.spelled]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            self.spelled.update(zip(part, self.spell(part).tolist()))
+        return -np.log(miss + 1).reshape(-1, 8).sum(axis=1, dtype=np.float64)
 
     def repeated(self, what: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which tokens a follower foretells, and the log-probability of that bit for each."""
@@ -450,27 +564,27 @@ class Scorer:
         cost[asked[order]] = np.log(np.where(hits, p, 1 - p))
         return hit, cost
 
-    def score(self, texts: list[list[bytes]], ranks: list[np.ndarray] | None = None, rate: float = RATE, keep: list | None = None) -> list[float]:
-        """Natural log-probability of each text, given as its words (and their ranks).
+    def score(self, words: Words, listed: list[bytes] | None = None, ranks: np.ndarray | None = None, rate: float = RATE, keep: list | None = None) -> list[float]:
+        """Natural log-probability of each text, given as its words (and the list of the
+        distinct ones and their ranks).
 
         All texts advance together, ``BLOCK_TOKENS`` tokens at a time, each with weights of
         its own. ``keep`` receives the final weights.
         """
-        if not texts:
+        if not len(words.sizes):
             return []
         v, coder = self.m.vocabulary, self.coder
-        ranks = [coder.look_up(words) for words in texts] if ranks is None else ranks
-        coded = [coder.tokens(words, r) for words, r in zip(texts, ranks)]
-        n, sizes = len(texts), np.array([len(c[0]) for c in coded], np.int64)
+        listed = words.listed() if listed is None else listed
+        ranks = coder.look_up(listed) if ranks is None else ranks
+        ids, before, common, what, at = coder.coded(listed, ranks, words.place, words.sizes)
+        n, sizes = len(words.sizes), words.sizes + 1
         begin, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
-        ids, before, common, what = (np.concatenate([c[k] for c in coded]) for k in range(4))
         hit, cost = self.repeated(what, text, begin)
+        rare = np.flatnonzero(ranks < 0)
+        spelling = np.zeros(len(ranks))
+        spelling[rare] = self.spell([listed[i] for i in rare.tolist()])
+        cost[at] += np.where(hit[at], 0.0, spelling[words.place])
         total = np.bincount(text, cost, minlength=n)
-        spelled = [(b + c[4], [words[i] for i in c[4].tolist()]) for b, c, words in zip(begin.tolist(), coded, texts)]
-        self.spelling_cost({w for _, part in spelled for w in part})
-        for i, (at, part) in enumerate(spelled):
-            if part:
-                total[i] += sum(self.spelled[w] for w, h in zip(part, hit[at].tolist()) if not h)
         rest = np.flatnonzero(~hit)
         sizes = np.bincount(text[rest], minlength=n)
         order = np.argsort(-sizes, kind="stable")
@@ -554,36 +668,41 @@ def train(docs: DataFrame, usable: Column, counts: DataFrame | None = None) -> t
         coder = Coder(shared.value, word_slots)
         tables = [np.zeros(2 * word_slots, np.uint32) for _ in range(2)]
         follows = np.zeros(match_slots, np.uint32)
-        for _, texts in texts_of(batches, "text"):
-            split = [words_of(t) for t in texts]
-            coded = [coder.tokens(words, coder.look_up(words)) for words in split]
-            if not coded:
+        held: list[list[np.ndarray]] = [[], []]
+
+        def add() -> None:
+            for table, own in zip(tables, held):
+                if own:
+                    coder.count(table, np.concatenate(own))
+                own.clear()
+
+        for batch in batches:
+            words = Words.of(batch.column(0))
+            if not len(words.sizes):
                 continue
-            ids, before, common, what = (np.concatenate([c[k] for c in coded]) for k in range(4))
-            sizes = np.array([len(c[0]) for c in coded])
+            listed = words.listed()
+            ids, before, common, what, _ = coder.coded(listed, coder.look_up(listed), words.place, words.sizes)
+            sizes = words.sizes + 1
             key = pairs_before(what, np.cumsum(sizes) - sizes)
             told = np.flatnonzero((key > 0) & (what >= 0))
             slot, check = _entry(key[told], match_slots)
             np.maximum.at(follows, slot, check | (what[told] + 1).astype(np.uint32))
-            for i in range(0, len(ids), 16_384):  # so that a step's arrays stay in the cache
-                of, step = coder.steps(ids[i : i + 16_384])
-                bit, mixed = step & 1, coder.v.mixed[(step >> 1).astype(np.int64)]
-                for table, context in zip(tables, (before, common)):
-                    slot = coder.slots(context[i : i + 16_384], of, mixed)
-                    slot <<= np.uint32(1)
-                    slot += bit
-                    np.add.at(table, slot.astype(np.int64), np.uint32(1))
+            for own, context in zip(held, (before, common)):
+                own.append(paired(context, ids))
+            if sum(map(len, held[0])) > _PAIRS:
+                add()
+        add()
         for tab, table in enumerate([*tables, follows]):
             yield from _blocks(tab, table)
 
     def spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 * SPELL_SLOTS, np.uint32) for _ in _SPELL_ORDERS]
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            for i in range(0, len(words), 1024):
-                _, bit, slots = _spell_bits(words[i : i + 1024])
+        for words in _grouped(batches, _SPELLED):
+            windows, times = _counted(_windows(words)[1])
+            for i in range(0, len(windows), 4096):
+                bit, slots = _window_bits(windows[i : i + 4096])
                 for table, slot in zip(tables, slots):
-                    np.add.at(table, 2 * slot.astype(np.int64) + bit, np.uint32(1))
+                    np.add.at(table, 2 * slot.astype(np.int64) + bit, np.repeat(times[i : i + 4096], 8))
         for tab, table in enumerate(tables):
             yield from _blocks(tab, table)
 
@@ -610,7 +729,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[byte
     """The values of the first column, ``size`` at a time."""
     held: list[bytes] = []
     for batch in batches:
-        held += batch.column(0).to_pylist()
+        held += as_list(batch.column(0))
         while len(held) >= size:
             yield held[:size]
             held = held[size:]
@@ -628,7 +747,7 @@ def _counts_of(words: list[bytes], hashes: np.ndarray, counts: np.ndarray) -> np
 
 
 class _Worker:
-    """The scorer of a worker: the costs of words that one task has spelled serve the next."""
+    """The scorer of a worker: the costs of windows that one task has coded serve the next."""
 
     name: str = ""
     scorer: Scorer | None = None
@@ -666,32 +785,36 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
         v = scorer.m.vocabulary
         logs = np.log10((v.counts + 1) / room)
         scored: dict[bytes, float] = {}  # copies in a task are scored once
-        for batch, texts in texts_of(batches, "text"):
-            split = [words_of(t) for t in texts]
-            ranks = [scorer.coder.look_up(words) for words in split]
-            n, flat = len(split), np.concatenate(ranks) if ranks else np.empty(0, np.int64)
-            doc, seen = np.repeat(np.arange(n), [len(r) for r in ranks]), flat >= 0
-            known = np.bincount(doc[seen], minlength=n) + int(v.counts[0] > 0)
-            base = np.bincount(doc[seen], logs[flat[seen]], minlength=n) + logs[0]
-            others = [Counter([words[k] for k in np.flatnonzero(r < 0).tolist()]) for words, r in zip(split, ranks)]
-            spelled, times = [w for own in others for w in own], np.array([k for own in others for k in own.values()], np.int64)
-            met, doc = _counts_of(spelled, *further.value), np.repeat(np.arange(n), [len(own) for own in others])
-            base += np.bincount(doc, np.where(met > 0, times * np.log10((met + 1) / room), 0.0), minlength=n)
-            known += np.bincount(doc, np.where(met > 0, times, 0), minlength=n).astype(np.int64)
-            rest = [[] for _ in range(n)]
-            for i in np.flatnonzero(met == 0).tolist():
-                rest[doc[i]].append({"token": spelled[i], "n": int(times[i])})
-            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in texts]
-            new = [i for i in {k: i for i, k in enumerate(keys)}.values() if keys[i] not in scored]
-            scored.update(zip([keys[i] for i in new], scorer.score([split[i] for i in new], [ranks[i] for i in new])))
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            words = Words.of(texts)
+            n, listed = len(texts), words.listed()
+            ranks = scorer.coder.look_up(listed)
+            rare = np.flatnonzero(ranks < 0)
+            met = np.zeros(len(ranks), np.int64)
+            met[rare] = _counts_of([listed[i] for i in rare.tolist()], *further.value)
+            known = np.where(ranks < 0, met > 0, True)
+            worth = np.where(ranks < 0, np.log10((met + 1) / room), logs[ranks])
+            doc = np.repeat(np.arange(n), words.sizes)
+            found = known[words.place]
+            n_known = np.bincount(doc[found], minlength=n) + int(v.counts[0] > 0)
+            base = np.bincount(doc[found], worth[words.place[found]], minlength=n) + logs[0]
+            # of the words that aren't counted yet, each once a text
+            left, times = _counted((doc[~found].astype(np.uint64) << np.uint64(32)) | words.place[~found].astype(np.uint64))
+            tokens = words.distinct.cast(pa.binary()).take(pa.array((left & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+            bounds = np.searchsorted(left >> np.uint64(32), np.arange(n + 1)).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([tokens, pa.array(times.astype(np.int32))], ["token", "n"]))
+            raw = as_list(texts.cast(pa.binary()))
+            keys = [xxhash.xxh3_128_digest(t) for t in raw]
+            new = sorted(i for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in scored)
+            scored.update(zip([keys[i] for i in new], scorer.score(words.only(new), listed, ranks)))
             logp = [scored[k] for k in keys]
             if len(scored) > 100_000:
                 scored.clear()
-            kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(logp, pa.float64()), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array(rest, kind),
+                    batch.column("id"), pa.array(words.sizes + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(logp, pa.float64()), pa.array([len(t) for t in raw], pa.int64()), rest,
                 ],
                 [x.split()[0] for x in SCORED.split(", ")],
             )

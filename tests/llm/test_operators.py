@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -425,6 +426,66 @@ def test_language_model_levels():
     assert language_model._known_orders(each).tolist() == want
 
 
+def test_language_model_words():
+    """Words from Arrow columns are those of each text, null and bytes beside ASCII included."""
+    texts = ["a\tB  c ", " \n", None, "", "\u00c9 x\u00a0y\x0bz\x0cq\rA a", "\x1cA\x1d \x85b\x00c", "\u0130 A"]
+    words = language_model.Words.of(pa.array(texts, pa.string()))
+    listed, plain = words.listed(), [language_model.words_of(t or "") for t in texts]
+    assert [listed[i] for i in words.place] == [w for own in plain for w in own]
+    assert words.sizes.tolist() == [len(own) for own in plain] and len(set(listed)) == len(listed)
+    some = words.only([0, 4])
+    assert [listed[i] for i in some.place] == plain[0] + plain[4] and some.sizes.tolist() == [3, 6]
+    assert not len(language_model.Words.of(pa.array([], pa.string())).sizes)
+
+
+def test_language_model_contexts_are_counted_once(monkeypatch):
+    """Equal tokens in equal contexts go down their path once, and count as often as they occur."""
+    names = [b"\n", *(f"w{i}".encode() for i in range(40))]
+    coder = language_model.Coder(language_model.Vocabulary.build(names, np.arange(90, 49, -1), 4000, 5), 1 << 12)
+    rng = np.random.default_rng(5)
+    context, ids = rng.integers(0, 4353, 12).astype(np.uint32)[rng.integers(0, 12, 3000)], rng.integers(0, 42, 3000)
+    want = np.zeros(2 << 12, np.uint32)
+    for c, i in zip(context, ids):
+        of, step = coder.steps(np.array([i]))
+        slot = coder.slots(np.array([c]), of, coder.v.mixed[step >> 1])
+        np.add.at(want, 2 * slot.astype(np.int64) + (step & 1), np.uint32(1))
+    walked, steps = [], language_model.Coder.steps
+    monkeypatch.setattr(language_model.Coder, "steps", lambda self, ids: walked.append(len(ids)) or steps(self, ids))
+    got = np.zeros(2 << 12, np.uint32)
+    coder.count(got, language_model.paired(context, ids))
+    assert (got == want).all() and sum(walked) == len(set(zip(context.tolist(), ids.tolist()))) <= 12 * 42
+
+
+def test_spelling_codes_a_window_once(monkeypatch):
+    """A byte costs by itself and the five before it: coded once, and as bit by bit, whatever is kept."""
+    rng = np.random.default_rng(6)
+    words = [b"".join(rng.choice([b"con", b"per", b"form", b"ed", b"\x00", b"\xc3\xa9"], 4).tolist()) for _ in range(300)]
+    levels = [rng.integers(-512, 512, language_model.SPELL_SLOTS).astype(np.int16) for _ in language_model._SPELL_ORDERS]
+    model = language_model.Model(language_model.Vocabulary.build([b"\n"], np.array([1]), 1, 0), [np.zeros(1, np.int16)] * 3, levels, 1, 1)
+    word, bit, slots = language_model._spell_bits(words)
+    found = [t[s.astype(np.int64)] for t, s in zip(levels, slots)]
+    z = sum(model.spell_weights[language_model._known_orders(found), i] * (x >> 2) / 16 for i, x in enumerate(found))
+    want = np.bincount(word, -np.log1p(np.exp((1 - 2 * bit.astype(float)) * z)))
+    distinct = {(w + b" ")[max(0, i - 5) : i + 1].rjust(6, b"\0") for w in words for i in range(len(w) + 1)}
+    coded, plain = [], language_model.Scorer.coded_windows
+    monkeypatch.setattr(language_model.Scorer, "coded_windows", lambda self, windows: coded.append(len(windows)) or plain(self, windows))
+    assert np.allclose(language_model.Scorer(model).spell(words), want, rtol=1e-5) and sum(coded) == len(distinct)
+    monkeypatch.setattr(language_model, "_KEPT", 16)
+    few = language_model.Scorer(model)
+    for part in (words[:200], words[100:], words):
+        assert np.allclose(few.spell(part), want[[words.index(w) for w in part]], rtol=1e-5)
+    assert not len(few.spell([]))
+
+
+def test_order_of_hashes():
+    """Equal hashes stand together in order of place, also where unequal ones share their upper bits."""
+    rng = np.random.default_rng(7)
+    for keys in (rng.integers(0, 2**64, 500, np.uint64)[rng.integers(0, 500, 4000)], rng.integers(0, 9, 4000).astype(np.uint64), np.zeros(0, np.uint64)):
+        order = language_model._order(keys)
+        assert (np.sort(keys) == keys[order]).all()
+        assert all(a < b for a, b in zip(order, order[1:]) if keys[a] == keys[b])
+
+
 # --- media
 
 
