@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
 
 CAPACITY = 4096
-#: Entries of the cache from a string to its token ids; then it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries of the cache from a string to its token ids, some 150 bytes each; then it starts anew.
+CACHE_ENTRIES = 300_000
 COMMON_ENTRIES = 8_192
+#: Texts split and looked up at a time.
+TEXTS_AT_ONCE = 128
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -215,18 +217,25 @@ class ChunkedTokenizer:
         """
         if not self.chunkable:
             return map(self._any, texts)
-        split = [self.split(t) for t in texts]
         if not self.common:
-            often = [c for c, _ in Counter(c for x in split for c in x).most_common(COMMON_ENTRIES)]
+            often = [c for c, _ in Counter(c for t in texts for c in self.split(t)).most_common(COMMON_ENTRIES)]
             self._learn(set(often) - self.chunks.keys())
             self.common = {c: self.chunks[c] for c in often}
+        return (ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i : i + TEXTS_AT_ONCE]))
+
+    def forget(self) -> None:
+        """Drops what is remembered but the commonest chunks, as an idle worker needn't hold it."""
+        self.chunks = {}
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self.split(t) for t in texts]
         quick, get = self.common.get, self.chunks.get
         found = [list(map(quick, x)) for x in split]
         found = [[get(c) if i is None else i for c, i in zip(x, ids)] for x, ids in zip(split, found)]
         missing = {c for x, ids in zip(split, found) if None in ids for c, i in zip(x, ids) if i is None}
         if missing:
             if len(self.chunks) + len(missing) > self.entries:
-                self.chunks.clear()
+                self.forget()
             self._learn(missing)
             known = self.chunks
             found = [[known[c] if i is None else i for c, i in zip(x, ids)] if None in ids else ids for x, ids in zip(split, found)]
@@ -237,7 +246,7 @@ _LOADED: dict[int, ChunkedTokenizer] = {}
 
 
 def loaded_tokenizer(definition: str) -> ChunkedTokenizer:
-    """One tokenizer a Python worker, so that what it remembers serves the next task too."""
+    """One tokenizer a Python worker, so that the next task needn't load it again."""
     key = zlib.crc32(definition.encode())
     if key not in _LOADED:
         _LOADED.clear()
@@ -268,6 +277,7 @@ def tokenize_pieces(
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 

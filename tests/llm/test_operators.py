@@ -5,6 +5,7 @@ import itertools
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -794,3 +795,29 @@ def test_language_model_counts_from_every_source(spark, monkeypatch):
         assert r.base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (total + distinct + 1)) for w in own), rel=1e-9)
     kinds = sorted(count.values(), reverse=True)
     assert kinds[39] > kinds[400] > kinds[-1] == 1
+
+
+def test_workers_forget_tokens(spark):
+    """What a Python worker remembers of one task's words is gone when it is idle."""
+    docs = spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(3_000))) for i in range(8)], "doc_id long, text string")
+    assert packing.tokenize_pieces(docs.repartition(4), registry.tokenizer_path()).count() >= 8
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.chunks) for t in packing._LOADED.values())], pa.int64())], ["n"])
+
+    assert max(r.n for r in spark.range(4, numPartitions=4).mapInArrow(kept, "n long").collect()) == 0
+
+
+def test_sketch_of_a_task_is_small():
+    """A byte a counter; beyond 255 a counter stays there."""
+    run = similarity_join._signatures(type("Frame", (), {"mapInArrow": lambda self, run, schema: run})(), 5)
+    texts = ["a b c d e"] * 300 + ["f g h i j"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    rows = [x for out in run(iter([batch])) for x in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x["counts"]), np.uint8) for x in rows if x["block"] is not None])
+    assert sorted(counts[counts > 0].tolist()) == [1, 255]
+    assert peak < 2 * similarity_join.SLOTS
