@@ -25,17 +25,22 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import bound_batches, number_rows, stable, texts_of
+from docquarry.llm.common import bound_batches, number_rows, stable
 
 CAPACITY = 4096
-#: Entries of the cache from a string to its token ids, some 150 bytes each; then it starts anew.
-CACHE_ENTRIES = 300_000
-COMMON_ENTRIES = 8_192
-#: Texts split and looked up at a time.
-TEXTS_AT_ONCE = 128
+#: Bytes of words and their token ids that are remembered; then it starts anew.
+CACHE_BYTES = 24 << 20
+#: Bytes of text, about, that are split at a time, and words worked out at a time.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 4 << 20, 1 << 16
+#: Capitals whose lower case isn't by letter, and letters that are a letter and a mark in normal form.
+_UNLIKE = re.compile(
+    "[\u03a3\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d"
+    "\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb4e]"
+)
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -157,31 +162,24 @@ def chunkable(definition: str) -> bool:
 
 
 class ChunkedTokenizer:
-    """Token ids by a tokenizer file, remembered for each run between white space.
+    """Token ids by a tokenizer file, worked out once for each distinct word and remembered.
 
     Holds for tokenizers that drop white space and never join across it, lower-case, and
     part a run of letters from ASCII punctuation behind it; ``chunkable`` looks for these in
     the file, and texts take the tokenizer's whole way without them. Such a run of letters
-    is one word of the byte-level model; anything else takes the whole way by itself.
+    is one word of the byte-level model, whatever its case and the punctuation behind it, as
+    long as it is letters in normal form too; anything else takes the whole way by itself.
     """
 
-    def __init__(self, definition: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, definition: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.chunkable = chunkable(definition)
         self.word_ids = self.tokenizer.model.tokenize
         self.characters = _byte_characters()
-        self.chunks: dict[str, bytes] = {}
-        self.common: dict[str, bytes] = {}
-        self.entries = entries
-        self.visible = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-
-    def split(self, text: str) -> list[str]:
-        """Runs between white space; the separators U+001C to U+001F aren't white space here."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.visible(text)
-        return text.split()
+        self.most = most
+        self.forget()
 
     def _letters(self, word: str) -> bytes:
         """The ids of lower-case letters in normal form."""
@@ -192,54 +190,65 @@ class ChunkedTokenizer:
     def _any(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str, letters: bool) -> bytes:
-        found = self.chunks.get(word)
-        if found is None:
-            plain = letters and (word.isascii() or unicodedata.is_normalized("NFC", word))
-            found = self.chunks[word] = self._letters(word) if plain else self._any(word)
-        return found
-
-    def _learn(self, missing: set[str]) -> None:
-        chunks = self.chunks  # a word is a chunk of its own
-        for chunk in missing:
-            head = chunk.rstrip(".,;:!?")
-            if head.isalpha() and "\u03a3" not in head and "\u0130" not in head:  # their lower case isn't by letter
-                ids = self._word(head.lower(), True)
-                chunks[chunk] = ids + self._word(chunk[len(head) :], False) if len(head) < len(chunk) else ids
-            else:
-                chunks[chunk] = self._word(chunk, False)
+    def _learn(self, word: str) -> bytes:
+        """The ids of a lower-case run of letters, or of any other chunk as it stands."""
+        if word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and not _UNLIKE.search(word))):
+            return self._letters(word)
+        return self._any(word)
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers.
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.encode_column(pa.array(texts, pa.string()))
 
-        Most lookups end in a small table of the commonest chunks, which stays in the
-        processor's cache.
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Like ``encode_batch`` for an Arrow column, null as empty.
+
+        Texts are split, told apart and put together by Arrow; Python sees each distinct
+        word of some ``BYTES_AT_ONCE`` once.
         """
+        texts = texts.fill_null("")
         if not self.chunkable:
-            return map(self._any, texts)
-        if not self.common:
-            often = [c for c, _ in Counter(c for t in texts for c in self.split(t)).most_common(COMMON_ENTRIES)]
-            self._learn(set(often) - self.chunks.keys())
-            self.common = {c: self.chunks[c] for c in often}
-        return (ids for i in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode(texts[i : i + TEXTS_AT_ONCE]))
+            return map(self._any, texts.to_pylist())
+        step = max(1, len(texts) * BYTES_AT_ONCE // max(1, texts.nbytes))
+        return (ids for i in range(0, len(texts), step) for ids in self._encode(texts.slice(i, step)))
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids = self._chunk_ids(coded.dictionary).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids))])[np.asarray(split.offsets)]
+        data = memoryview(ids.buffers()[2] or b"")
+        return (data[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()))
 
     def forget(self) -> None:
-        """Drops what is remembered but the commonest chunks, as an idle worker needn't hold it."""
-        self.chunks = {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.split(t) for t in texts]
-        quick, get = self.common.get, self.chunks.get
-        found = [list(map(quick, x)) for x in split]
-        found = [[get(c) if i is None else i for c, i in zip(x, ids)] for x, ids in zip(split, found)]
-        missing = {c for x, ids in zip(split, found) if None in ids for c, i in zip(x, ids) if i is None}
-        if missing:
-            if len(self.chunks) + len(missing) > self.entries:
+        """Drops what is remembered, as an idle worker needn't hold it."""
+        self.chunks, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        pa.default_memory_pool().release_unused()
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk: those of its letters and those of the punctuation behind."""
+        chunks = chunks.cast(pa.large_string())
+        cut = pc.extract_regex(chunks, r"(?s)^(?P<head>.*?)(?P<tail>[[:punct:]]*)$")
+        head, tail = cut.flatten()
+        plain = pc.and_not(pc.utf8_is_alpha(head), pc.match_substring_regex(head, _UNLIKE.pattern))
+        words = pc.if_else(plain, pc.utf8_lower(head), chunks)
+        tails = pc.if_else(plain, tail, "")
+        ids = self._look_up(pa.concat_arrays([words, tails.cast(words.type)]))
+        return pc.binary_join_element_wise(ids[: len(chunks)], ids[len(chunks) :], pa.scalar(b"", ids.type))
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()
+        at = pc.index_in(coded.dictionary, self.chunks)
+        missing = coded.dictionary.filter(at.is_null())
+        places = at.fill_null(-1).to_numpy().astype(np.int64)
+        places[places < 0] = len(self.chunks) + np.arange(len(missing))
+        parts = (missing.slice(i, WORDS_AT_ONCE).to_pylist() for i in range(0, len(missing), WORDS_AT_ONCE))
+        ids = pa.concat_arrays([self.ids, *(pa.array([self._learn(w) for w in x], self.ids.type) for x in parts)])
+        if len(missing):
+            self.chunks, self.ids = pa.concat_arrays([self.chunks, missing]), ids
+            if self.chunks.nbytes + self.ids.nbytes > self.most:
                 self.forget()
-            self._learn(missing)
-            known = self.chunks
-            found = [[known[c] if i is None else i for c, i in zip(x, ids)] if None in ids else ids for x, ids in zip(split, found)]
-        return map(b"".join, found)
+        return ids.take(pa.array(places[coded.indices.to_numpy()]))
 
 
 _LOADED: dict[int, ChunkedTokenizer] = {}
@@ -254,6 +263,18 @@ def loaded_tokenizer(definition: str) -> ChunkedTokenizer:
     return _LOADED[key]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches joined up to about ``BYTES_AT_ONCE``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > BYTES_AT_ONCE:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -267,9 +288,9 @@ def tokenize_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded_tokenizer(definition.value)
-        for batch, texts in texts_of(batches, "text"):
+        for batch in _together(batches):
             rows: list[tuple] = []
-            for key, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(texts)):
+            for key, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_column(batch.column(1))):
                 ids += closing
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

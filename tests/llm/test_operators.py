@@ -678,6 +678,45 @@ def test_tokens_are_the_tokenizers_own():
         assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_equal_words_are_tokenized_once(monkeypatch):
+    """Case and the punctuation behind don't make another word; columns give what lists give."""
+    definition = open(registry.tokenizer_path(), encoding="utf-8").read()
+    tokenizer, asked = packing.ChunkedTokenizer(definition), []
+    for name in ("_letters", "_any"):
+        monkeypatch.setattr(tokenizer, name, lambda word, own=getattr(tokenizer, name): asked.append(word) or own(word))
+    texts = ["Word*** word&&& WORD$$$ word, word.%%%", "und\u00e4 Und\u00c4### <|endoftext|>", "", " "]
+    found = [bytes(x) for x in tokenizer.encode_batch(texts)]
+    assert sorted(x for x in asked if x) == sorted(["word", "***", "&&&", "$$$", ",", ".%%%", "und\u00e4", "###", "<|endoftext|>"])
+    plain = tokenizer.tokenizer
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind, size in ((pa.string(), 1), (pa.string(), 20), (pa.large_string(), 1 << 20)):
+        monkeypatch.setattr(packing, "BYTES_AT_ONCE", size)
+        assert list(tokenizer.encode_column(pa.array(["x", *texts, None], kind)[1:])) == [*found, b""]
+    assert list(tokenizer.encode_column(pa.array([], pa.string()))) == []
+
+
+def test_batches_taken_together(monkeypatch):
+    """Small batches are joined up to a bound; every row comes once, in order."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, None], pa.int64()), pa.array([f"a{k} b", None])], ["id", "text"]) for k in range(5)]
+    for bound, parts in ((1, 5), (2 * batches[0].nbytes, 3), (1 << 20, 1)):
+        monkeypatch.setattr(packing, "BYTES_AT_ONCE", bound)
+        taken = list(packing._together(iter(batches)))
+        assert len(taken) == parts
+        assert [x for b in taken for x in b.to_pylist()] == [x for b in batches for x in b.to_pylist()]
+    assert list(packing._together(iter([]))) == []
+
+
+def test_letters_that_normal_form_parts():
+    """A letter that becomes a letter and a mark: the mark belongs with the punctuation behind."""
+    from tokenizers import Tokenizer
+
+    definition = open(registry.tokenizer_path(), encoding="utf-8").read()
+    texts = ["\u0958. \u095c!?", "x\u09df, X\u0a33... \ufb1d.", "e\u0301. \u1100\u1161, \u212a!"]
+    found = list(packing.ChunkedTokenizer(definition).encode_batch(texts))
+    plain = Tokenizer.from_str(definition)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 @settings(max_examples=100, deadline=None)
 def test_plan_uses_every_piece(counts):
