@@ -9,6 +9,7 @@ from docquarry.functions import dates
 from docquarry.operators.filters import matched
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
+from docquarry.sources.shared import staged
 
 _OCC, _SIG = f"WITH {corpus.SQL}", f"WITH {corpus.SIGNALS_SQL}"
 AS_OF = "2024-01-15"
@@ -217,12 +218,26 @@ _TREE = "tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey
 
 @query(f"WITH RECURSIVE {_TREE}, up AS (SELECT id AS node, id, parent, 0 AS depth FROM tree UNION ALL SELECT u.node, t.id, t.parent, u.depth + 1 FROM up u JOIN tree t ON t.id = u.parent WHERE u.depth < 20) SELECT node, id AS ancestor, depth FROM up WHERE depth > 0")
 def lineage_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of all nodes, at most twenty steps up (a recursive query)."""
-    _tree(spark, sf_dir)
-    return spark.sql(
-        "WITH RECURSIVE up AS (SELECT id AS node, id, parent, 0 AS depth FROM docquarry_tree UNION ALL "
-        "SELECT u.node, t.id, t.parent, u.depth + 1 FROM up u JOIN docquarry_tree t ON t.id = u.parent WHERE u.depth < 20) SELECT node, id AS ancestor, depth FROM up WHERE depth > 0"
-    )
+    """Ancestors of all nodes, at most twenty steps up."""
+    return ancestors(_tree(spark, sf_dir))
+
+
+def ancestors(tree: DataFrame, most: int = 20) -> DataFrame:
+    """node, ancestor and depth, for at most ``most`` steps up the ``tree`` (id, parent).
+
+    A node's ancestors of one depth are its parent's of the depth before. Each depth is joined
+    by the parent and kept, so no row of all nodes meets at the few nodes at the top, and a
+    recursive query's bound on its rows doesn't hold.
+    """
+    edges = staged(tree.where("parent is not null").select(F.col("id").alias("child"), "parent"))
+    level, found = tree.select(F.col("id").alias("node"), F.col("id").alias("ancestor")), None
+    for depth in range(1, most + 1):
+        level = staged(edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), "ancestor"))
+        own = level.withColumn("depth", F.lit(depth))
+        found = own if found is None else found.union(own)
+        if level.isEmpty():
+            break
+    return found
 
 
 @query(f"WITH RECURSIVE {_TREE}, down AS (SELECT id, 0 AS depth FROM tree WHERE id = 3 UNION ALL SELECT t.id, d.depth + 1 FROM down d JOIN tree t ON t.parent = d.id WHERE d.depth < 20) SELECT id, depth FROM down WHERE depth > 0 ORDER BY depth, id LIMIT 500")
@@ -235,6 +250,7 @@ def lineage_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> None:
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey > 1 THEN p_partkey div 2 END").alias("parent"))
     part.createOrReplaceTempView("docquarry_tree")
+    return part
