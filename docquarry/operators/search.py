@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.alike import similar_sets
 from docquarry.plans.criteria import whole_word
 from docquarry.plans.registry import query
 from docquarry.sources import corpus
-from docquarry.sources.shared import shared_dir
+from docquarry.sources.shared import release, shared_dir, staged
 
 _OCC = f"WITH {corpus.SQL}"
 #: BM25's saturation and length weight; the field weights and bonuses of ranking.
@@ -114,24 +115,12 @@ def expanded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.words(spark, sf_dir).where(F.col("word").isin(*terms)).groupBy("word").agg(F.count("*").alias("contents"))
 
 
-def jaccard_links(words: DataFrame, threshold: float) -> DataFrame:
-    """a, b (a < b) and jaccard of the contents whose word sets are similar enough.
-
-    Each set's rarest words, as many as could all be missing from a similar set and one
-    more, propose pairs; only proposed pairs are compared. Common words never meet.
-    """
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "word").groupBy("hash_id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
-    n = F.size("ws")
-    keep = (n - F.ceil(n * threshold) + 1).cast("int")
-    first = ranked.select("hash_id", n.alias("n"), F.explode(F.slice("ws", F.lit(1), keep)).alias("w")).select("hash_id", "n", "w.word")
-    a, b = first.toDF("a", "na", "word"), first.toDF("b", "nb", "word")
-    fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    sets = ranked.select("hash_id", F.col("ws.word").alias("s"))
-    j = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return j.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def jaccard_links(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
+    """a, b (a < b) and jaccard of the contents whose word sets are similar enough."""
+    hashes = F.transform(F.array_distinct(corpus.words_in(F.col("text"))), lambda w: F.xxhash64(w))
+    sets = staged(corpus.contents(spark, sf_dir, hashes.alias("words")).where("size(words) > 0").select(F.col("hash_id").alias("id"), "words"))
+    release(spark)
+    return similar_sets(sets, threshold)
 
 
 THRESHOLD = 0.6
@@ -144,7 +133,7 @@ _PAIRS = (
 @query(f"{_OCC}{_PAIRS} SELECT a, b, round(j, 6) AS jaccard FROM pairs")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of contents with similar word sets."""
-    return jaccard_links(corpus.words(spark, sf_dir), THRESHOLD).withColumn("jaccard", F.round("jaccard", 6))
+    return jaccard_links(spark, sf_dir, THRESHOLD).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
 )
 def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of contents connected by similarity."""
-    return components(jaccard_links(corpus.words(spark, sf_dir), THRESHOLD)).select(F.col("node").alias("hash_id"), F.col("label").alias("group_id"))
+    return components(jaccard_links(spark, sf_dir, THRESHOLD)).select(F.col("node").alias("hash_id"), F.col("label").alias("group_id"))
 
 
 @query(_OCC + " SELECT side, path_id, file_size, rank FROM (SELECT side, path_id, file_size, row_number() OVER (PARTITION BY side ORDER BY file_size DESC, path_id) AS rank FROM occ) WHERE rank <= 5")
